@@ -73,3 +73,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def _remove_own_folders() -> None:
     for folder in _OWN_FOLDERS:
         shutil.rmtree(folder, ignore_errors=True)
+
+
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """`df` with a broadcast hint if it has at most `most` rows, counted first; else as it is."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
