@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspan.functions.text import stripped
-from larkspan.llm import distinctive, rank_merge, sampling
+from larkspan.llm import distinctive, grouping, mixing, packing, rank_merge, sampling, subjects
 from larkspan.session import table
 
 SAMPLE_SHARE = 0.1
@@ -149,5 +149,136 @@ SELECT _id AS corpus_id, term, tf, df, round((ln((y + p) / greatest(m + p0 - y -
        / sqrt(1 / (y + p) + 1 / (yr + p)), 6) AS z FROM x
 """
 
-QUERIES = {"p2_sample": p2_sample, "p4_found": p4_found, "p4_ranking": p4_ranking, "p5_found": p5_found, "p5_scores": p5_scores}
-SQL = {"p2_sample": P2_SAMPLE, "p4_found": P4_FOUND, "p4_ranking": P4_RANKING, "p5_found": P5_FOUND, "p5_scores": P5_SCORES}
+DIMENSIONS = 64
+
+
+def cell_groups(spark: SparkSession, folder: str) -> grouping.Grouping:
+    cells = table(spark, folder, "ivf_cells")
+    return grouping.group_vectors(cells, F.lower(F.hex("label")), F.col("centroid"), DIMENSIONS)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The members of groups that hold together and keep apart beyond doubt."""
+    found = cell_groups(spark, folder)
+    sure = grouping.tight_groups(found, 0.85, 0.80)
+    members = found.groups.join(sure, "group").join(found.members.select("id", "member"), "id")
+    names = members.groupBy("group").agg(F.min("member").alias("group_label"))
+    return members.join(names, "group").select("group_label", F.col("member").alias("label"))
+
+
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Per group: its cells, their posting entries, and the cells closest to its medoid.
+
+    A cell is a distinct label; lone cells are groups of one. Of a cell's repeats the largest known
+    stretch of postings counts; an unknown one counts as 0. Cells without a usable centroid are in no group.
+    """
+    found = cell_groups(spark, folder)
+    stretch = F.greatest(F.coalesce(F.max(F.col("offset_to") - F.col("offset_from")), F.lit(0)), F.lit(0))
+    entries = table(spark, folder, "ivf_cells").groupBy(F.lower(F.hex("label")).alias("member")).agg(stretch.alias("entries"))
+    placed = found.members.select("id", "member").join(found.groups, "id", "left").join(entries, "member")
+    placed = placed.withColumn("group", F.coalesce("group", "id")).withColumn("cosine", F.coalesce("cosine", F.lit(1.0)))
+    # The most typical cells come from partial tops, so that no task gathers a group.
+    part = placed.withColumn("part", F.pmod(F.hash("id"), F.lit(64)))
+    closest = [F.round("cosine", 6).desc(), F.col("member")]
+    tops = part.withColumn("r", F.row_number().over(Window.partitionBy("group", "part").orderBy(*closest))).filter(F.col("r") <= grouping.TYPICAL)
+    tops = tops.withColumn("r", F.row_number().over(Window.partitionBy("group").orderBy(*closest))).filter(F.col("r") <= grouping.TYPICAL)
+    typical = tops.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("r", "member"))).alias("t")).select("group", F.col("t.member").alias("typical_labels"))
+    totals = placed.groupBy("group").agg(F.min("member").alias("group_label"), F.count(F.lit(1)).alias("cells"), F.sum("entries").alias("posting_entries"))
+    return totals.join(typical, "group").drop("group")
+
+
+CONTAINER = 512
+
+
+def p6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document, or its pieces, with its container of 512 tokens."""
+    documents = table(spark, folder, "documents")
+    return packing.pack(documents, "doc_id", packing.own_size(F.col("text")), CONTAINER)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that were cut."""
+    return p6_packing(spark, folder).filter("piece_no > 0").select("doc_id").distinct()
+
+
+P6_FOUND = "SELECT doc_id FROM documents WHERE len(regexp_extract_all(lower(text), '[a-z0-9]+')) > 512"
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.packing_report(p6_packing(spark, folder), CONTAINER)
+
+
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def p6_packing_bpe(spark: SparkSession, folder: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    """The same with sizes in tokens of a public tokenizer, whose file lies at `tokenizer` on every machine."""
+    documents = table(spark, folder, "documents")
+    return packing.pack(documents, "doc_id", packing.public_size(tokenizer)(F.col("text")), CONTAINER)
+
+
+def document_subjects(spark: SparkSession, folder: str) -> DataFrame:
+    names = table(spark, folder, "subjects")
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "subject_labels")
+    known = sorted(r["subject"] for r in names.select("subject").filter("subject is not null").distinct().limit(1_000).collect())
+    lexicon = subjects.fit_lexicon(subjects.labelled_sample(documents, labels), known)
+    return subjects.assign_subjects(documents, "doc_id", "text", lexicon)
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The subjects of every document."""
+    return subjects.subject_rows(document_subjects(spark, folder), "doc_id").select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus by subject."""
+    return subjects.composition(document_subjects(spark, folder), "doc_id")
+
+
+def mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    documents = table(spark, folder, "documents").select(
+        F.col("doc_id").alias("document"), mixing.source_key(F.col("source")).alias("source"),
+        mixing.language_key(F.col("lang")).alias("language"), packing.own_size(F.col("text")).alias("tokens"),
+    )
+    topics = document_subjects(spark, folder).select(F.col("doc_id").alias("document"), F.col("main_subject").alias("topic")).dropDuplicates(["document"])
+    targets = table(spark, folder, "source_targets").withColumn("source", mixing.source_key(F.col("source")))
+    return mixing.mix(documents.join(topics, "document", "left"), targets)
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The sources that can't reach their target."""
+    return mixture(spark, folder)[1].filter("short").select("source")
+
+
+_BLANK = "' ' || chr(9) || chr(10) || chr(13) || chr(160)"
+P7_FOUND = rf"""
+WITH d AS (SELECT regexp_replace(lower(trim(source, {_BLANK})), '[\s\x{{a0}}-]+', '_', 'g') AS source,
+                  len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS n FROM documents),
+t AS (SELECT regexp_replace(lower(trim(source, {_BLANK})), '[\s\x{{a0}}-]+', '_', 'g') AS source,
+             target_share, max_repeats FROM source_targets),
+u AS (SELECT t.source, target_share, max_repeats, coalesce(sum(n), 0) AS n FROM t LEFT JOIN d USING (source) GROUP BY ALL)
+SELECT source FROM u WHERE max_repeats * n < target_share * (SELECT CAST(sum(n) AS DOUBLE) FROM u)
+"""
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Wanted and reached shares per source."""
+    return mixture(spark, folder)[1]
+
+
+def p7_uses(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each document is used."""
+    return mixture(spark, folder)[0]
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_groups": p1_groups, "p2_sample": p2_sample, "p4_found": p4_found, "p4_ranking": p4_ranking,
+    "p5_found": p5_found, "p5_scores": p5_scores, "p6_found": p6_found, "p6_packing": p6_packing, "p6_report": p6_report,
+    "p6_packing_bpe": p6_packing_bpe, "p7_found": p7_found, "p7_report": p7_report, "p7_uses": p7_uses,
+    "p8_found": p8_found, "p8_composition": p8_composition,
+}
+SQL = {
+    "p2_sample": P2_SAMPLE, "p4_found": P4_FOUND, "p4_ranking": P4_RANKING, "p5_found": P5_FOUND, "p5_scores": P5_SCORES,
+    "p6_found": P6_FOUND, "p7_found": P7_FOUND,
+}
