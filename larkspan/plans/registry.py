@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("heavy",)
+MODULES = ("heavy", "scans", "lexical", "vectors", "fusion", "leakage")
 
 
 def collected() -> tuple[dict, dict]:
