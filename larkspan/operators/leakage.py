@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.operators.metrics import wilson_interval
+from larkspan.session import small
 
 
 def balanced_sample(rows: DataFrame, label: str, item: str, most: int, seed: str = "sample") -> DataFrame:
@@ -148,18 +151,23 @@ def affine_recovery(known: DataFrame, asked: DataFrame, most: int = 2_000) -> Da
     each = known.select(F.posexplode("x").alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("m"))
     mean = [r["m"] for r in each.orderBy("pos").collect()]  # one vector
 
-    def recover(key, pairs: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        if not len(wanted):
-            return pd.DataFrame({"item": [], "covered": [], "cosine": []}).astype({"item": "int64", "covered": "bool", "cosine": "float64"})
-        truth = np.stack(wanted["x"].to_numpy())
-        if len(pairs):
-            one = np.ones((len(pairs), 1))
-            fit, *_ = np.linalg.lstsq(np.hstack([np.stack(pairs["y"].to_numpy()), one]), np.stack(pairs["x"].to_numpy()), rcond=None)
-            guess = np.hstack([np.stack(wanted["y"].to_numpy()), np.ones((len(wanted), 1))]) @ fit
-        else:
-            guess = np.tile(np.array(mean), (len(wanted), 1))
-        norm = np.linalg.norm(guess, axis=1) * np.linalg.norm(truth, axis=1)
-        cosine = (guess * truth).sum(1) / np.maximum(norm, 1e-12)
-        return pd.DataFrame({"item": wanted["item"].to_numpy(), "covered": [bool(len(pairs))] * len(wanted), "cosine": cosine})
-
-    return train.groupBy("cell").cogroup(asked.groupBy("cell")).applyInPandas(recover, "item bigint, covered boolean, cosine double")
+    def fit(cell: pd.DataFrame) -> pd.DataFrame:
+        one = np.ones((len(cell), 1))
+        found, *_ = np.linalg.lstsq(np.hstack([np.stack(cell["y"].to_numpy()), one]), np.stack(cell["x"].to_numpy()), rcond=None)
+        return pd.DataFrame({"cell": [int(cell["cell"].iloc[0])], "map": [found.ravel()]})
+
+    def recover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, rows in batch.groupby("cell"):
+                truth, y = np.stack(rows["x"].to_numpy()), np.stack(rows["y"].to_numpy())
+                covered = rows["map"].iloc[0] is not None
+                if covered:
+                    guess = np.hstack([y, np.ones((len(y), 1))]) @ np.asarray(rows["map"].iloc[0]).reshape(y.shape[1] + 1, -1)
+                else:
+                    guess = np.tile(np.array(mean), (len(y), 1))
+                norm = np.linalg.norm(guess, axis=1) * np.linalg.norm(truth, axis=1)
+                yield pd.DataFrame({"item": rows["item"].to_numpy(), "covered": covered, "cosine": (guess * truth).sum(1) / np.maximum(norm, 1e-12)})
+
+    maps = train.groupBy("cell").applyInPandas(fit, "cell bigint, map array<double>")
+    joined = asked.select("cell", "item", "x", "y").join(small(maps), "cell", "left")
+    return joined.mapInPandas(recover, "item bigint, covered boolean, cosine double")
