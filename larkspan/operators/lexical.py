@@ -12,6 +12,8 @@ from larkspan.session import small
 #: Fixed values of the scoring functions.
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
+#: Terms of queries that are broadcast at most.
+MOST_TERMS = 200_000
 
 
 def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
@@ -63,13 +65,12 @@ def saturation(tf: Column, dl: Column, avgdl: Column, numerator: bool) -> Column
 def weighted_postings(postings: DataFrame, frequencies: DataFrame, lengths: DataFrame, exact: bool = True) -> DataFrame:
     """(term, doc_idx, df, weight): what each posting adds to a BM25 score.
 
-    `exact` takes the log1p idf with the numerator, else the floored idf without. The document lengths
-    are joined by document, the frequencies by term through `rare_and_common`, so that a term with a
-    tenth of all postings doesn't meet in one task.
+    `exact` takes the log1p idf with the numerator, else the floored idf without. The frequencies are
+    joined by term through `rare_and_common`, so that a term with a tenth of all postings doesn't meet in
+    one task; the lengths come last, by document, which leaves the postings partitioned by document.
     """
     statistics = length_statistics(lengths)
-    with_length = postings.join(lengths, "doc_idx")
-    joined = rare_and_common(with_length, frequencies, "term", "df").join(F.broadcast(statistics))  # one row
+    joined = rare_and_common(postings, frequencies, "term", "df").join(lengths, "doc_idx").join(F.broadcast(statistics))  # one row
     idf = (log1p_idf if exact else floored_idf)(F.col("n"), F.col("df"))
     return joined.select("term", "doc_idx", "df", (idf * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), exact)).alias("weight"))
 
@@ -91,12 +92,17 @@ def rare_and_common(rows: DataFrame, keyed: DataFrame, key: str, size: str, most
 def bm25_scores(terms: DataFrame, weighted: DataFrame, salts: int = 8) -> DataFrame:
     """(query_id, doc_idx, score) of every document with a term of the query.
 
-    Terms are matched per salted part of a term's postings; the queries' terms are repeated per part,
-    which is cheap as they are few. Scores are rounded to 9 places so that equal scores tie.
+    Up to MOST_TERMS terms of queries are sent to all tasks: each task then scores its own documents, and
+    where postings are partitioned by document nothing is shuffled before the best are taken. More terms are matched per
+    salted part of a term's postings. Scores are rounded to 9 places so that equal scores tie.
     """
-    spread = terms.select("query_id", "term").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    parts = weighted.withColumn("salt", F.pmod(F.hash("doc_idx"), F.lit(salts)))
-    return parts.join(spread, ["term", "salt"]).groupBy("query_id", "doc_idx").agg(F.round(F.sum("weight"), 9).alias("score"))
+    asked = terms.select("query_id", "term")
+    if asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
+        pairs = weighted.join(F.broadcast(asked), "term")
+    else:
+        spread = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        pairs = weighted.withColumn("salt", F.pmod(F.hash("doc_idx"), F.lit(salts))).join(spread, ["term", "salt"])
+    return pairs.groupBy("query_id", "doc_idx").agg(F.round(F.sum("weight"), 9).alias("score"))
 
 
 def top_k(scores: DataFrame, by: list[str], k: int, item: str = "doc_idx", score: str = "score", rank: str = "rank") -> DataFrame:
@@ -185,4 +191,4 @@ def limited_matches(matches: DataFrame, most: int) -> DataFrame:
 
 def bounded(df: DataFrame) -> DataFrame:
     """`small`, for the terms of a set of queries."""
-    return small(df, 200_000)
+    return small(df, MOST_TERMS)

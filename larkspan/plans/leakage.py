@@ -69,10 +69,10 @@ FROM (SELECT h, t, CAST(t AS DOUBLE) AS n, CAST(h AS DOUBLE) / t AS p FROM (SELE
 
 def local_view(spark: SparkSession, folder: str) -> DataFrame:
     """(cell, item, x, y, label): each vector with its keyed coordinates in its first cell."""
-    rows = vectors.residual(spark, folder)
-    own = vector_index.nearest_cells(rows, "vec_id", vectors.centroids(spark, folder), 1).select("vec_id", "cell")
-    keys = compartment.cell_keys(spark, vectors.CELLS, vectors.WIDTH, vectors.CHOSEN, vectors.KEY)
-    local = compartment.local_vectors(vectors.rotate(rows, spark).join(own, "vec_id"), "vec_id", keys)
+    index = vectors.Index(spark, folder)
+    rows = index.rows
+    own = vector_index.nearest_cells(rows, "vec_id", index.centroids, 1).select("vec_id", "cell")
+    local = compartment.local_vectors(index.rotated.join(own, "vec_id"), "vec_id", index.keys)
     labels = base.vectors(spark, folder).select("vec_id", "label")
     return materialise(local.join(rows, "vec_id").join(labels, "vec_id").select("cell", F.col("vec_id").alias("item"), "x", "y", "label"))
 

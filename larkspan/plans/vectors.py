@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspan.functions.vector import augmented, dot, doubles, hadamard
 from larkspan.operators import compartment, lexical, vector_index
 from larkspan.plans import base
-from larkspan.session import table
+from larkspan.session import materialise, table
 
 CELLS, ASSIGNMENTS, PROBES = 16, 2, 4
 WIDTH, CHOSEN, LOCAL_TOP, TOP = 64, 16, 3, 10
@@ -91,17 +93,65 @@ AUGMENTED_LONG = f"""WITH {base.VECTORS_SQL}, s_ AS (SELECT vec_id, list_transfo
 a_ AS (SELECT vec_id, list_append(x, sqrt(greatest(0.0, 1 - list_dot_product(x, x)))) AS x FROM s_) {_long_sql('a_')}"""
 
 
-def start_centroids(spark: SparkSession, folder: str) -> DataFrame:
-    return vector_index.first_centroids(residual(spark, folder), "vec_id", CELLS)
+class Index:
+    """The vectors' residuals and everything built on them, each made once per query that asks for it."""
 
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark = spark
+        self.rows = materialise(residual(spark, folder))
 
-START_SQL = f"""{RESIDUAL_SQL}, start_ AS (SELECT row_number() OVER (ORDER BY sha256(CAST(vec_id AS VARCHAR))) - 1 AS cell, x FROM residual_
-  ORDER BY sha256(CAST(vec_id AS VARCHAR)) LIMIT {CELLS})"""
+    @cached_property
+    def start(self) -> DataFrame:
+        return materialise(vector_index.first_centroids(self.rows, "vec_id", CELLS))
+
+    @cached_property
+    def centroids(self) -> DataFrame:
+        """Centroids after one round, the last thing that both engines compute alike."""
+        return materialise(vector_index.lloyd_step(self.rows, self.start, "vec_id"))
+
+    @cached_property
+    def assigned(self) -> DataFrame:
+        """The two nearest cells of every vector."""
+        return materialise(vector_index.nearest_cells(self.rows, "vec_id", self.centroids, ASSIGNMENTS))
+
+    @cached_property
+    def asked(self) -> DataFrame:
+        return self.rows.filter(F.col("vec_id") % 100 == 0).withColumnRenamed("vec_id", "query_id")
+
+    @cached_property
+    def probes(self) -> DataFrame:
+        return materialise(vector_index.nearest_cells(self.asked, "query_id", self.centroids, PROBES))
+
+    @cached_property
+    def found(self) -> DataFrame:
+        return vector_index.candidates(self.probes, self.assigned, "query_id", "vec_id")
+
+    @cached_property
+    def rotated(self) -> DataFrame:
+        return materialise(rotate(self.rows, self.spark))
 
+    @cached_property
+    def keys(self) -> DataFrame:
+        return compartment.cell_keys(self.spark, CELLS, WIDTH, CHOSEN, KEY)
 
-def centroids(spark: SparkSession, folder: str) -> DataFrame:
-    """Centroids after one round, the last thing that both engines compute alike."""
-    return vector_index.lloyd_step(residual(spark, folder), start_centroids(spark, folder), "vec_id")
+    def stored(self, noise: float = 0.0) -> DataFrame:
+        rows = self.rotated.join(self.assigned.select("vec_id", "cell"), "vec_id")
+        return compartment.local_vectors(rows, "vec_id", self.keys, noise, "stored")
+
+    def local_queries(self, noise: float = 0.0, seed: str = "asked") -> DataFrame:
+        asked = self.rotated.withColumnRenamed("vec_id", "query_id").join(self.probes.select("query_id", "cell"), "query_id")
+        return compartment.local_vectors(asked, "query_id", self.keys, noise, seed)
+
+    def local_best(self) -> DataFrame:
+        return compartment.search_cells(self.local_queries(), self.stored(), "query_id", "vec_id", LOCAL_TOP)
+
+    def scored(self, pairs: DataFrame) -> DataFrame:
+        rows, asked = self.rows.select("vec_id", "x"), self.asked.select("query_id", F.col("x").alias("q"))
+        return pairs.join(rows, "vec_id").join(asked, "query_id").select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("x")), 9).alias("score"))
+
+
+START_SQL = f"""{RESIDUAL_SQL}, start_ AS (SELECT row_number() OVER (ORDER BY sha256(CAST(vec_id AS VARCHAR))) - 1 AS cell, x FROM residual_
+  ORDER BY sha256(CAST(vec_id AS VARCHAR)) LIMIT {CELLS})"""
 
 
 CENTROIDS_SQL = f"""{START_SQL}, own_ AS (SELECT vec_id, x, arg_max(cell, (score, -cell)) AS cell FROM (SELECT r.vec_id, r.x, c.cell,
@@ -111,31 +161,26 @@ centroids_ AS (SELECT cell, {_scaled_sql('x')} AS x FROM (SELECT cell, coalesce(
 
 
 def lloyd_long(spark: SparkSession, folder: str) -> DataFrame:
-    return _long(centroids(spark, folder), "cell")
+    return _long(Index(spark, folder).centroids, "cell")
 
 
 LLOYD_LONG = f"WITH {CENTROIDS_SQL} {_long_sql('centroids_', 'cell')}"
 
 
-def assignments(spark: SparkSession, folder: str) -> DataFrame:
-    """The two nearest cells of every vector."""
-    return vector_index.nearest_cells(residual(spark, folder), "vec_id", centroids(spark, folder), ASSIGNMENTS)
-
-
 _NEAR = """(SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, cell) - 1 AS rank FROM (
   SELECT r.vec_id, c.cell, round(list_dot_product(r.x, c.x), 9) AS score FROM {source} r CROSS JOIN centroids_ c))"""
 ASSIGNED_SQL = f"{CENTROIDS_SQL}, assigned_ AS (SELECT * FROM {_NEAR.format(source='residual_')} WHERE rank < {ASSIGNMENTS})"
 
 
 def assigned_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return assignments(spark, folder).withColumn("score", F.round("score", 6))
+    return Index(spark, folder).assigned.withColumn("score", F.round("score", 6))
 
 
 ASSIGNED = f"WITH {ASSIGNED_SQL} SELECT vec_id, cell, round(score, 6) AS score, rank FROM assigned_"
 
 
 def offsets(spark: SparkSession, folder: str) -> DataFrame:
-    return vector_index.cell_offsets(assignments(spark, folder), CELLS)
+    return vector_index.cell_offsets(Index(spark, folder).assigned, CELLS)
 
 
 OFFSETS = f"""WITH {ASSIGNED_SQL}, z_ AS (SELECT cell, coalesce(n, 0) AS size FROM (SELECT unnest(range({CELLS})) AS cell)
@@ -143,37 +188,19 @@ OFFSETS = f"""WITH {ASSIGNED_SQL}, z_ AS (SELECT cell, coalesce(n, 0) AS size FR
 SELECT cell, size, CAST(sum(size) OVER (ORDER BY cell) AS BIGINT) AS offset_to, CAST(sum(size) OVER (ORDER BY cell) - size AS BIGINT) AS offset_from FROM z_"""
 
 
-def search_queries(spark: SparkSession, folder: str) -> DataFrame:
-    return residual(spark, folder).filter(F.col("vec_id") % 100 == 0).withColumnRenamed("vec_id", "query_id")
-
-
-def probes(spark: SparkSession, folder: str) -> DataFrame:
-    return vector_index.nearest_cells(search_queries(spark, folder), "query_id", centroids(spark, folder), PROBES)
-
-
-def found(spark: SparkSession, folder: str) -> DataFrame:
-    return vector_index.candidates(probes(spark, folder), assignments(spark, folder), "query_id", "vec_id")
-
-
 FOUND_SQL = f"""{ASSIGNED_SQL}, asked_ AS (SELECT vec_id, x FROM residual_ WHERE vec_id % 100 = 0),
 probes_ AS (SELECT vec_id AS query_id, cell FROM {_NEAR.format(source='asked_')} WHERE rank < {PROBES}),
 found_ AS (SELECT query_id, cell, vec_id FROM probes_ JOIN assigned_ USING (cell))"""
 
 
 def probe_trace(spark: SparkSession, folder: str) -> DataFrame:
-    return vector_index.candidate_trace(found(spark, folder), "query_id", "vec_id")
+    return vector_index.candidate_trace(Index(spark, folder).found, "query_id", "vec_id")
 
 
 TRACE = f"""WITH {FOUND_SQL} SELECT query_id, CAST(sum(n) AS BIGINT) AS entries_read, max(n) AS largest, count(*) AS nonempty, any_value(u) AS unique_candidates
 FROM (SELECT query_id, cell, count(*) AS n FROM found_ GROUP BY 1, 2) JOIN (SELECT query_id, count(DISTINCT vec_id) AS u FROM found_ GROUP BY 1) USING (query_id) GROUP BY 1"""
 
 
-def _scored(pairs: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
-    asked = search_queries(spark, folder).select("query_id", F.col("x").alias("q"))
-    rows = residual(spark, folder).select("vec_id", "x")
-    return pairs.join(rows, "vec_id").join(asked, "query_id").select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("x")), 9).alias("score"))
-
-
 def _top(scores: DataFrame) -> DataFrame:
     best = lexical.top_k(scores, ["query_id"], TOP, "vec_id")
     return best.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
@@ -181,7 +208,8 @@ def _top(scores: DataFrame) -> DataFrame:
 
 def ivf_exact(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best of the probed cells by exact score."""
-    return _top(_scored(found(spark, folder).select("query_id", "vec_id").distinct(), spark, folder))
+    index = Index(spark, folder)
+    return _top(index.scored(index.found.select("query_id", "vec_id").distinct()))
 
 
 def _top_sql(source: str) -> str:
@@ -194,7 +222,11 @@ IVF_EXACT = f"WITH {FOUND_SQL} {_top_sql('(SELECT DISTINCT query_id, vec_id FROM
 
 def exact(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best of all vectors."""
-    best = vector_index.exact_top(search_queries(spark, folder), residual(spark, folder), "query_id", "vec_id", TOP)
+    return exact_best(Index(spark, folder))
+
+
+def exact_best(index: Index) -> DataFrame:
+    best = vector_index.exact_top(index.asked, index.rows, "query_id", "vec_id", TOP)
     return best.withColumn("score", F.round("score", 6))
 
 
@@ -203,8 +235,9 @@ EXACT = f"WITH {RESIDUAL_SQL}, asked_ AS (SELECT vec_id, x FROM residual_ WHERE
 
 def ivf_recall(spark: SparkSession, folder: str) -> DataFrame:
     """The share of the exact ten that probing finds, per query."""
-    near = found(spark, folder).select("query_id", "vec_id").distinct().withColumn("hit", F.lit(1))
-    best = exact(spark, folder).join(near, ["query_id", "vec_id"], "left")
+    index = Index(spark, folder)
+    near = index.found.select("query_id", "vec_id").distinct().withColumn("hit", F.lit(1))
+    best = exact_best(index).join(near, ["query_id", "vec_id"], "left")
     return best.groupBy("query_id").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"))
 
 
@@ -264,19 +297,9 @@ def rotated_long(spark: SparkSession, folder: str) -> DataFrame:
 ROTATED_LONG = f"WITH {RESIDUAL_SQL}, {ROTATED_SQL} {_long_sql('rotated_')}"
 
 
-def stored_cells(spark: SparkSession, folder: str, noise: float = 0.0) -> DataFrame:
-    rows = rotate(residual(spark, folder), spark).join(assignments(spark, folder).select("vec_id", "cell"), "vec_id")
-    return compartment.local_vectors(rows, "vec_id", compartment.cell_keys(spark, CELLS, WIDTH, CHOSEN, KEY), noise, "stored")
-
-
-def local_queries(spark: SparkSession, folder: str, noise: float = 0.0, seed: str = "asked") -> DataFrame:
-    asked = rotate(search_queries(spark, folder), spark).join(probes(spark, folder).select("query_id", "cell"), "query_id")
-    return compartment.local_vectors(asked, "query_id", compartment.cell_keys(spark, CELLS, WIDTH, CHOSEN, KEY), noise, seed)
-
-
 def local_long(spark: SparkSession, folder: str) -> DataFrame:
     """All stored vectors under their cells' keys."""
-    return stored_cells(spark, folder).select("vec_id", "cell", F.posexplode("y").alias("slot", "value")).withColumn("value", F.round("value", 6))
+    return Index(spark, folder).stored().select("vec_id", "cell", F.posexplode("y").alias("slot", "value")).withColumn("value", F.round("value", 6))
 
 
 LOCAL_SQL = f"""{ROTATED_SQL}, {KEYS_SQL}, folded_ AS (SELECT cell, list({{'pos': pos, 'sign': sign, 'multiplier': multiplier, 'shift': shift}} ORDER BY slot) AS k FROM keys_ GROUP BY 1),
@@ -287,8 +310,7 @@ LOCAL_LONG = f"WITH {FOUND_SQL}, {LOCAL_SQL} SELECT vec_id, cell, CAST(i - 1 AS
 
 def compartment_local(spark: SparkSession, folder: str) -> DataFrame:
     """The local best per query and probed cell, without noise."""
-    out = compartment.search_cells(local_queries(spark, folder), stored_cells(spark, folder), "query_id", "vec_id", LOCAL_TOP)
-    return out.withColumn("score", F.round("score", 6))
+    return Index(spark, folder).local_best().withColumn("score", F.round("score", 6))
 
 
 LOCAL_TOP_SQL = f"""{LOCAL_SQL}, local_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, cell ORDER BY score DESC, vec_id) - 1 AS local_rank FROM (
@@ -298,16 +320,18 @@ COMPARTMENT_LOCAL = f"WITH {FOUND_SQL}, {LOCAL_TOP_SQL} SELECT query_id, cell, v
 
 def compartment_ranking(spark: SparkSession, folder: str) -> DataFrame:
     """The union of local bests, ranked by exact score."""
-    local = compartment.search_cells(local_queries(spark, folder), stored_cells(spark, folder), "query_id", "vec_id", LOCAL_TOP)
-    return _top(_scored(local.select("query_id", "vec_id").distinct(), spark, folder))
+    return local_ranking(Index(spark, folder))
+
+
+def local_ranking(index: Index) -> DataFrame:
+    return _top(index.scored(index.local_best().select("query_id", "vec_id").distinct()))
 
 
 COMPARTMENT = f"WITH {FOUND_SQL}, {LOCAL_TOP_SQL} {_top_sql('(SELECT DISTINCT query_id, vec_id FROM local_)')}"
 
 
 def interleaved(spark: SparkSession, folder: str) -> DataFrame:
-    local = compartment.search_cells(local_queries(spark, folder), stored_cells(spark, folder), "query_id", "vec_id", LOCAL_TOP)
-    return compartment.interleaved(local, "query_id", "vec_id")
+    return compartment.interleaved(Index(spark, folder).local_best(), "query_id", "vec_id")
 
 
 INTERLEAVED = f"""WITH {FOUND_SQL}, {LOCAL_TOP_SQL} SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY r, c, vec_id) - 1 AS rank FROM (
@@ -316,13 +340,14 @@ INTERLEAVED = f"""WITH {FOUND_SQL}, {LOCAL_TOP_SQL} SELECT query_id, vec_id, row
 
 def noisy_repeats(spark: SparkSession, folder: str) -> DataFrame:
     """Compartment search with noise on stored vectors and queries, three repeats, and each one's overlap with the noiseless ten."""
-    stored = stored_cells(spark, folder, compartment.noise_radius(1.0, 0.1, False))
-    clean = compartment_ranking(spark, folder).select("query_id", "vec_id")
+    index = Index(spark, folder)
+    stored = index.stored(compartment.noise_radius(1.0, 0.1, False))
+    clean = local_ranking(index).select("query_id", "vec_id")
     out = None
     for repeat in range(3):
-        asked = local_queries(spark, folder, compartment.noise_radius(1.0, 0.1, True), f"asked:{repeat}")
+        asked = index.local_queries(compartment.noise_radius(1.0, 0.1, True), f"asked:{repeat}")
         local = compartment.search_cells(asked, stored, "query_id", "vec_id", LOCAL_TOP)
-        best = _top(_scored(local.select("query_id", "vec_id").distinct(), spark, folder))
+        best = _top(index.scored(local.select("query_id", "vec_id").distinct()))
         kept = best.join(clean, ["query_id", "vec_id"], "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("kept"))
         row = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("returned")).join(kept, "query_id", "left").withColumn("repeat_no", F.lit(repeat))
         out = row if out is None else out.unionByName(row)
@@ -350,11 +375,12 @@ CENTROID_FILES = """SELECT build_id, count(*) AS cells, count(x) AS with_centroi
 
 def neighbourhood_recall(spark: SparkSession, folder: str) -> DataFrame:
     """How many of a query's exact ten nearest others the keyed coordinates of its own cell give away."""
-    rows = residual(spark, folder)
-    near = vector_index.exact_top(search_queries(spark, folder), rows, "query_id", "vec_id", TOP + 1).filter("query_id <> vec_id")
+    index = Index(spark, folder)
+    rows = index.rows
+    near = vector_index.exact_top(index.asked, rows, "query_id", "vec_id", TOP + 1).filter("query_id <> vec_id")
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter(F.col("r") <= TOP).select("query_id", "vec_id")
-    own = vector_index.nearest_cells(rows, "vec_id", centroids(spark, folder), 1).select("vec_id", "cell")
-    stored = compartment.local_vectors(rotate(rows, spark).join(own, "vec_id"), "vec_id", compartment.cell_keys(spark, CELLS, WIDTH, CHOSEN, KEY))
+    own = vector_index.nearest_cells(rows, "vec_id", index.centroids, 1).select("vec_id", "cell")
+    stored = materialise(compartment.local_vectors(index.rotated.join(own, "vec_id"), "vec_id", index.keys))
     asked = stored.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "cell", "y")
     local = compartment.search_cells(asked, stored, "query_id", "vec_id", TOP + 1).filter("query_id <> vec_id")
     local = local.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("local_rank"))).filter(F.col("r") <= TOP).select("query_id", "vec_id")
