@@ -6,11 +6,17 @@ recomputed anywhere and doesn't depend on partitions.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.functions.keyed import hash_normal, hash_uniform
 from larkspan.functions.vector import dot
+from larkspan.operators.vector_index import matrix_of
 
 
 def global_key(spark, width: int, name: str) -> DataFrame:
@@ -104,3 +110,61 @@ def interleaved(found: DataFrame, query: str, item: str) -> DataFrame:
     best = found.groupBy(query, item).agg(F.min(F.struct("local_rank", "cell")).alias("b"))
     order = Window.partitionBy(query).orderBy("b.local_rank", "b.cell", item)
     return best.withColumn("rank", (F.row_number().over(order) - 1).cast("bigint")).select(query, item, "rank")
+
+
+def selected_local(rows: DataFrame, item: str, keys: DataFrame, key: DataFrame, width: int) -> DataFrame:
+    """(item, cell, y) of (item, cell, x) with x not rotated: only the cell's chosen coordinates are ever computed.
+
+    A rotated coordinate is one row of the Hadamard matrix between two sign rows, so it needs neither the
+    transform nor the other coordinates. Vectors may be shorter than `width`; the rest counts as zeros.
+    """
+    signs = key.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sign1"))), lambda s: s["sign1"]).alias("signs1"))
+    flips = key.select(F.col("pos").alias("source"), F.col("sign2").alias("flip"))
+    full = keys.join(key.select("pos", "source"), "pos").join(flips, "source")
+    folded = full.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("slot", "source", "flip", "sign", "multiplier", "shift"))).alias("key"))
+    joined = rows.join(F.broadcast(folded.join(F.broadcast(signs))), "cell")  # one row per cell
+    joined = joined.withColumn("z", F.zip_with("x", F.slice("signs1", F.lit(1), F.size("x")), lambda v, s: v * s))
+
+    def one(k):
+        terms = F.transform("z", lambda v, i: F.when(F.bit_count(k["source"].bitwiseAND(i)) % 2 == 0, v).otherwise(-v))
+        value = F.aggregate(terms, F.lit(0.0), lambda a, v: a + v) * k["flip"] / float(width) ** 0.5
+        return value * k["sign"] * k["multiplier"] + k["shift"]
+
+    return joined.select(item, "cell", F.transform("key", one).alias("y"))
+
+
+def projections(cells: list[int], width: int, chosen: int, name: str, scale: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per cell a random orthogonal projection to `chosen` dimensions, stretched by sqrt(width / chosen), and a translation.
+
+    The cell's generator is seeded by SHA-256 of the name and the cell, so each task can make it anew.
+    """
+    out = {}
+    for cell in cells:
+        seed = int.from_bytes(hashlib.sha256(f"{name}:{cell}:{width}:{chosen}".encode()).digest()[:8], "big")
+        random = np.random.default_rng(seed)
+        turn, _ = np.linalg.qr(random.normal(size=(width, chosen)))
+        out[cell] = turn * (width / chosen) ** 0.5, random.normal(0.0, scale, chosen)
+    return out
+
+
+def projected(rows: DataFrame, item: str, means: DataFrame, width: int, chosen: int, name: str, scale: float = 1.0) -> DataFrame:
+    """(item, cell, y): vectors minus their cell's mean, under the cell's projection and translation.
+
+    `means` (cell, x) is a bounded table like centroids. Batches are projected cell by cell; nothing is shuffled.
+    """
+    cells, centres = matrix_of(means)
+    told = rows.sparkSession.sparkContext.broadcast({int(c): m for c, m in zip(cells, centres, strict=True)})
+    kind = dict(rows.dtypes)[item]
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict = {}
+        for batch in batches:
+            for cell, part in batch.groupby("cell"):
+                if cell not in known:
+                    known |= projections([int(cell)], width, chosen, name, scale)
+                turn, shift = known[cell]
+                y = scale * (np.stack(part["x"].to_numpy()) - told.value[int(cell)]) @ turn + shift
+                yield pd.DataFrame({"item": part["item"].to_numpy(), "cell": int(cell), "y": list(y)})
+
+    given = rows.select(F.col(item).alias("item"), "cell", "x")
+    return given.mapInPandas(project, f"item {kind}, cell bigint, y array<double>").withColumnRenamed("item", item)

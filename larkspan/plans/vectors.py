@@ -255,14 +255,22 @@ def _uniform_tail(what: str, tail: str, *parts: str) -> str:
     return f"((CAST(('0x' || substring(sha256({text}), 1, 12)) AS UBIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)"
 
 
-GLOBAL_SQL = f"""global_ AS (SELECT pos, CASE WHEN {_uniform(KEY + ':sign1', 'pos')} < 0.5 THEN -1.0 ELSE 1.0 END AS sign1,
-  CASE WHEN {_uniform(KEY + ':sign2', 'pos')} < 0.5 THEN -1.0 ELSE 1.0 END AS sign2,
-  row_number() OVER (ORDER BY {_uniform(KEY + ':order', 'pos')}, pos) - 1 AS source FROM (SELECT unnest(range({WIDTH})) AS pos))"""
-KEYS_SQL = f"""keys_ AS (SELECT cell, row_number() OVER (PARTITION BY cell ORDER BY pos) - 1 AS slot, pos,
-  CASE WHEN {_uniform(KEY + ':sign', 'cell', 'pos')} < 0.5 THEN -1.0 ELSE 1.0 END AS sign, sqrt({WIDTH}.0::DOUBLE / {CHOSEN}) AS multiplier,
-  sqrt(-2 * ln({_uniform_tail(KEY + ':shift', 'u', 'cell', 'pos')})) * cos(2 * 3.141592653589793::DOUBLE * {_uniform_tail(KEY + ':shift', 'v', 'cell', 'pos')}) AS shift
-  FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY {_uniform(KEY + ':choice', 'cell', 'pos')}, pos) AS r
-    FROM (SELECT c.cell, p.pos FROM (SELECT unnest(range({CELLS})) AS cell) c CROSS JOIN (SELECT unnest(range({WIDTH})) AS pos) p)) WHERE r <= {CHOSEN})"""
+def global_sql(name: str, width: int) -> str:
+    return f"""global_ AS (SELECT pos, CASE WHEN {_uniform(name + ':sign1', 'pos')} < 0.5 THEN -1.0 ELSE 1.0 END AS sign1,
+  CASE WHEN {_uniform(name + ':sign2', 'pos')} < 0.5 THEN -1.0 ELSE 1.0 END AS sign2,
+  row_number() OVER (ORDER BY {_uniform(name + ':order', 'pos')}, pos) - 1 AS source FROM (SELECT unnest(range({width})) AS pos))"""
+
+
+def keys_sql(name: str, cells: int, width: int, chosen: int) -> str:
+    return f"""keys_ AS (SELECT cell, row_number() OVER (PARTITION BY cell ORDER BY pos) - 1 AS slot, pos,
+  CASE WHEN {_uniform(name + ':sign', 'cell', 'pos')} < 0.5 THEN -1.0 ELSE 1.0 END AS sign, sqrt({width}.0::DOUBLE / {chosen}) AS multiplier,
+  sqrt(-2 * ln({_uniform_tail(name + ':shift', 'u', 'cell', 'pos')})) * cos(2 * 3.141592653589793::DOUBLE * {_uniform_tail(name + ':shift', 'v', 'cell', 'pos')}) AS shift
+  FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY {_uniform(name + ':choice', 'cell', 'pos')}, pos) AS r
+    FROM (SELECT c.cell, p.pos FROM (SELECT unnest(range({cells})) AS cell) c CROSS JOIN (SELECT unnest(range({width})) AS pos) p)) WHERE r <= {chosen})"""
+
+
+GLOBAL_SQL = global_sql(KEY, WIDTH)
+KEYS_SQL = keys_sql(KEY, CELLS, WIDTH, CHOSEN)
 
 
 def keys_of_cells(spark: SparkSession, folder: str) -> DataFrame:
@@ -399,17 +407,50 @@ SELECT n.query_id, round(sum(CASE WHEN l.vec_id IS NULL THEN 0 ELSE 1 END) / {TO
 FROM near_ n LEFT JOIN loc_ l ON l.query_id = n.query_id AND l.vec_id = n.vec_id JOIN assigned_ o ON o.vec_id = n.vec_id JOIN assigned_ p ON p.vec_id = n.query_id GROUP BY 1"""
 
 
+def probe_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    """Recall of the exact ten, and what is read, for 1 to 16 probed cells."""
+    index = Index(spark, folder)
+    most = vector_index.nearest_cells(index.asked, "query_id", index.centroids, CELLS)
+    levels = spark.createDataFrame([(n,) for n in (1, 2, 4, 8, 16)], "probes bigint")
+    probes = most.join(F.broadcast(levels), F.col("rank") < F.col("probes"))  # five rows
+    seen = probes.select("query_id", "probes", "cell").join(index.assigned.select("cell", "vec_id"), "cell")
+    reads = seen.groupBy("probes").agg(F.count(F.lit(1)).alias("entries_read"))
+    best = exact_best(index).select("query_id", "vec_id")
+    hits = best.join(seen.select("query_id", "vec_id", "probes").distinct(), ["query_id", "vec_id"]).groupBy("probes").agg(F.count(F.lit(1)).alias("hits"))
+    return levels.join(reads, "probes", "left").join(hits, "probes", "left").na.fill(0)
+
+
+PROBE_SWEEP = f"""WITH {ASSIGNED_SQL}, asked_ AS (SELECT vec_id, x FROM residual_ WHERE vec_id % 100 = 0),
+best_ AS ({_top_sql('(SELECT a.vec_id AS query_id, b.vec_id FROM asked_ a CROSS JOIN residual_ b)')}),
+most_ AS (SELECT vec_id AS query_id, cell, rank FROM {_NEAR.format(source='asked_')}),
+seen_ AS (SELECT query_id, probes, vec_id FROM most_ JOIN (VALUES (1), (2), (4), (8), (16)) v(probes) ON rank < probes JOIN assigned_ USING (cell))
+SELECT CAST(p AS BIGINT) AS probes, (SELECT count(*) FROM seen_ s WHERE s.probes = p) AS entries_read,
+  (SELECT count(*) FROM best_ b WHERE EXISTS (SELECT 1 FROM seen_ s WHERE s.probes = p AND s.query_id = b.query_id AND s.vec_id = b.vec_id)) AS hits
+FROM (VALUES (1), (2), (4), (8), (16)) v(p)"""
+
+
+def projected_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    """Search over orthogonal projections per cell: how many of the exact ten are among the local bests of the probed cells."""
+    index = Index(spark, folder)
+    stored = compartment.projected(index.rows.join(index.assigned.select("vec_id", "cell"), "vec_id"), "vec_id", index.centroids, WIDTH, CHOSEN, KEY)
+    asked = compartment.projected(index.asked.join(index.probes.select("query_id", "cell"), "query_id"), "query_id", index.centroids, WIDTH, CHOSEN, KEY)
+    local = compartment.search_cells(asked, stored, "query_id", "vec_id", LOCAL_TOP).select("query_id", "vec_id").distinct().withColumn("hit", F.lit(1))
+    best = exact_best(index).join(local, ["query_id", "vec_id"], "left")
+    return best.groupBy("query_id").agg(F.sum(F.coalesce("hit", F.lit(0))).alias("hits"), F.count(F.lit(1)).alias("wanted"))
+
+
 QUERIES = {
     "b2_unit_vectors": unit_long, "d6_mean_vector": mean_long, "i1_residuals": residual_long, "b12_hadamard": hadamard_long, "b13_b14_rotation": rotated_long,
     "b20_augmented": augmented_long, "i3_lloyd_step": lloyd_long, "i2_trained_cells": trained_cells, "i4_c5_assignments": assigned_rows, "d7_offsets": offsets,
     "i5_d8_d9_probe_trace": probe_trace, "i8_ivf_exact": ivf_exact, "i9_c4_exact_top10": exact, "i5_ivf_recall": ivf_recall, "b18_cell_keys": keys_of_cells,
     "i11_local_vectors": local_long, "e2_compartment_local": compartment_local, "i12_i7_compartment_ranking": compartment_ranking, "e4_k8_interleaved": interleaved,
     "b15_b16_i6_noisy_repeats": noisy_repeats, "a7_index_files": cell_centroids, "k6_neighbourhood_recall": neighbourhood_recall,
+    "j17_probe_sweep": probe_sweep, "b19_i10_projected_search": projected_ranking,
 }
 SQL = {
     "b2_unit_vectors": UNIT_LONG, "d6_mean_vector": MEAN_LONG, "i1_residuals": RESIDUAL_LONG, "b12_hadamard": HADAMARD_LONG, "b13_b14_rotation": ROTATED_LONG,
     "b20_augmented": AUGMENTED_LONG, "i3_lloyd_step": LLOYD_LONG, "i4_c5_assignments": ASSIGNED, "d7_offsets": OFFSETS, "i5_d8_d9_probe_trace": TRACE,
     "i8_ivf_exact": IVF_EXACT, "i9_c4_exact_top10": EXACT, "i5_ivf_recall": RECALL, "b18_cell_keys": CELL_KEYS, "i11_local_vectors": LOCAL_LONG,
     "e2_compartment_local": COMPARTMENT_LOCAL, "i12_i7_compartment_ranking": COMPARTMENT, "e4_k8_interleaved": INTERLEAVED, "a7_index_files": CENTROID_FILES,
-    "k6_neighbourhood_recall": NEIGHBOURHOOD,
+    "k6_neighbourhood_recall": NEIGHBOURHOOD, "j17_probe_sweep": PROBE_SWEEP,
 }

@@ -147,3 +147,32 @@ def test_affine_recovery(spark):
     assert len(told) == 20 and all(r["covered"] and r["cosine"] > 0.999999 for r in told)
     lost = leakage.affine_recovery(seen.filter("item < 40"), seen.filter("item >= 40").withColumn("cell", F.lit(1).cast("bigint"))).collect()
     assert len(lost) == 20 and not any(r["covered"] for r in lost)
+
+
+def test_selected_coordinates_equal_the_rotation(spark):
+    from larkspan.plans import vectors as plans
+
+    _, rows = vectors(spark, 20, 64)
+    rows = rows.withColumn("cell", F.col("item") % 3)
+    keys = compartment.cell_keys(spark, 3, 64, 10, "k")
+    whole = compartment.local_vectors(plans.rotate(rows, spark), "item", keys)
+    some = compartment.selected_local(rows, "item", keys, compartment.global_key(spark, 64, plans.KEY), 64)
+    key = lambda df: {(r["item"], r["cell"]): r["y"] for r in df.collect()}
+    a, b = key(whole), key(some)
+    assert a.keys() == b.keys() and all(np.allclose(a[k], b[k]) for k in a)
+
+
+def test_projection_keeps_distances(spark):
+    x, rows = vectors(spark, 30, 16)
+    rows = rows.withColumn("cell", F.lit(0).cast("bigint"))
+    means = spark.createDataFrame([(0, [0.0] * 16)], "cell bigint, x array<double>")
+    y = {r["item"]: np.array(r["y"]) for r in compartment.projected(rows, "item", means, 16, 16, "p").collect()}
+    assert all(abs(np.linalg.norm(y[i] - y[j]) - np.linalg.norm(x[i] - x[j])) < 1e-9 for i in range(5) for j in range(5))
+
+
+def test_encoder_hook(spark):
+    from larkspan.sources.encoder import encoded
+
+    rows = spark.createDataFrame([(1, "ab"), (2, None)], "item int, text string")
+    got = {r["item"]: r["x"] for r in encoded(rows, "item", "text", lambda: lambda ts: np.array([[3.0 * len(t), 4.0 * len(t)] for t in ts])).collect()}
+    assert got == {1: [0.6, 0.8], 2: [0.0, 0.0]}
