@@ -109,15 +109,17 @@ def fit_lexicon(documents: list[tuple[str, set[str]]], subjects: list[str]) -> L
     names = list(index)
     priors = np.log(fit.sum(0) / number + 1e-6)
     lexicon = Lexicon(subjects, [names[i] for i in chosen], weight[chosen].astype(np.float32), priors, EVIDENCE[0])
-    lexicon.margin = max(EVIDENCE, key=lambda m: agreement(documents[:CALIBRATION_DOCUMENTS], lexicon, m))
+    automaton = build_automaton(lexicon)
+    evidence = [(sentence_evidence(text, automaton, lexicon), labels) for text, labels in documents[:CALIBRATION_DOCUMENTS]]
+    lexicon.margin = max(EVIDENCE, key=lambda m: agreement(evidence, lexicon, m))
     return lexicon
 
 
-def agreement(documents: list[tuple[str, set[str]]], lexicon: Lexicon, margin: float) -> float:
+def agreement(evidence: list[tuple[tuple[np.ndarray, np.ndarray], set[str]]], lexicon: Lexicon, margin: float) -> float:
     """F1 of the subjects assigned with this margin against the documents' labels."""
-    automaton, right, given, true = build_automaton(lexicon), 0, 0, 0
-    for text, labels in documents:
-        ours = {lexicon.subjects[k] for k, _ in document_subjects(sentence_subjects(text, automaton, lexicon, margin), len(lexicon.subjects))}
+    right, given, true = 0, 0, 0
+    for found, labels in evidence:
+        ours = {lexicon.subjects[k] for k, _ in document_subjects(sentence_classes(*found, lexicon, margin), len(lexicon.subjects))}
         theirs = {x for x in labels if x in lexicon.subjects}
         right, given, true = right + len(ours & theirs), given + len(ours), true + len(theirs)
     return 2 * right / max(1, given + true)
@@ -130,15 +132,8 @@ def document_subjects(classes: np.ndarray, none: int) -> list[tuple[int, float]]
     return [(int(k), float(counts[k] / total)) for k in np.flatnonzero(counts >= LEAST_SHARE * total)] if total else []
 
 
-def sentence_subjects(text: str, automaton, lexicon: Lexicon, margin: float | None = None) -> np.ndarray:
-    """The class of each sentence with known terms; the class after the last subject is none.
-
-    Each sentence's evidence is the sum of its terms' weights. A second pass adds what the text's other
-    sentences treat, which settles sentences whose own terms leave it open; evidence is then divided by
-    the number of terms and compared with the lexicon's margin.
-    """
-    none = len(lexicon.subjects)
-    margin = lexicon.margin if margin is None else margin
+def sentence_evidence(text: str, automaton, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Per sentence with known terms: the sum of its terms' weights by class, and the number of terms."""
     scores, sizes = [], []
     for sentence in sentences(text):
         found = set()
@@ -150,9 +145,19 @@ def sentence_subjects(text: str, automaton, lexicon: Lexicon, margin: float | No
         if found:
             scores.append(lexicon.weights[list(found)].sum(0))
             sizes.append(len(found))
-    if not scores:
+    return np.array(scores, dtype=np.float64).reshape(-1, len(lexicon.subjects) + 1), np.array(sizes)
+
+
+def sentence_classes(scores: np.ndarray, sizes: np.ndarray, lexicon: Lexicon, margin: float | None = None) -> np.ndarray:
+    """The class of each sentence; the class after the last subject is none.
+
+    A second pass adds what the text's other sentences treat, which settles sentences whose own terms
+    leave it open; evidence is then divided by the number of terms and compared with the margin.
+    """
+    none = len(lexicon.subjects)
+    margin = lexicon.margin if margin is None else margin
+    if not len(scores):
         return np.zeros(0, dtype=int)
-    scores, sizes = np.array(scores, dtype=np.float64), np.array(sizes)
 
     def decide(score):
         best = score.argmax(1)
@@ -206,7 +211,7 @@ def assign_subjects(documents: DataFrame, document: str, text: str, lexicon: Lex
             for t in batch["text"]:
                 classes = np.zeros(0, dtype=int)
                 if automaton is not None and isinstance(t, str):
-                    classes = sentence_subjects(t, automaton, known)
+                    classes = sentence_classes(*sentence_evidence(t, automaton, known), known)
                 found = document_subjects(classes, none)
                 main = max(found, key=lambda x: x[1])[0] if found else None
                 out.append((
