@@ -36,7 +36,8 @@ def fit_router(rows: DataFrame, features: list[str], target: str, trees: int = 5
     """A forest that predicts each query's best weight, its depth chosen by cross-validation.
 
     Classes weigh the same: each row's weight is the inverse of its class's frequency. Folds follow the hash of
-    `query_id`, so they don't depend on partitions.
+    `query_id`, so they don't depend on partitions. With a fold empty, as in a few rows, the least depth
+    is taken without cross-validation. Returns the model and the weights it chooses from.
     """
     sizes = rows.groupBy(target).agg(F.count(F.lit(1)).alias("_n"))  # one row per weight tried
     names = sorted(r[target] for r in sizes.collect())
@@ -44,9 +45,12 @@ def fit_router(rows: DataFrame, features: list[str], target: str, trees: int = 5
     fold = F.pmod(F.conv(F.substring(F.sha2("query_id", 256), 1, 8), 16, 10).cast("bigint"), F.lit(folds)).cast("int")
     given = rows.join(F.broadcast(sizes), target).withColumn("label", index[F.col(target)]).withColumn("weight", 1.0 / F.col("_n")).withColumn("fold", fold)
     forest = RandomForestClassifier(numTrees=trees, minInstancesPerNode=15, weightCol="weight", labelCol="label", seed=seed)
+    ready = assembled(given, features)
+    if given.select("fold").distinct().count() < folds:
+        return forest.setMaxDepth(depths[0]).fit(ready), names
     grid = ParamGridBuilder().addGrid(forest.maxDepth, list(depths)).build()
     judge = MulticlassClassificationEvaluator(metricName="weightedRecall", labelCol="label", weightCol="weight")
-    tuned = CrossValidator(estimator=forest, estimatorParamMaps=grid, evaluator=judge, foldCol="fold", numFolds=folds).fit(assembled(given, features))
+    tuned = CrossValidator(estimator=forest, estimatorParamMaps=grid, evaluator=judge, foldCol="fold", numFolds=folds).fit(ready)
     return tuned.bestModel, names
 
 
