@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspan.functions.keyed import hash_coordinate, hash_sign, keyed_term
 from larkspan.functions.text import clean_key, tokens
-from larkspan.session import small
+from larkspan.session import materialise, small
 
 #: Fixed values of the scoring functions.
 K1, B = 1.2, 0.75
@@ -114,6 +114,21 @@ def top_k(scores: DataFrame, by: list[str], k: int, item: str = "doc_idx", score
     return scores.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= k).withColumn(rank, F.col(rank) - 1)
 
 
+def best_documents(terms: DataFrame, weighted: DataFrame, k: int) -> DataFrame:
+    """`top_k` of `bm25_scores`, with queries as numbers in between: short keys make pairs cheap to add up.
+
+    The numbers come from a window over the distinct queries of at most MOST_TERMS terms; more terms go without.
+    """
+    asked = terms.select("query_id", "term")
+    if asked.limit(MOST_TERMS + 1).count() > MOST_TERMS:
+        return top_k(bm25_scores(asked, weighted), ["query_id"], k)
+    numbers = asked.select("query_id").distinct().withColumn("_no", F.row_number().over(Window.orderBy("query_id")))
+    numbers = F.broadcast(materialise(numbers))  # at most MOST_TERMS rows
+    short = asked.join(numbers, "query_id").select(F.col("_no").alias("query_id"), "term")
+    best = top_k(bm25_scores(short, weighted), ["query_id"], k).withColumnRenamed("query_id", "_no")
+    return best.join(numbers, "_no").drop("_no")
+
+
 def with_frequencies(terms: DataFrame, frequencies: DataFrame) -> DataFrame:
     """Query terms with their `df`; unknown terms have 0. Terms of queries recur, so the vocabulary is the joined side."""
     return terms.join(frequencies, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))

@@ -132,23 +132,23 @@ SELECT query_id, doc_idx, round(score, 6) AS score, rank FROM (SELECT *, row_num
   FROM scores_) WHERE rank < {k}"""
 
 
-def _result(scores: DataFrame, k: int) -> DataFrame:
-    top = lexical.top_k(scores, ["query_id"], k)
+def _result(terms: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+    top = lexical.best_documents(terms, weights, k)
     return top.select("query_id", "doc_idx", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def bm25_top10(spark: SparkSession, folder: str) -> DataFrame:
     """The flagship: the ten best records per query."""
-    return _result(lexical.bm25_scores(base.terms(spark, folder), weighted(spark, folder)), 10)
+    return _result(base.terms(spark, folder), weighted(spark, folder), 10)
 
 
 def fts_top10(spark: SparkSession, folder: str) -> DataFrame:
-    return _result(lexical.bm25_scores(base.terms(spark, folder), weighted(spark, folder, exact=False)), 10)
+    return _result(base.terms(spark, folder), weighted(spark, folder, exact=False), 10)
 
 
 def rarest_ranking(spark: SparkSession, folder: str) -> DataFrame:
     chosen = lexical.rarest_terms(base.known_terms(spark, folder), 2)
-    return _result(lexical.bm25_scores(chosen, weighted(spark, folder, exact=False)), 100)
+    return _result(chosen, weighted(spark, folder, exact=False), 100)
 
 
 RAREST = _ranked_sql("""SELECT query_id, term FROM (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY df, term) AS r
@@ -178,7 +178,7 @@ SELECT query_id, array_to_string(terms, ' ') AS terms, len(terms) AS n_terms, sp
 def planner_ranking(spark: SparkSession, folder: str) -> DataFrame:
     plan = lexical.terms_under_budget(base.known_terms(spark, folder), BUDGETS[1])
     chosen = plan.select("query_id", F.explode("terms").alias("term"))
-    return _result(lexical.bm25_scores(chosen, weighted(spark, folder, exact=False)), 1000)
+    return _result(chosen, weighted(spark, folder, exact=False), 1000)
 
 
 PLANNER = _ranked_sql("SELECT query_id, unnest(terms) AS term FROM plan_", 1000, False).replace(", chosen_ AS", f", {_planned_sql(BUDGETS[1])}, chosen_ AS", 1)
