@@ -78,6 +78,30 @@ def test_groups_salted_and_empty(spark, monkeypatch):
     assert empty.groups.count() == 0 and grouping.tight_groups(empty, 0.85, 0.8).count() == 0
 
 
+def hot_region(loose=6000, pairs=150, d=64):
+    """Loose rows with a cosine of about 0.5 with each other, and isolated pairs of cosine 0.92 among them."""
+    rng = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    centre = unit(rng.normal(size=d))
+    own = lambda n: unit(unit(rng.normal(size=(n, d))) + centre)
+    near = own(pairs)
+    side = rng.normal(size=(pairs, d))
+    side = unit(side - (side * near).sum(1, keepdims=True) * near)
+    rows = [(f"p{i}a", v.tolist()) for i, v in enumerate(near)] + [(f"p{i}b", v.tolist()) for i, v in enumerate(0.92 * near + (1 - 0.92**2) ** 0.5 * side)]
+    return rows + [(f"loose{i}", v.tolist()) for i, v in enumerate(own(loose))]
+
+
+@pytest.mark.parametrize("block", [4096, 50])
+def test_pairs_behind_an_unrelated_head(spark, monkeypatch, block):
+    monkeypatch.setattr(grouping, "BLOCK", block)
+    rows = hot_region()
+    found = grouping.group_vectors(spark.createDataFrame(rows, "m string, v array<double>"), F.col("m"), F.col("v"), 64)
+    name = {r["id"]: r["member"] for r in found.members.select("id", "member").collect()}
+    links = {frozenset((name[r["a"]], name[r["b"]])) for r in found.links.collect()}
+    linked = sum(frozenset((f"p{i}a", f"p{i}b")) in links for i in range(150))
+    assert linked >= 146  # 0.97; the rest share no bucket
+
+
 # 2. sampling
 
 
