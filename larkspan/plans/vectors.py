@@ -14,7 +14,8 @@ from larkspan.session import materialise, table
 
 #: Nine of sixteen cells: with fewer than eight the probes find less than 0.9 of the exact ten.
 CELLS, ASSIGNMENTS, PROBES = 16, 2, 9
-WIDTH, CHOSEN, LOCAL_TOP, TOP = 64, 16, 3, 10
+#: The reference's largest local depth: by 16 of 64 coordinates 64 rows a cell find 0.835 of the exact ten (sf0.1), 96 find 0.915.
+WIDTH, CHOSEN, LOCAL_TOP, TOP = 64, 16, 128, 10
 KEY = "semantic"
 
 

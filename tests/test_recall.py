@@ -31,3 +31,10 @@ def test_probed_cells(spark, folder):
     assert recall(vectors.ivf_exact(spark, folder).collect(), folder) >= 0.9
     told = [r["recall"] for r in vectors.ivf_recall(spark, folder).collect()]
     assert sum(told) / len(told) >= 0.9
+
+
+@pytest.mark.parametrize("folder", FOLDERS)
+def test_local_bests(spark, folder):
+    assert recall(vectors.compartment_ranking(spark, folder).collect(), folder) >= 0.9
+    told = vectors.projected_ranking(spark, folder).collect()
+    assert sum(r["hits"] for r in told) / sum(r["wanted"] for r in told) >= 0.9
