@@ -12,7 +12,7 @@ from larkspan.plans import base
 
 TERM_KEY, FEATURE_KEY, PARTITION_KEY, CELL_KEY = b"term key", b"feature key", b"partition key", b"cell key"
 COORDINATES = 64
-BUDGETS = (50, 200, 1000)
+BUDGETS = (10_000, 50_000, 250_000)
 K1, B = lexical.K1, lexical.B
 
 
