@@ -12,6 +12,8 @@ from larkspan.session import materialise
 
 ALIAS_KEY_A, ALIAS_KEY_B = b"alias a", b"alias b"
 DEPTH = 20
+#: The reference's weights of the semantic list beside the learned ranking.
+RANKER_WEIGHTS = (0.0, 0.5, 0.8, 0.9, 0.95)
 
 
 def balanced(spark: SparkSession, folder: str) -> DataFrame:
@@ -110,11 +112,8 @@ def _featured(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
     return rows, [*features, *[c for c in per_query.columns if c != "query_id"]]
 
 
-def learned_fusion(spark: SparkSession, folder: str, rounds: int = 10) -> DataFrame:
-    """The learned ranker: depth and weight chosen on the inner half of the calibration queries, reported on the outer half.
-
-    Ten rounds keep the check quick; the operator's default is 120.
-    """
+def learned_fusion(spark: SparkSession, folder: str, rounds: int = 120) -> DataFrame:
+    """The learned ranker: depth and weight chosen on the inner half of the calibration queries, reported on the outer half."""
     rows, features = _featured(spark, folder)
     rows = materialise(rows)
     outer, inner = in_half(F.col("query_id"), "outer"), in_half(F.col("query_id"), "inner")
@@ -134,9 +133,9 @@ def learned_fusion(spark: SparkSession, folder: str, rounds: int = 10) -> DataFr
         return value or 0.0
 
     best = (-1.0, learning.DEPTHS[0], 0.0)
-    for depth in learning.DEPTHS[:2]:
+    for depth in learning.DEPTHS:
         model = learning.fit_ranker(sample(rows.filter(~outer & ~inner)), features, depth, rounds)
-        for weight in (0.0, 0.5, 0.9):
+        for weight in RANKER_WEIGHTS:
             best = max(best, (ndcg(mixed(model, rows.filter(~outer & inner), weight)), depth, weight))
     model = learning.fit_ranker(sample(rows.filter(~outer)), features, best[1], rounds)
     final = metrics.query_metrics(mixed(model, rows.filter(outer), best[2]), judged, fusion_plans.CASE)
