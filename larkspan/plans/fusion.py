@@ -210,10 +210,10 @@ SELECT w, ndcg10, cases, row_number() OVER (ORDER BY ndcg10 DESC, w DESC) = 1 AS
   SELECT w, round(avg(ndcg10), 6) AS ndcg10, count(*) AS cases FROM metrics_ GROUP BY 1)"""
 
 
-def routed_weights(spark: SparkSession, folder: str) -> DataFrame:
+def routed_weights(spark: SparkSession, folder: str, weights: tuple[float, ...] = GRID) -> DataFrame:
     """Per query the weight with the best mean nDCG over repeats, of equals the largest: the router's target."""
-    grid = spark.createDataFrame([(w,) for w in GRID], "w double")
-    rows = base.rankings(spark, folder).join(F.broadcast(grid))  # six rows
+    grid = spark.createDataFrame([(w,) for w in weights], "w double")
+    rows = base.rankings(spark, folder).join(F.broadcast(grid))  # a row per weight
     lists = fusion.fused(rows, [*CASE, "w"], "doc_idx", "pos", _list_weight(F.col("w")), 10)
     per = metrics.query_metrics(lists, base.judgements(spark, folder), [*CASE, "w"]).groupBy("query_id", "w").agg(F.round(F.avg("ndcg10"), 9).alias("ndcg10"))
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("ndcg10").desc(), F.col("w").desc()))

@@ -12,7 +12,8 @@ from larkspan.session import materialise
 
 ALIAS_KEY_A, ALIAS_KEY_B = b"alias a", b"alias b"
 DEPTH = 20
-#: The reference's weights of the semantic list beside the learned ranking.
+#: The reference's weights of the semantic list that the router chooses from, and those beside the learned ranking.
+ROUTER_WEIGHTS = (0.80, 0.85, 0.90, 0.93, 0.95, 0.97, 0.98, 1.0)
 RANKER_WEIGHTS = (0.0, 0.5, 0.8, 0.9, 0.95)
 
 
@@ -82,8 +83,8 @@ def local_view(spark: SparkSession, folder: str) -> DataFrame:
 def topics(spark: SparkSession, folder: str) -> DataFrame:
     """Topic inference from cells alone and from keyed coordinates, on the held-out half."""
     view = local_view(spark, folder).withColumn("held_out", in_half(F.col("item").cast("string"), "topic")).withColumn("label", F.col("label").cast("double"))
-    cells = leakage.topic_inference(leakage.one_hot(view, "cell", vectors.CELLS), "label", "held_out", 30)
-    blocks = leakage.topic_inference(leakage.block_features(view, "cell", "y", vectors.CELLS, vectors.CHOSEN), "label", "held_out", 30)
+    cells = leakage.topic_inference(leakage.one_hot(view, "cell", vectors.CELLS), "label", "held_out", 1500)
+    blocks = leakage.topic_inference(leakage.block_features(view, "cell", "y", vectors.CELLS, vectors.CHOSEN), "label", "held_out", 1500)
     return cells.withColumn("view", F.lit("cells")).unionByName(blocks.withColumn("view", F.lit("coordinates")))
 
 
@@ -142,16 +143,26 @@ def learned_fusion(spark: SparkSession, folder: str, rounds: int = 120) -> DataF
     return final.agg(F.lit(best[1]).alias("depth"), F.lit(best[2]).alias("weight"), F.count(F.lit(1)).alias("cases"), F.round(F.avg("ndcg10"), 6).alias("ndcg10"), F.round(F.avg("recall100"), 6).alias("recall100"))
 
 
-def router(spark: SparkSession, folder: str) -> DataFrame:
-    """The forest's weight per query of the outer half, beside the best one."""
-    targets = fusion_plans.routed_weights(spark, folder)
+def router(spark: SparkSession, folder: str, trees: int = 300) -> DataFrame:
+    """The outer half fused with the forest's weights (`routed`) and with each query's best ones (`oracle`).
+
+    Per kind: queries, cases, mean nDCG and recall, and the share of queries whose predicted weight is the best.
+    """
+    targets = materialise(fusion_plans.routed_weights(spark, folder, ROUTER_WEIGHTS))
     features = fusion_plans.query_features(spark, folder).withColumn("has_digit", F.col("has_digit").cast("double"))
     names = [c for c in features.columns if c != "query_id"]
     rows = materialise(features.join(targets, "query_id"))
     outer = in_half(F.col("query_id"), "outer")
-    model, weights = learning.fit_router(rows.filter(~outer), names, "best_weight", 20)
-    told = learning.routed(model, weights, rows.filter(outer), names)
-    return told.join(targets.select("query_id", "best_weight"), "query_id").groupBy("w", "best_weight").agg(F.count(F.lit(1)).alias("queries"))
+    model, weights = learning.fit_router(rows.filter(~outer), names, "best_weight", trees)
+    told = materialise(learning.routed(model, weights, rows.filter(outer), names).join(targets.select("query_id", "best_weight"), "query_id"))
+    kinds = F.explode(F.array(F.struct(F.lit("routed").alias("kind"), F.col("w").alias("w")), F.struct(F.lit("oracle").alias("kind"), F.col("best_weight").alias("w")))).alias("k")
+    lists = base.rankings(spark, folder).join(told.select("query_id", kinds).select("query_id", "k.kind", "k.w"), "query_id")
+    case = [*fusion_plans.CASE, "kind"]
+    fused = fusion.fused(lists, case, "doc_idx", "pos", F.when(F.col("list_name") == base.SEMANTIC, F.col("w")).otherwise(1 - F.col("w")), 100)
+    per = metrics.query_metrics(fused, base.judgements(spark, folder), case).groupBy("kind").agg(
+        F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("cases"), F.round(F.avg("ndcg10"), 6).alias("ndcg10"), F.round(F.avg("recall100"), 6).alias("recall100"))
+    agreed = told.agg(F.round(F.avg((F.col("w") == F.col("best_weight")).cast("double")), 6).alias("agreement"))  # one row
+    return per.join(F.broadcast(agreed))
 
 
 QUERIES = {

@@ -24,3 +24,12 @@ def test_all_depths_weights_and_rounds(spark, monkeypatch):
     plans.QUERIES["j6_j7_j9_learned_fusion"](spark, FOLDER)
     assert fitted[:3] == [(3, 120), (4, 120), (5, 120)] and fitted[3][1] == 120
     assert len(mixed) >= 12  # four weights above 0 for each depth
+
+
+def test_router_scores_routed_and_oracle(spark, monkeypatch):
+    asked, fit = [], plans.learning.fit_router
+    monkeypatch.setattr(plans.learning, "fit_router", lambda rows, names, target, trees: asked.append(trees) or fit(rows, names, target, 5))
+    got = {r["kind"]: r for r in plans.QUERIES["j11_router"](spark, FOLDER).collect()}
+    assert asked == [300] and set(got) == {"routed", "oracle"}
+    assert got["routed"]["cases"] == got["oracle"]["cases"] > 0
+    assert got["oracle"]["ndcg10"] >= got["routed"]["ndcg10"] - 1e-6
