@@ -197,8 +197,9 @@ def p6_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents that were cut."""
-    return p6_packing(spark, folder).filter("piece_no > 0").select("doc_id").distinct()
+    """The documents that lie in more than one container."""
+    placed = p6_packing(spark, folder).filter("container is not null").groupBy("doc_id")
+    return placed.agg(F.min("container").alias("first"), F.max("container").alias("last")).filter("first < last").select("doc_id")
 
 
 P6_FOUND = "SELECT doc_id FROM documents WHERE len(regexp_extract_all(lower(text), '[a-z0-9]+')) > 512"
@@ -219,9 +220,8 @@ def p6_packing_bpe(spark: SparkSession, folder: str, tokenizer: str = TOKENIZER)
 
 
 def document_subjects(spark: SparkSession, folder: str) -> DataFrame:
-    names = table(spark, folder, "subjects")
     documents, labels = table(spark, folder, "documents"), table(spark, folder, "subject_labels")
-    known = sorted(r["subject"] for r in names.select("subject").filter("subject is not null").distinct().limit(1_000).collect())
+    known = subjects.subject_names(table(spark, folder, "subjects"))
     lexicon = subjects.fit_lexicon(subjects.labelled_sample(documents, labels), known)
     return subjects.assign_subjects(documents, "doc_id", "text", lexicon)
 

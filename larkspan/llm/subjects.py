@@ -4,36 +4,40 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.functions.text import clean_key
 from larkspan.operators.numbering import hash_key
-
-#: Labelled documents that the terms and their weights are drawn from, at most; chosen by hash.
-LABELLED_DOCUMENTS = 20_000
-#: Terms in the lexicon, at most (the most telling ones).
-LEXICON_TERMS = 20_000
-#: A term needs this many sentences of labelled documents.
-LEAST_SENTENCES = 3
+from larkspan.session import discard, materialise
+
+#: Labelled documents that the terms, their weights and the thresholds are drawn from, at most; chosen by
+#: hash. They are also the bound of what the driver fits: the sample ends before its texts exceed so many characters.
+LABELLED_DOCUMENTS, SAMPLE_CHARACTERS = 20_000, 500_000_000
+#: Of the sample one document in so many is not used for the terms; the thresholds are calibrated on these.
+HELD_OUT = 5
+#: The allowed subjects fit on the driver; more raise an error.
+MOST_SUBJECTS = 1_000
+#: A term needs this many sentences of labelled documents, and a weight of this size for some subject.
+LEAST_SENTENCES, LEAST_WEIGHT = 3, 0.5
 #: A document treats a subject in at least this share of its sentences that treat any subject.
 LEAST_SHARE = 0.25
 #: A term speaks for a subject if of equally many sentences per subject this share has it there.
 LEAST_PURITY = 0.5
-#: Mean evidence per matched term (natural logarithm) that a sentence may need for its subject against
-#: none; the one that agrees best with labelled documents is taken, the first of equals.
-EVIDENCE = (1.0, 0.5, 1.5, 2.0, 3.0)
-#: Labelled documents that the evidence is calibrated on, at most.
-CALIBRATION_DOCUMENTS = 1_000
-#: Longer labelled documents are not drawn for the lexicon; the corpus itself has no such limit.
-LONGEST_LABELLED = 100_000
+#: Mean evidence per matched term (natural logarithm) that a sentence may need for a subject against none;
+#: each subject has the one that agrees best with held-out documents, the first of equals.
+EVIDENCE = (1.0, 0.5, 0.75, 1.25, 1.5, 2.0, 3.0)
+#: Times that each subject's threshold is chosen anew beside the others'.
+SWEEPS = 2
 ROUNDS = 12
 NO_SUBJECT = "none"
 SENTENCE_ENDS = re.compile(r"(?<=[.!?])[\s\"'»)*_]+|[\r\n]+|</?(?:p|li|br|div|h\d)\b[^>]*>")
 WORDS = re.compile(r"[^\W_]+")
+BETWEEN_WORDS = re.compile(r"[\W_]+")
 
 
 def sentences(text: str) -> list[str]:
@@ -41,11 +45,14 @@ def sentences(text: str) -> list[str]:
     return [s for s in SENTENCE_ENDS.split(text.lower()) if s and not s.isspace()]
 
 
-class Lexicon:
-    """Weighted terms per subject. Picklable; at most LEXICON_TERMS rows of one number per class."""
+class Lexicon(NamedTuple):
+    """Weighted terms: a row of `weights` per term with a number per subject and a last one for none."""
 
-    def __init__(self, subjects: list[str], terms: list[str], weights: np.ndarray, priors: np.ndarray, margin: float):
-        self.subjects, self.terms, self.weights, self.priors, self.margin = subjects, terms, weights, priors, margin
+    subjects: list[str]
+    terms: list[str]
+    weights: np.ndarray
+    priors: np.ndarray
+    thresholds: np.ndarray
 
 
 def fit_lexicon(documents: list[tuple[str, set[str]]], subjects: list[str]) -> Lexicon:
@@ -56,8 +63,10 @@ def fit_lexicon(documents: list[tuple[str, set[str]]], subjects: list[str]) -> L
     or to none in proportion to how well its words fit, the words' frequencies per subject follow from
     that, and so on for a fixed number of rounds. A term's weight is the logarithm of its frequency in
     a subject's sentences against its frequency in all; rare terms of few sentences are smoothed to 0.
-    Without documents the lexicon is empty and no text treats a subject.
+    Without documents the lexicon is empty and no text treats a subject. One document in HELD_OUT gives no
+    terms; on these the subjects' thresholds are calibrated.
     """
+    held, documents = documents[HELD_OUT - 1 :: HELD_OUT], [d for i, d in enumerate(documents) if i % HELD_OUT != HELD_OUT - 1]
     known = {s: i for i, s in enumerate(subjects)}
     classes, none = len(subjects) + 1, len(subjects)
     rows, terms, allowed, index = [], [], [], {}
@@ -78,7 +87,7 @@ def fit_lexicon(documents: list[tuple[str, set[str]]], subjects: list[str]) -> L
                     rows.append(row)
                     terms.append(index.setdefault(w, len(index)))
     if not rows:
-        return Lexicon(subjects, [], np.zeros((0, classes)), np.zeros(classes), 0.0)
+        return Lexicon(subjects, [], np.zeros((0, classes)), np.zeros(classes), np.zeros(none))
     rows, terms, allow = np.array(rows), np.array(terms), np.log(np.array(allowed))
     frequency = np.bincount(terms, minlength=len(index))
     kept = frequency >= LEAST_SENTENCES
@@ -103,92 +112,118 @@ def fit_lexicon(documents: list[tuple[str, set[str]]], subjects: list[str]) -> L
         score -= score.max(1, keepdims=True)
         fit = np.exp(score)
         fit /= fit.sum(1, keepdims=True)
-    telling = np.abs(weight).max(1) * kept
-    chosen = np.argsort(-telling, kind="stable")[:LEXICON_TERMS]
-    chosen = chosen[telling[chosen] >= 0.5]
+    chosen = np.flatnonzero(np.abs(weight).max(1) * kept >= LEAST_WEIGHT)
     names = list(index)
     priors = np.log(fit.sum(0) / number + 1e-6)
-    lexicon = Lexicon(subjects, [names[i] for i in chosen], weight[chosen].astype(np.float32), priors, EVIDENCE[0])
-    automaton = build_automaton(lexicon)
-    evidence = [(sentence_evidence(text, automaton, lexicon), labels) for text, labels in documents[:CALIBRATION_DOCUMENTS]]
-    lexicon.margin = max(EVIDENCE, key=lambda m: agreement(evidence, lexicon, m))
-    return lexicon
-
-
-def agreement(evidence: list[tuple[tuple[np.ndarray, np.ndarray], set[str]]], lexicon: Lexicon, margin: float) -> float:
-    """F1 of the subjects assigned with this margin against the documents' labels."""
-    right, given, true = 0, 0, 0
-    for found, labels in evidence:
-        ours = {lexicon.subjects[k] for k, _ in document_subjects(sentence_classes(*found, lexicon, margin), len(lexicon.subjects))}
-        theirs = {x for x in labels if x in lexicon.subjects}
-        right, given, true = right + len(ours & theirs), given + len(ours), true + len(theirs)
-    return 2 * right / max(1, given + true)
-
-
-def document_subjects(classes: np.ndarray, none: int) -> list[tuple[int, float]]:
-    """(subject, share) of those with at least LEAST_SHARE of the sentences that treat any subject."""
-    counts = np.bincount(classes, minlength=none + 1)[:none]
-    total = counts.sum()
-    return [(int(k), float(counts[k] / total)) for k in np.flatnonzero(counts >= LEAST_SHARE * total)] if total else []
-
-
-def sentence_evidence(text: str, automaton, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """Per sentence with known terms: the sum of its terms' weights by class, and the number of terms."""
-    scores, sizes = [], []
-    for sentence in sentences(text):
-        found = set()
-        last = len(sentence) - 1
-        for end, (i, length) in automaton.iter(sentence):
-            start = end - length + 1
-            if (start == 0 or not sentence[start - 1].isalnum()) and (end == last or not sentence[end + 1].isalnum()):
-                found.add(i)
-        if found:
-            scores.append(lexicon.weights[list(found)].sum(0))
-            sizes.append(len(found))
-    return np.array(scores, dtype=np.float64).reshape(-1, len(lexicon.subjects) + 1), np.array(sizes)
-
-
-def sentence_classes(scores: np.ndarray, sizes: np.ndarray, lexicon: Lexicon, margin: float | None = None) -> np.ndarray:
-    """The class of each sentence; the class after the last subject is none.
-
-    A second pass adds what the text's other sentences treat, which settles sentences whose own terms
-    leave it open; evidence is then divided by the number of terms and compared with the margin.
-    """
-    none = len(lexicon.subjects)
-    margin = lexicon.margin if margin is None else margin
-    if not len(scores):
-        return np.zeros(0, dtype=int)
+    lexicon = Lexicon(subjects, [names[i] for i in chosen], weight[chosen].astype(np.float32), priors, np.full(none, EVIDENCE[0]))
+    return lexicon._replace(thresholds=calibrated(held, lexicon))
 
-    def decide(score):
-        best = score.argmax(1)
-        sure = (score[np.arange(len(score)), best] - score[:, none]) / sizes >= margin
-        return np.where(sure, best, none)
 
-    first = np.bincount(decide(scores + lexicon.priors), minlength=none + 1)
-    return decide(scores + np.log((first + 0.3) / (first.sum() + 0.3 * (none + 1))))
+def calibrated(documents: list[tuple[str, set[str]]], lexicon: Lexicon) -> np.ndarray:
+    """The evidence that each subject needs, chosen for the best F1 of the subjects assigned to `documents`."""
+    evidence = batch_evidence([text for text, _ in documents], build_automaton(lexicon.terms), lexicon.weights)
+    labelled = np.array([[s in labels for s in lexicon.subjects] for _, labels in documents], dtype=bool).reshape(len(documents), -1)
+
+    def agreement(thresholds: np.ndarray) -> float:
+        given = document_shares(evidence, len(documents), lexicon.priors, thresholds)[0] >= LEAST_SHARE
+        return 2 * (given & labelled).sum() / max(1, given.sum() + labelled.sum())
+
+    best = max((np.full(len(lexicon.subjects), e) for e in EVIDENCE), key=agreement)
+    for _ in range(SWEEPS):
+        for k in range(len(best)):
+            tried = [np.where(np.arange(len(best)) == k, e, best) for e in (best[k], *EVIDENCE)]
+            best = max(tried, key=agreement)
+    return best
 
 
-def build_automaton(lexicon: Lexicon):
+class Evidence(NamedTuple):
+    """Per sentence with known terms: its document, the sum of its terms' weights by class, and the number of terms."""
+
+    document: np.ndarray
+    scores: np.ndarray
+    sizes: np.ndarray
+
+
+def build_automaton(terms: list[str]):
+    """Terms with a blank on both sides, as `batch_evidence` writes its sentences; so only whole words match."""
     import ahocorasick
 
     automaton = ahocorasick.Automaton()
-    for i, term in enumerate(lexicon.terms):
-        automaton.add_word(term, (i, len(term)))
+    for i, term in enumerate(terms):
+        automaton.add_word(f" {term} ", i)
     automaton.make_automaton()
     return automaton
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = LABELLED_DOCUMENTS) -> list[tuple[str, set[str]]]:
-    """At most `most` labelled documents (text, labels), the same in every run; bounded, so collected.
+def batch_evidence(texts: list, automaton, weights: np.ndarray) -> Evidence:
+    """The evidence of all sentences of whole texts; what is no text has none. A term counts once a sentence."""
+    documents, pairs = [], []
+    for number, text in enumerate(texts):
+        if not isinstance(text, str) or not len(weights):
+            continue
+        for sentence in sentences(text):
+            found = {i for _, i in automaton.iter(f" {BETWEEN_WORDS.sub(' ', sentence)} ")}
+            if found:
+                documents.append(number)
+                pairs.append(np.fromiter(found, dtype=np.int64, count=len(found)))
+    sizes = np.array([len(p) for p in pairs], dtype=np.int64)
+    scores = np.zeros((len(pairs), weights.shape[1]))
+    if len(pairs):
+        starts = np.r_[0, np.cumsum(sizes)[:-1]]
+        # Parts of sentences, so that the terms' weights of a large batch needn't lie side by side.
+        for at in range(0, len(pairs), 20_000):
+            part = np.concatenate(pairs[at : at + 20_000])
+            scores[at : at + 20_000] = np.add.reduceat(weights[part].astype(np.float64), starts[at : at + 20_000] - starts[at], axis=0)
+    return Evidence(np.array(documents, dtype=np.int64), scores, sizes)
+
+
+def document_shares(evidence: Evidence, documents: int, priors: np.ndarray, thresholds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per document: each subject's share of the sentences that treat any, these sentences, and those with known terms.
+
+    A sentence has the subject with the most evidence if that exceeds the evidence for none by the
+    subject's threshold per term. A second pass adds what the text's other sentences treat, which settles
+    sentences whose own terms leave it open.
+    """
+    at, scores, sizes = evidence
+    classes = len(priors)
+    none = classes - 1
+    needed = np.r_[thresholds, 0.0]
+
+    def counts(score: np.ndarray) -> np.ndarray:
+        best = score.argmax(1)
+        sure = (score[np.arange(len(score)), best] - score[:, none]) / sizes >= needed[best]
+        return np.bincount(at * classes + np.where(sure, best, none), minlength=documents * classes).reshape(documents, classes)
+
+    first = counts(scores + priors)
+    treated = counts(scores + np.log((first + 0.3) / (first.sum(1, keepdims=True) + 0.3 * classes))[at])
+    own = treated[:, :none]
+    total = own.sum(1)
+    return own / np.maximum(total, 1)[:, None], total, treated.sum(1)
+
+
+def subject_names(subjects: DataFrame) -> list[str]:
+    """The allowed subjects in order; they must be at most MOST_SUBJECTS."""
+    names = [r[0] for r in subjects.select("subject").filter("subject is not null").distinct().limit(MOST_SUBJECTS + 1).collect()]  # bounded by the check that follows
+    if len(names) > MOST_SUBJECTS:
+        raise ValueError(f"more than {MOST_SUBJECTS} subjects")
+    return sorted(names)
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = LABELLED_DOCUMENTS, characters: int = SAMPLE_CHARACTERS) -> list[tuple[str, set[str]]]:
+    """At most `most` labelled documents (text, labels) of at most `characters` in all, in an order by hash.
 
-    Labels compare without case and blanks; null labels, labels of unknown documents and null texts are
-    left out.
+    Bounded, so collected, and the same in every run. Labels compare without case and blanks; null labels,
+    labels of unknown documents and null or empty texts are left out.
     """
     cleaned = labels.select("doc_id", clean_key(F.col("subject")).alias("label")).filter("doc_id is not null and label <> ''")
-    chosen = cleaned.groupBy("doc_id").agg(F.array_sort(F.collect_set("label")).alias("labels")).orderBy(hash_key(F.col("doc_id"))).limit(most)
-    texts = documents.select("doc_id", "text").filter(F.length("text").between(1, LONGEST_LABELLED))
-    rows = texts.join(F.broadcast(chosen), "doc_id").collect()  # at most `most` documents
-    return [(r["text"], set(r["labels"])) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
+    hashed = cleaned.groupBy("doc_id").agg(F.array_sort(F.collect_set("label")).alias("labels")).withColumn("order", hash_key(F.col("doc_id")))
+    chosen = hashed.orderBy("order").limit(most)
+    sample = materialise(documents.select("doc_id", "text").filter(F.length("text") > 0).join(F.broadcast(chosen), "doc_id"))  # at most `most` rows
+    upto = sample.select("order", "text", F.length("text").cast("bigint").alias("length")).withColumn("upto", F.sum("length").over(Window.orderBy("order", "length").rowsBetween(Window.unboundedPreceding, 0)))
+    kept = upto.filter(F.col("upto") <= characters).agg(F.max("order").alias("last"))
+    rows = sample.join(F.broadcast(kept), F.col("order") <= F.col("last")).select("order", "text", "labels").collect()  # one row broadcast; at most `characters`
+    discard(sample)
+    return [(r["text"], set(r["labels"])) for r in sorted(rows, key=lambda r: (r["order"], r["text"]))]
 
 
 def assign_subjects(documents: DataFrame, document: str, text: str, lexicon: Lexicon) -> DataFrame:
@@ -199,28 +234,26 @@ def assign_subjects(documents: DataFrame, document: str, text: str, lexicon: Lex
     subjects, null without any. Whole texts are read, in Arrow batches; null, blank or wordless texts get
     no subject. Other columns are dropped, so their names can't clash. Repeated rows stay repeated.
     """
-    told = documents.sparkSession.sparkContext.broadcast(lexicon)
+    # Plain lists and arrays: a broadcast object of this package could not be read where the package isn't installed.
+    told = documents.sparkSession.sparkContext.broadcast((lexicon.subjects, lexicon.terms, lexicon.weights, lexicon.priors, lexicon.thresholds))
     kind = dict(documents.dtypes)[document]
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = told.value
-        automaton = build_automaton(known) if known.terms else None
-        none = len(known.subjects)
-        for batch in batches:
-            out = []
-            for t in batch["text"]:
-                classes = np.zeros(0, dtype=int)
-                if automaton is not None and isinstance(t, str):
-                    classes = sentence_classes(*sentence_evidence(t, automaton, known), known)
-                found = document_subjects(classes, none)
-                main = max(found, key=lambda x: x[1])[0] if found else None
-                out.append((
-                    [{"subject": known.subjects[k], "share": share} for k, share in found],
-                    None if main is None else known.subjects[main],
-                    len(classes), int((classes != none).sum()),
-                ))
-            columns = ["subjects", "main_subject", "known_sentences", "subject_sentences"]
-            yield pd.concat([batch[["document"]].reset_index(drop=True), pd.DataFrame(out, columns=columns)], axis=1)
+        names, terms, weights, priors, thresholds = told.value
+        automaton = build_automaton(terms)
+        for whole in batches:
+            for start in range(0, len(whole), 2_000):
+                batch = whole.iloc[start : start + 2_000]
+                evidence = batch_evidence(batch["text"].tolist(), automaton, weights)
+                shares, total, known = document_shares(evidence, len(batch), priors, thresholds)
+                given = (shares >= LEAST_SHARE) & (total > 0)[:, None]
+                main = np.where(given.any(1), shares.argmax(1), -1)
+                yield pd.DataFrame({
+                    "document": batch["document"].to_numpy(),
+                    "subjects": [[{"subject": names[k], "share": float(row[k])} for k in np.flatnonzero(g)] for row, g in zip(shares, given, strict=True)],
+                    "main_subject": [names[k] if k >= 0 else None for k in main],
+                    "known_sentences": known.astype(np.int32), "subject_sentences": total.astype(np.int32),
+                })
 
     rows = documents.select(F.col(document).alias("document"), F.col(text).alias("text"))
     schema = f"document {kind}, subjects array<struct<subject:string,share:double>>, main_subject string, known_sentences int, subject_sentences int"
