@@ -38,6 +38,20 @@ def resumable(spark: SparkSession, path: str, parameters: dict[str, object], bui
     return spark.read.parquet(at)
 
 
+def parts(spark: SparkSession, path: str) -> tuple[list[str], str]:
+    """The complete parts of an append-only table at `path`, in their order, and the folder of the next part.
+
+    A part is written as a table of its own into the next folder, with an error if that exists; one that was
+    never finished is passed over. There must be one writer at a time.
+    """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().getName() for s in files.listStatus(at)) if files.exists(at) else []
+    numbers = [n for n in names if n.startswith("part-") and n[5:].isdigit()]
+    last = int(numbers[-1][5:]) if numbers else 0
+    return [f"{path}/{n}" for n in numbers if finished(spark, f"{path}/{n}")], f"{path}/part-{last + 1:08}"
+
+
 def save_model(model: MLWritable, path: str) -> None:
     model.write().overwrite().save(path)
 
