@@ -34,6 +34,7 @@ def distinctiveness(counts: DataFrame, prior_tokens: float = PRIOR_TOKENS) -> Da
     tokens have no rows, nor has an empty collection. Counting terms aggregates partially in each task;
     the statistics of common terms are broadcast (see COMMON_SHARE), the others are joined by term.
     """
+    counts = materialise(counts)  # read three times
     statistics = materialise(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("collection_tf")))
     sizes = statistics.agg(F.sum("df").alias("_rows"), F.sum("collection_tf").cast("double").alias("all_tokens"))
     statistics = statistics.join(F.broadcast(sizes))  # one row

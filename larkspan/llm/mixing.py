@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.functions.text import stripped
 from larkspan.operators.numbering import dense_numbers, hash_key, prefix_length
-from larkspan.session import materialise, small
+from larkspan.session import materialise
 
-#: Cells (source, language, topic) that fit on the driver; more raise an error.
+#: Cells (source, language, topic) and target sources that fit on the driver; more of either raise an error.
 MOST_CELLS = 100_000
 ROUNDS = 200
 CLOSE = 1e-10
@@ -22,9 +24,9 @@ def source_key(source: Column) -> Column:
 
 
 def language_key(language: Column, known: tuple[str, ...] = ("en", "de", "fr", "es")) -> Column:
-    """The language without case and suffix, or `other`."""
+    """The language without case and suffix; `other` if it isn't among the known ones, `unknown` for null, blank or `und`."""
     plain = F.substring_index(F.substring_index(F.lower(stripped(language)), "-", 1), "_", 1)
-    return F.when(plain.isin(*known), plain).otherwise(F.lit("other"))
+    return F.when(plain.isin(*known), plain).when(plain.isNull() | plain.isin("", "und"), F.lit("unknown")).otherwise(F.lit("other"))
 
 
 def scaled_to(target: float, tokens: np.ndarray, weights: np.ndarray, cap: float) -> np.ndarray:
@@ -44,7 +46,15 @@ def scaled_to(target: float, tokens: np.ndarray, weights: np.ndarray, cap: float
         free &= ~over
 
 
-def rake(cells: list[tuple[str, str, str, int]], shares: dict[str, float], caps: dict[str, int], total: int) -> np.ndarray:
+class Raked(NamedTuple):
+    """Weights per cell, the rounds taken, and the largest change of a weight in the last one (relative to the largest weight)."""
+
+    weights: np.ndarray
+    rounds: int
+    change: float
+
+
+def rake(cells: list[tuple[str, str, str, int]], shares: dict[str, float], caps: dict[str, int], total: int) -> Raked:
     """Iterative proportional fitting of token weights per cell (source, language, topic, tokens).
 
     The marginals are the sources' targets (as far as their caps allow), and the languages' and topics'
@@ -58,8 +68,9 @@ def rake(cells: list[tuple[str, str, str, int]], shares: dict[str, float], caps:
     goal = {s: min(shares[s] * total, caps[s] * tokens[g].sum()) for s, g in groups.items()}
     wanted = sum(goal.values())
     if not len(cells) or wanted <= 0:
-        return np.zeros(len(cells))
-    for _ in range(ROUNDS):
+        return Raked(np.zeros(len(cells)), 0, 0.0)
+    change, rounds = np.inf, 0
+    while change >= CLOSE and rounds < ROUNDS:
         before = weights
         for names, at in axes:
             now = np.bincount(at, weights=tokens * weights, minlength=len(names))
@@ -69,44 +80,53 @@ def rake(cells: list[tuple[str, str, str, int]], shares: dict[str, float], caps:
         for s, g in groups.items():
             if len(g):
                 weights[g] = scaled_to(goal[s], tokens[g], weights[g], caps[s]) if goal[s] > 0 else 0.0
-        if np.abs(weights - before).max() < CLOSE:
-            break
-    return weights
+        change, rounds = float(np.abs(weights - before).max() / max(1.0, weights.max())), rounds + 1
+    return Raked(weights, rounds, change)
+
 
+class Mixture(NamedTuple):
+    """What `mix` returns."""
 
-def mix(documents: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(uses, report) for documents (document, source, language, topic, tokens) and targets (source, target_share, max_repeats).
+    uses: DataFrame
+    report: DataFrame
+    marginals: DataFrame
+
+
+def mix(documents: DataFrame, targets: DataFrame) -> Mixture:
+    """Mix documents (document, source, language, topic, tokens) to targets (source, target_share, max_repeats).
 
     `uses` has a row per document of a target source: how often it is used, at most `max_repeats` times.
     Documents of a cell, ordered by length, are drawn systematically with the cell's weight from `rake`,
     so that the drawn tokens differ from the wanted ones by about one document per cell. `report` has a
-    row per target source: documents, available, wanted and reached tokens, the share reached, and
-    `short` where `max_repeats` times the available tokens is less than `target_share` of the tokens of
-    all documents of target sources. Documents of other or null sources take no part. Sources compare
-    as given (see `source_key`); of a repeated target the first share counts, a null share is 0, a null
-    `max_repeats` 1. Without documents every share reached is null.
+    row per target source: documents, available, wanted, raked and reached tokens, the share reached, and
+    `short` where the raked weights fall short of `target_share` of the tokens of all documents of target
+    sources, as the caps then do. `marginals` has a row per axis (source, language, topic) and value: wanted, raked
+    and reached tokens, the rounds of raking, and whether it `converged`; where it didn't, the source's
+    tokens still are as raked, the languages' and topics' as near as the rounds came. Documents of other
+    or null sources take no part. Sources compare as given (see `source_key`); of a repeated target the
+    least share counts, a null share is 0, a null `max_repeats` 1. Without documents every share reached
+    is null.
     """
     spark = documents.sparkSession
     goals = targets.filter(F.col("source").isNotNull()).groupBy("source").agg(
         F.coalesce(F.min("target_share"), F.lit(0.0)).alias("target_share"),
         F.greatest(F.coalesce(F.min("max_repeats"), F.lit(1)), F.lit(0)).cast("int").alias("max_repeats"),
     )
-    goals = small(goals)
-    sized = materialise(documents.select("document", "source", F.coalesce("language", F.lit("other")).alias("language"), F.coalesce("topic", F.lit("none")).alias("topic"), "tokens").join(goals, "source", "left_semi"))
+    goals = materialise(goals)
+    wanted = _bounded(goals, "target sources")
+    goals = F.broadcast(goals)  # bounded by that
+    sized = materialise(documents.select("document", "source", F.coalesce("language", F.lit("unknown")).alias("language"), F.coalesce("topic", F.lit("none")).alias("topic"), "tokens").join(goals, "source", "left_semi"))
     cells = sized.groupBy("source", "language", "topic").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
-    known = cells.limit(MOST_CELLS + 1).collect()  # bounded by the check that follows
-    if len(known) > MOST_CELLS:
-        raise ValueError(f"more than {MOST_CELLS} cells of source, language and topic")
+    known = _bounded(cells, "cells of source, language and topic")
     known.sort(key=lambda r: (r["source"], r["language"], r["topic"]))
-    wanted = goals.limit(MOST_CELLS).collect()  # one row per target source
     total = sum(r["tokens"] for r in known)
-    weights = rake(
+    raked = rake(
         [(r["source"], r["language"], r["topic"], r["tokens"]) for r in known],
         {r["source"]: r["target_share"] for r in wanted}, {r["source"]: r["max_repeats"] for r in wanted}, total,
     )
     drawn = spark.createDataFrame(
-        [(r["source"], r["language"], r["topic"], float(w)) for r, w in zip(known, weights, strict=True)],
-        "_source string, _language string, _topic string, weight double",
+        [(r["source"], r["language"], r["topic"], float(w), float(w) * r["tokens"]) for r, w in zip(known, raked.weights, strict=True)],
+        "_source string, _language string, _topic string, weight double, raked double",
     )
     cell = ["source", "language", "topic"]
     # Documents of a length are cut by hash, so that copies of one text don't meet in one task.
@@ -117,17 +137,39 @@ def mix(documents: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]
     start = F.conv(F.substring(hash_key(F.col("_source"), F.col("_language"), F.col("_topic")), 1, 8), 16, 10).cast("double") / 2.0**32
     upto = lambda n: F.floor(n * F.col("weight") + start)
     uses = (
-        placed.join(small(drawn, MOST_CELLS), same)
+        placed.join(F.broadcast(drawn), same)  # at most MOST_CELLS rows
         .join(goals.select("source", "max_repeats"), "source")
         .select("document", "source", "language", "topic", "tokens", F.least(upto(F.col("_number") + 1) - upto(F.col("_number")), F.col("max_repeats")).cast("int").alias("uses"))
     )
-    reached = uses.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("available_tokens"), F.sum(F.col("tokens") * F.col("uses")).alias("reached_tokens"))
-    report = goals.join(reached, "source", "left").na.fill(0, ["documents", "available_tokens", "reached_tokens"])
+    per_cell = uses.groupBy(*cell).agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("available_tokens"), F.sum(F.col("tokens") * F.col("uses")).alias("reached_tokens"))
+    planned = drawn.select(*[F.col(f"_{c}").alias(c) for c in cell], "raked")
+    totals = per_cell.join(F.broadcast(planned), cell)
+    reached = totals.groupBy("source").agg(F.sum("documents").alias("documents"), F.sum("available_tokens").alias("available_tokens"), F.sum("reached_tokens").alias("reached_tokens"), F.sum("raked").alias("raked_tokens"))
+    report = goals.join(reached, "source", "left").na.fill(0, ["documents", "available_tokens", "reached_tokens", "raked_tokens"])
     everything = report.agg(F.sum("reached_tokens").alias("_reached"))  # one row
     aim = F.col("target_share") * F.lit(float(total))
+    # The raked tokens tell; an exact comparison settles what lies within their rounding.
+    exact = F.col("max_repeats") * F.col("available_tokens") < aim
+    short = F.when(F.col("raked_tokens") < aim * (1 - 1e-9), F.lit(True)).otherwise(exact)
     report = report.join(F.broadcast(everything)).select(
-        "source", "target_share", "max_repeats", "documents", "available_tokens", aim.alias("target_tokens"), "reached_tokens",
-        F.when(F.col("_reached") > 0, F.col("reached_tokens") / F.col("_reached")).alias("reached_share"),
-        (F.col("max_repeats") * F.col("available_tokens") < aim).alias("short"),
+        "source", "target_share", "max_repeats", "documents", "available_tokens", aim.alias("target_tokens"), "raked_tokens", "reached_tokens",
+        F.when(F.col("_reached") > 0, F.col("reached_tokens") / F.col("_reached")).alias("reached_share"), short.alias("short"),
+    )
+    axis = F.explode(F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).alias("value")) for c in cell])).alias("at")
+    sides = totals.select(axis, "available_tokens", "raked", "reached_tokens").groupBy("at.axis", "at.value").agg(
+        F.sum("available_tokens").alias("available_tokens"), F.sum("raked").alias("raked_tokens"), F.sum("reached_tokens").alias("reached_tokens"))
+    aims = goals.select(F.col("source").alias("value"), F.lit("source").alias("axis"), aim.alias("aim"))
+    planned_tokens = float(sum(w * r["tokens"] for r, w in zip(known, raked.weights, strict=True)))
+    share = F.lit(planned_tokens / total if total else 0.0)
+    marginals = sides.join(aims, ["axis", "value"], "left").select(
+        "axis", "value", "available_tokens", F.coalesce("aim", share * F.col("available_tokens")).alias("wanted_tokens"), "raked_tokens", "reached_tokens",
+        F.lit(raked.rounds).alias("rounds"), F.lit(raked.change < CLOSE).alias("converged"),
     )
-    return uses, report
+    return Mixture(uses, report, marginals)
+
+
+def _bounded(rows: DataFrame, what: str) -> list:
+    found = rows.limit(MOST_CELLS + 1).collect()  # bounded by the check that follows
+    if len(found) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} {what}")
+    return found

@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspan.functions.text import stripped
 from larkspan.llm import distinctive, grouping, mixing, packing, rank_merge, sampling, subjects
-from larkspan.session import table
+from larkspan.session import scratch_root, table
 
 SAMPLE_SHARE = 0.1
 SHIFT = 0.3819
 
 
-def p2_sample(spark: SparkSession, folder: str) -> DataFrame:
-    """A tenth of the distinct queries."""
+def p2_sample(spark: SparkSession, folder: str, numbers: str | None = None) -> DataFrame:
+    """A tenth of the distinct queries. Their numbers are kept in the table `numbers`, which each run extends.
+
+    Unless told otherwise it lies in the session's shared folder, under a name made from `folder`.
+    """
+    path = numbers or f"{scratch_root(spark)}/larkspan-numbers-{hashlib.sha256(folder.encode()).hexdigest()[:32]}"
     delivered = table(spark, folder, "queries")
-    numbered = sampling.sequence_numbers(delivered, stripped(F.col("_id")), F.col("batch_no"))
+    numbered = sampling.persistent_numbers(delivered, stripped(F.col("_id")), F.col("batch_no"), path)
     return sampling.stable_sample(numbered, SAMPLE_SHARE, SHIFT).withColumnRenamed("key", "query_id")
 
 
@@ -36,17 +42,19 @@ def combined_rankings(spark: SparkSession, folder: str) -> DataFrame:
     entries = table(spark, folder, "rankings").filter(F.col("doc_idx") >= 0)
     config = table(spark, folder, "fusion_config")
     # The two weights sum to 1, so either tells both.
-    weights = config.groupBy("dataset").agg(F.max(F.coalesce("semantic_weight", 1 - F.col("lexical_weight"))).alias("weight_a"))
+    known = lambda c: F.when(~F.isnan(c), F.col(c))
+    semantic = config.groupBy("dataset").agg(F.max(F.coalesce(known("semantic_weight"), 1 - known("lexical_weight"))).alias("weight"))
+    weights = semantic.withColumn("list_name", F.lit(SEMANTIC)).unionByName(semantic.select("dataset", (1 - F.col("weight")).alias("weight"), F.lit(LEXICAL).alias("list_name")))
     ranks = rank_merge.list_ranks(entries, CASE, "list_name", "doc_idx", "score", "pos")
-    return rank_merge.robust_aggregation(ranks, weights, CASE, "list_name", "doc_idx", SEMANTIC, LEXICAL, ["dataset"])
+    return rank_merge.robust_aggregation(ranks, weights, CASE, "list_name", "doc_idx", (SEMANTIC, LEXICAL), ["dataset"])
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """The leader of each combined ranking that is beyond doubt."""
-    both = (F.col("place_a") <= 19) & (F.col("place_b") <= 19)
-    ranked = combined_rankings(spark, folder).withColumn("shared", F.sum(both.cast("int")).over(Window.partitionBy(*CASE)))
-    sure = (F.col("final_rank") == 1) & (F.col("place_a") <= 2) & (F.col("place_b") <= 2) & (F.col("shared") == 1)
-    return ranked.filter(sure).select("query_id", "repeat_no", "doc_idx")
+    both = lambda last: (F.col("places")[0] <= last) & (F.col("places")[1] <= last)
+    shared = F.sum(F.coalesce(both(19), F.lit(False)).cast("int")).over(Window.partitionBy(*CASE))
+    ranked = combined_rankings(spark, folder).withColumn("shared", shared)
+    return ranked.filter((F.col("final_rank") == 1) & both(2) & (F.col("shared") == 1)).select("query_id", "repeat_no", "doc_idx")
 
 
 P4_FOUND = """
@@ -236,7 +244,7 @@ def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
     return subjects.composition(document_subjects(spark, folder), "doc_id")
 
 
-def mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def mixture(spark: SparkSession, folder: str) -> mixing.Mixture:
     documents = table(spark, folder, "documents").select(
         F.col("doc_id").alias("document"), mixing.source_key(F.col("source")).alias("source"),
         mixing.language_key(F.col("lang")).alias("language"), packing.own_size(F.col("text")).alias("tokens"),
@@ -248,7 +256,7 @@ def mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """The sources that can't reach their target."""
-    return mixture(spark, folder)[1].filter("short").select("source")
+    return mixture(spark, folder).report.filter("short").select("source")
 
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(13) || chr(160)"
@@ -264,18 +272,23 @@ SELECT source FROM u WHERE max_repeats * n < target_share * (SELECT CAST(sum(n)
 
 def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     """Wanted and reached shares per source."""
-    return mixture(spark, folder)[1]
+    return mixture(spark, folder).report
+
+
+def p7_marginals(spark: SparkSession, folder: str) -> DataFrame:
+    """Wanted, raked and reached tokens per source, language and topic."""
+    return mixture(spark, folder).marginals
 
 
 def p7_uses(spark: SparkSession, folder: str) -> DataFrame:
     """How often each document is used."""
-    return mixture(spark, folder)[0]
+    return mixture(spark, folder).uses
 
 
 QUERIES = {
     "p1_found": p1_found, "p1_groups": p1_groups, "p2_sample": p2_sample, "p4_found": p4_found, "p4_ranking": p4_ranking,
     "p5_found": p5_found, "p5_scores": p5_scores, "p6_found": p6_found, "p6_packing": p6_packing, "p6_report": p6_report,
-    "p6_packing_bpe": p6_packing_bpe, "p7_found": p7_found, "p7_report": p7_report, "p7_uses": p7_uses,
+    "p6_packing_bpe": p6_packing_bpe, "p7_found": p7_found, "p7_report": p7_report, "p7_marginals": p7_marginals, "p7_uses": p7_uses,
     "p8_found": p8_found, "p8_composition": p8_composition,
 }
 SQL = {

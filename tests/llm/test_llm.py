@@ -132,6 +132,35 @@ def test_sample_registry_and_dirt(spark):
     assert sampling.sequence_numbers(df.limit(0), F.col("key"), F.col("batch")).count() == 0
 
 
+def test_late_keys_move_nothing(spark, tmp_path):
+    take = lambda df, path, **k: {r["key"] for r in sampling.stable_sample(sampling.persistent_numbers(df, F.col("key"), F.col("batch"), path, **k), 0.2).collect()}
+    frame = lambda rows: spark.createDataFrame([(*r, "x") for r in rows], "key string, batch int, sequence_no string")
+    rows, before, path = [(f"a{i}", 0) for i in range(500)] + [(f"n{i}", None) for i in range(500)], set(), str(tmp_path / "numbers")
+    grown = [[], [(f"b{i}", 1) for i in range(333)], [(f"late{i}", 0) for i in range(50)], [(f"m{i}", None) for i in range(70)], [("n3", 0), ("n4", 2), ("a7", None), (None, 3)], []]
+    for more in grown:
+        rows = rows + more
+        now = take(frame(rows), path)
+        assert before <= now and abs(len(now) - 0.2 * len({k for k, _ in rows if k})) <= 4
+        before = now
+    assert take(frame(rows).repartition(11), path, per_bucket=20) == before
+    assert take(frame(rows[:500]), path) == {k for k in before if k.startswith("a")}  # numbers of keys that aren't there have no row
+    (tmp_path / "numbers" / "part-00000099").mkdir()  # a part that was never finished
+    assert before <= take(frame([*rows, ("z", 0)]), path)
+    assert take(frame(rows).limit(0), str(tmp_path / "none")) == set()
+
+
+def test_sample_query_keeps_its_numbers(spark, tmp_path):
+    import shutil
+
+    folder, numbers = str(tmp_path / "in"), str(tmp_path / "numbers")
+    os.mkdir(folder)
+    whole = spark.read.parquet(f"{FOLDER}/queries.parquet")
+    late = whole.filter("batch_no = 2").limit(5).select("_id")
+    take = lambda df: (shutil.rmtree(f"{folder}/queries.parquet", ignore_errors=True), df.write.parquet(f"{folder}/queries.parquet"), {r[0] for r in queries.p2_sample(spark, folder, numbers).select("query_id").collect()})[2]
+    first = take(whole.filter("batch_no <= 5").join(late, "_id", "left_anti"))
+    assert first and first <= take(whole)
+
+
 # 4. merging
 
 
@@ -146,27 +175,72 @@ def test_beta_probability(spark):
     for a in (0.4, 0.8, 1.0, 1.2, 1.6):
         b = 3 - a
         for x in (0.01, 0.3, 0.5, 0.7, 0.99):
-            cols = [F.lit(x), F.lit(a), F.lit(b), F.array(*map(F.lit, rank_merge.beta_coefficients(a, b))), F.array(*map(F.lit, rank_merge.beta_coefficients(b, a)))]
-            got = spark.range(1).select(rank_merge.beta_probability(*cols)).first()[0]
+            a_, b_ = F.lit(a), F.lit(b)
+            got = spark.range(1).select(rank_merge.beta_probability(F.lit(x), a_, b_, rank_merge.beta_coefficients(a_, b_), rank_merge.beta_coefficients(b_, a_))).first()[0]
             assert abs(got - quad(x, a, b)) < 1e-4
 
 
+def test_ln_gamma(spark):
+    from math import lgamma
+
+    for r in spark.createDataFrame([(z,) for z in (1e-9, 0.01, 0.5, 1.0, 2.0, 3.7, 13.0)], "z double").select("z", rank_merge.ln_gamma(F.col("z")).alias("g")).collect():
+        assert abs(r["g"] - lgamma(r["z"])) < 1e-11
+
+
+def test_merge_of_three_lists(spark):
+    """Against the definition, item by item: weighted, with a list of no weight, and equal lists."""
+    from math import comb
+
+    random.seed(8)
+    rows = [("q", name, i, float(s)) for name, n in (("a", 9), ("b", 7), ("c", 8), ("d", 5)) for s, i in enumerate(random.sample(range(12), n))]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "q string, which string, item int, score double, ds string")
+    ranks = rank_merge.list_ranks(df, ["q", "ds"], "which", "item", "score")
+    told = {(r["which"], r["item"]): r["list_rank"] for r in ranks.collect()}
+    schema = "ds string, which string, weight double"
+
+    def definition(lists):
+        items = {i for w, i in told if w in "abcd"}
+        out = {}
+        for i in items:
+            xs, n = sorted(told[w, i] / len(items) if (w, i) in told else 1.0 for w in lists), len(lists)
+            tail = lambda k, x: sum(comb(n, j) * x**j * (1 - x) ** (n - j) for j in range(k, n + 1))
+            out[i] = min(1.0, n * min(tail(k + 1, x) for k, x in enumerate(xs)))
+        return out
+
+    def merged(weights, lists=("a", "b", "c", "d")):
+        got = rank_merge.robust_aggregation(ranks, spark.createDataFrame(weights, schema), ["q", "ds"], "which", "item", lists, ["ds"])
+        return {r["item"]: r["significance"] for r in got.collect()}
+
+    def same(x, y):
+        return x.keys() == y.keys() and all(abs(x[i] - y[i]) < 1e-9 for i in x)
+
+    assert same(merged([]), definition("abcd")) and same(merged([("x", w, 3.0) for w in "abcd"]), definition("abcd"))
+    assert same(merged([("x", "a", 0.5), ("x", "b", 0.5), ("x", "c", float("nan")), ("x", "d", -1.0), ("x", "a", 0.1), ("y", "a", 0.0)]), merged([("x", "a", 0.5), ("x", "b", 0.5), ("x", "c", None), ("x", "d", 0.0)]))
+    assert same(merged([("x", "a", 0.5), ("x", "b", 0.5), ("x", "c", None), ("x", "d", 0.0)]), merged([("x", "a", 0.5), ("x", "b", 0.5), ("x", "c", 1 / 3), ("x", "d", 0.0)]))
+    assert same(merged([("x", "a", 0.5), ("x", "b", 0.5), ("x", "c", 0.5), ("x", "d", 0.0)]), definition("abc"))
+    assert same(merged([("x", "a", 1.0), ("x", "b", 0.0), ("x", "c", 0.0), ("x", "d", 0.0)]), definition("a"))
+    heavy = merged([("x", "a", 10.0), ("x", "b", 1.0), ("x", "c", 1.0), ("x", "d", 1.0)])
+    assert min(heavy, key=heavy.get) in {i for (w, i), r in told.items() if w == "a" and r <= 3}
+    with pytest.raises(ValueError):
+        merged([], tuple("abcdefghijklm"))
+
+
 def test_merge(spark):
     rows = [("q", "s", i, 1000.0 - i) for i in range(20)] + [("q", "l", 100 + i, 0.9 - i / 100) for i in range(20)] + [("q", "l", 2, 0.895), ("q", "l", 2, 0.1)]
     rows += [("one", "s", 5, None), ("one", "s", 6, float("nan")), ("one", "s", 7, -3.0), ("one", "s", None, 1.0), ("tie", "s", 2, 1.0), ("tie", "s", 1, 1.0), ("tie", "l", 2, 1.0), ("tie", "l", 1, 1.0)]
     df = spark.createDataFrame([(*r, "d", 3) for r in rows], "q string, which string, item int, score double, ds string, list_rank int")
     ranks = rank_merge.list_ranks(df, ["q", "ds"], "which", "item", "score")
-    weights = spark.createDataFrame([("d", 0.6), ("other", 0.0)], "ds string, weight_a double")
-    merged = rank_merge.robust_aggregation(ranks, weights, ["q", "ds"], "which", "item", "s", "l", ["ds"])
+    weighted = lambda w: spark.createDataFrame([("d", "s", w), ("d", "l", 1 - w), ("other", "s", 0.0)], "ds string, which string, weight double")
+    merge = lambda weights: rank_merge.robust_aggregation(ranks, weights, ["q", "ds"], "which", "item", ("s", "l"), ["ds"])
+    merged = merge(weighted(0.6))
     best = {r["q"]: [x["item"] for x in sorted(merged.filter(F.col("q") == r["q"]).collect(), key=lambda x: x["final_rank"])] for r in merged.select("q").distinct().collect()}
     assert best["q"][0] == 2 and len(best["q"]) == 40  # good in both lists beats first in either
     assert best["q"][1] == 0  # the list with more weight comes first among single places
     assert best["one"] == [7, 5, 6] and best["tie"] == [1, 2]
-    flipped = rank_merge.robust_aggregation(ranks, weights.withColumn("weight_a", F.lit(0.4)), ["q", "ds"], "which", "item", "s", "l", ["ds"])
+    flipped = merge(weighted(0.4))
     order = [r["item"] for r in flipped.filter("q = 'q'").orderBy("final_rank").collect()]
     assert order[0] == 2 and order[1] == 100
-    plain = rank_merge.robust_aggregation(ranks, weights.filter("ds = 'none'"), ["q", "ds"], "which", "item", "s", "l", ["ds"])
-    equal = rank_merge.robust_aggregation(ranks, weights.withColumn("weight_a", F.lit(0.5)), ["q", "ds"], "which", "item", "s", "l", ["ds"])
+    plain, equal = merge(weighted(0.6).filter("ds = 'none'")), merge(weighted(0.5))
     key = lambda m: [(r["q"], r["item"], round(r["significance"], 9), r["final_rank"]) for r in m.orderBy("q", "final_rank").collect()]
     assert key(plain) == key(equal)
     assert rank_merge.list_ranks(df.limit(0), ["q", "ds"], "which", "item", "score").count() == 0
@@ -265,7 +339,7 @@ def test_mixture(spark):
     rows += [(9999, "big", "en", "law", 200_000), (9998, None, "en", "law", 50), (9997, "unknown", "en", "law", 50), (9996, "mid", "en", "law", 0)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "document int, source string, language string, topic string, tokens bigint, weight string")
     targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 2), ("tiny", 0.15, 2), ("absent", 0.05, 3), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
-    uses, report = mixing.mix(df, targets)
+    uses, report, marginals = mixing.mix(df, targets)
     got = {r["document"]: r["uses"] for r in uses.collect()}
     assert set(got) == {r[0] for r in rows if r[1] in ("big", "mid", "tiny")}
     caps = {"big": 1, "mid": 2, "tiny": 2}
@@ -276,22 +350,44 @@ def test_mixture(spark):
         own = sum(x[4] for x in rows if x[1] == s)
         assert r["available_tokens"] == own and r["short"] == (r["max_repeats"] * own < r["target_share"] * total)
         assert r["reached_tokens"] == sum(x[4] * got[x[0]] for x in rows if x[1] == s)
+        assert abs(r["raked_tokens"] - min(r["target_tokens"], caps.get(s, 3) * own)) < 1e-6
+    sides = {(r["axis"], r["value"]): r for r in marginals.collect()}
+    for axis, at in (("language", 2), ("topic", 3)):
+        named = {"language": "unknown", "topic": "none"}[axis]
+        for v in {r[at] for r in rows if r[1] in caps}:
+            side = sides[axis, v or named]
+            assert side["reached_tokens"] == sum(r[4] * got[r[0]] for r in rows if r[1] in caps and r[at] == v)
+            assert side["available_tokens"] == sum(r[4] for r in rows if r[1] in caps and r[at] == v)
+    for axis in ("source", "language", "topic"):
+        assert abs(sum(s["raked_tokens"] for k, s in sides.items() if k[0] == axis) - sum(r["raked_tokens"] for r in told.values())) < 1e-3
+    # The other language's or topic's share can't be met where one document is half of the source it comes from.
+    assert {s["converged"] for s in sides.values()} in ({True}, {False}) and all(s["rounds"] <= mixing.ROUNDS for s in sides.values())
     assert told["absent"]["short"] and told["tiny"]["short"] and told["tiny"]["reached_tokens"] == 2 * told["tiny"]["available_tokens"]
     assert abs(told["mid"]["reached_tokens"] - told["mid"]["target_tokens"]) < 0.02 * told["mid"]["target_tokens"]
-    assert got == {r["document"]: r["uses"] for r in mixing.mix(df.repartition(9), targets)[0].collect()}
+    assert got == {r["document"]: r["uses"] for r in mixing.mix(df.repartition(9), targets).uses.collect()}
     empty = mixing.mix(df.limit(0), targets)
-    assert empty[0].count() == 0 and all(r["reached_share"] is None for r in empty[1].collect())
+    assert empty.uses.count() == 0 and empty.marginals.count() == 0 and all(r["reached_share"] is None for r in empty.report.collect())
+
+
+def test_too_many_cells_raise(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_CELLS", 2)
+    df = spark.createDataFrame([(i, "s", "en", f"t{i}", 5) for i in range(3)], "document int, source string, language string, topic string, tokens bigint")
+    with pytest.raises(ValueError, match="cells"):
+        mixing.mix(df, spark.createDataFrame([("s", 1.0, 1)], "source string, target_share double, max_repeats int"))
+    with pytest.raises(ValueError, match="target sources"):
+        mixing.mix(df, spark.createDataFrame([(f"s{i}", 0.3, 1) for i in range(3)], "source string, target_share double, max_repeats int"))
 
 
 def test_names(spark):
     rows = [(" Wiki Pages\t", "EN"), ("wiki-pages", "de-x"), ("wiki -  pages", " fr"), (None, None), ("", "zz")]
     got = [tuple(r) for r in spark.createDataFrame(rows, "s string, l string").select(mixing.source_key(F.col("s")), mixing.language_key(F.col("l"))).collect()]
-    assert got == [("wiki_pages", "en"), ("wiki_pages", "de"), ("wiki_pages", "fr"), (None, "other"), ("", "other")]
+    assert got == [("wiki_pages", "en"), ("wiki_pages", "de"), ("wiki_pages", "fr"), (None, "unknown"), ("", "other")]
 
 
 def test_rake_meets_all_marginals():
     cells = [(s, l, t, n) for (s, l, t), n in zip([(s, l, t) for s in "ab" for l in "xy" for t in "pq"], [100, 300, 50, 70, 200, 20, 400, 90], strict=True)]
-    w = mixing.rake(cells, {"a": 0.6, "b": 0.4}, {"a": 9, "b": 9}, 1230)
+    w, rounds, change = mixing.rake(cells, {"a": 0.6, "b": 0.4}, {"a": 9, "b": 9}, 1230)
+    assert change < mixing.CLOSE and 1 < rounds < mixing.ROUNDS
     tokens = np.array([c[3] for c in cells])
     for axis in (1, 2):
         for v in {c[axis] for c in cells}:
