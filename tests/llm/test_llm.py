@@ -102,6 +102,132 @@ def test_pairs_behind_an_unrelated_head(spark, monkeypatch, block):
     assert linked >= 146  # 0.97; the rest share no bucket
 
 
+def test_buckets_in_parts(spark, monkeypatch):
+    """Candidates of the streaming pass, over small batches, against each bucket taken alone."""
+    rng = np.random.default_rng(9)
+    sizes = [1, 2, 3, 70, 400, 1, 900, 5, 60, 2500, 1, 130]
+    rows, members, calm, i = [], defaultdict(list), defaultdict(list), 0
+    for bucket, n in zip(rng.integers(-(2**62), 2**62, len(sizes)), sizes, strict=True):
+        centre = rng.integers(0, 2, 128)
+        for k in range(n):
+            noise = rng.choice([0.05, 0.1, 0.4])
+            calm[int(bucket)] += [k] if noise < 0.1 else []
+            bits = centre ^ (rng.random(128) < noise)
+            sketch = np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+            rows.append((i, sketch, [int(bucket)]))
+            members[int(bucket)].append((i, bits))
+            i += 1
+    random.Random(1).shuffle(rows)
+    monkeypatch.setattr(grouping, "BUCKET", 1000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = grouping.bucket_candidates(spark.createDataFrame(rows, "id bigint, sketch array<bigint>, bands array<bigint>")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    links, alone = defaultdict(set), defaultdict(set)
+    bits = {j: b for own in members.values() for j, b in own}
+    of = {j: k for k, own in members.items() for j, _ in own}
+    for r in got:
+        if r["a"] is None:
+            alone[r["bucket"]].add(r["b"])
+        else:
+            assert r["a"] < r["b"] and of[r["a"]] == of[r["b"]] and (bits[r["a"]] != bits[r["b"]]).sum() <= grouping.NEAR_BITS
+            links[of[r["a"]]].add((r["a"], r["b"]))
+    for bucket, own in members.items():
+        first = own[0][0]
+        if len(own) > 1000:
+            near = {j for j, b in own[1:] if (b != bits[first]).sum() <= grouping.NEAR_BITS}
+            assert links[bucket] == {(first, j) for j in near} and alone[bucket] == {j for j, _ in own[1:]} - near
+            continue
+        # One link at most for each but the first, and members that are all near each other hang together.
+        assert not alone[bucket] and len(links[bucket]) < len(own)
+        root = {j: j for j, _ in own}
+        def find(j):
+            while root[j] != j:
+                j = root[j]
+            return j
+        for a, b in links[bucket]:
+            root[find(a)] = find(b)
+        apart = np.array([b for _, b in own])
+        apart = (apart[:, None] != apart[None]).sum(2)
+        core = [k for k in range(len(own)) if (apart[k][calm[bucket]] <= grouping.NEAR_BITS).all() and k in calm[bucket]]
+        assert len({find(own[k][0]) for k in core}) <= 1
+
+
+def test_exact_check_of_wide_groups(spark, monkeypatch):
+    """Groups whose members lie at all angles to the medoid, against all pairs; also in several blocks."""
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    members, groups, truth = [], [], set()
+    for g in range(40):
+        n = int(rng.choice([1, 2, 3, 30, 70, 150]))
+        centre = unit(rng.normal(size=8))
+        x = unit(centre + rng.choice([0.1, 0.2, 0.25, 0.3]) * unit(rng.normal(size=(n, 8)))).astype(np.float32)
+        x[0] = centre
+        for v in x:
+            members.append((len(members), f"m{len(members)}", v.tolist()))
+            groups.append((len(members) - 1, g, float(v.astype(float) @ x[0].astype(float))))
+        if n > 1 and (x.astype(float) @ x.astype(float).T).min() >= 0.85 - 1e-7:
+            truth.add(g)
+    assert 5 < len(truth) < 35
+    frame = grouping.Grouping(
+        spark.createDataFrame(members, "id bigint, member string, vec array<float>"), spark.createDataFrame(groups, "id bigint, group bigint, cosine double"),
+        spark.createDataFrame([], "a bigint, b bigint"),
+    )
+    for block in (4096, 20):
+        monkeypatch.setattr(grouping, "BLOCK", block)
+        assert {r["group"] for r in grouping.tight_groups(frame, 0.85, 0.80).collect()} == truth
+
+
+def test_many_medoids_at_once(spark):
+    """A long loose chain of small dense groups is split in few rounds, each group around a member of high degree."""
+    n, per = 60, 5
+    rng = np.random.default_rng(3)
+    # Each group has its own pair of axes, one of them shared with the next group.
+    vecs = np.zeros((n * per, n + 1))
+    for i in range(n * per):
+        g = i // per
+        angle = 0.25 + rng.uniform(-0.02, 0.02)
+        vecs[i, g], vecs[i, g + 1] = np.cos(angle), np.sin(angle)
+    cos = vecs @ vecs.T
+    links = [(a, b) for a in range(n * per) for b in range(a + 1, n * per) if cos[a, b] >= 0.9 or (a % per == per - 1 and b == a + 1)]
+    degree = Counter(i for link in links for i in link)
+    members = spark.createDataFrame([(i, 0, degree[i], v.astype(np.float32).tolist()) for i, v in enumerate(vecs)], "id bigint, component bigint, degree bigint, vec array<float>")
+    rounds = []
+    original = grouping.around_local_medoids
+    grouping.around_local_medoids = lambda *a: (rounds.append(1), original(*a))[1]
+    try:
+        placed = grouping.around_medoids(members, spark.createDataFrame(links, "a bigint, b bigint")).collect()
+    finally:
+        grouping.around_local_medoids = original
+    assert len(placed) == n * per and len(rounds) <= 6
+    assert all(r["cosine"] >= grouping.LEAST_COSINE and r["id"] // per == r["group"] // per for r in placed)
+    assert len({r["group"] for r in placed}) == n and all(degree[r["group"]] == max(degree[i] for i in range(r["group"] // per * per, r["group"] // per * per + per)) for r in placed)
+
+
+def test_medoid_is_central(spark):
+    """The medoid of a group is one of its central members, not the one with the smallest id."""
+    rng = np.random.default_rng(12)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    rows, central = [], 0
+    for g in range(20):
+        centre, out = unit(rng.normal(size=64)), unit(rng.normal(size=(60, 64)))
+        spread = np.r_[np.full(20, 0.15), np.full(40, 0.55)]
+        rows += [(f"{g:02}-{i:02}", v.tolist()) for i, v in enumerate(unit(centre + spread[:, None] * out))]
+    found = grouping.group_vectors(spark.createDataFrame(rows, "m string, v array<double>"), F.col("m"), F.col("v"), 64)
+    placed = found.groups.join(found.members.select("id", "member"), "id").select("group", "id", "member").collect()
+    name = {r["id"]: r["member"] for r in placed}
+    largest = Counter(r["group"] for r in placed).most_common(20)
+    smallest = {g: min(r["id"] for r in placed if r["group"] == g) for g, _ in largest}
+    central = sum(int(name[g][3:]) < 20 for g, _ in largest)
+    assert all(size >= 30 for _, size in largest) and central >= 16 and sum(smallest[g] == g for g, _ in largest) <= 4
+
+
+def test_more_bands_for_more_members():
+    shapes = [grouping.band_shape(n) for n in (0, 1000, 250_000, 250_001, 25_000_000, 10**9)]
+    assert shapes[:3] == [(64, 2)] * 3 and [r for _, r in shapes[3:]] == [3, 3, 4] and shapes[3][0] == 275
+
+
 # 2. sampling
 
 
