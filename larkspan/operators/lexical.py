@@ -89,19 +89,24 @@ def rare_and_common(rows: DataFrame, keyed: DataFrame, key: str, size: str, most
     return near.unionByName(far)
 
 
+def matched(terms: DataFrame, postings: DataFrame, salts: int = 8) -> DataFrame:
+    """`postings` joined with the rows of `terms` over `term`.
+
+    Up to MOST_TERMS rows are sent to all tasks, so postings stay where they lie and keep their partitions. More
+    rows meet the postings per salted part of a term, so that a hot term is spread over `salts` tasks.
+    """
+    if terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
+        return postings.join(F.broadcast(terms), "term")
+    spread = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return postings.withColumn("_salt", F.pmod(F.hash("doc_idx"), F.lit(salts))).join(spread, ["term", "_salt"]).drop("_salt")
+
+
 def bm25_scores(terms: DataFrame, weighted: DataFrame, salts: int = 8) -> DataFrame:
-    """(query_id, doc_idx, score) of every document with a term of the query.
+    """(query_id, doc_idx, score) of every document with a term of the query, see `matched`.
 
-    Up to MOST_TERMS terms of queries are sent to all tasks: each task then scores its own documents, and
-    where postings are partitioned by document nothing is shuffled before the best are taken. More terms are matched per
-    salted part of a term's postings. Scores are rounded to 9 places so that equal scores tie.
+    Scores are rounded to 9 places so that equal scores tie.
     """
-    asked = terms.select("query_id", "term")
-    if asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
-        pairs = weighted.join(F.broadcast(asked), "term")
-    else:
-        spread = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        pairs = weighted.withColumn("salt", F.pmod(F.hash("doc_idx"), F.lit(salts))).join(spread, ["term", "salt"])
+    pairs = matched(terms.select("query_id", "term"), weighted, salts)
     return pairs.groupBy("query_id", "doc_idx").agg(F.round(F.sum("weight"), 9).alias("score"))
 
 
@@ -114,19 +119,76 @@ def top_k(scores: DataFrame, by: list[str], k: int, item: str = "doc_idx", score
     return scores.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= k).withColumn(rank, F.col(rank) - 1)
 
 
+def term_bounds(weighted: DataFrame, k: int) -> DataFrame:
+    """(term, top, kth): the largest weight of each term's postings and the k-th largest, 0 where it has fewer.
+
+    The window's limit is pushed below the shuffle: a task sends at most k postings per term.
+    """
+    order = Window.partitionBy("term").orderBy(F.col("weight").desc())
+    best = weighted.select("term", "weight").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
+    return best.groupBy("term").agg(F.max("weight").alias("top"), F.coalesce(F.max(F.when(F.col("_r") == k, F.col("weight"))), F.lit(0.0)).alias("kth"))
+
+
+def search_plans(terms: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Per query what its best k documents need: (query_id, least, wanted, others, most_of_others).
+
+    `least` is a score that k documents reach: the largest k-th weight of its terms. Terms are ordered by
+    their largest weight; `others` are as many of the lightest as together stay below `least`, so a document
+    with none but these can't be among the best. `wanted` are the remaining (term, floor): a posting below the floor
+    can't lift its document to `least` even with all other terms at their largest. Queries have few terms, so each is folded as an array.
+    """
+    each = bounds.join(terms.select("query_id", "term"), "term")
+    folded = each.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("top", "term"))).alias("_t"), F.max("kth").alias("least"))
+    slack = F.lit(1e-6)  # far above the rounding of scores
+    folded = folded.withColumn("_sum", F.aggregate("_t", F.lit(0.0), lambda s, t: s + t["top"]))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("s"))
+    light = F.aggregate("_t", start, lambda a, t: F.when(a["s"] + t["top"] < F.col("least") - slack, F.struct((a["n"] + 1).alias("n"), (a["s"] + t["top"]).alias("s"))).otherwise(a))
+    folded = folded.withColumn("_light", light)
+    rest = F.slice("_t", F.col("_light.n") + 1, F.size("_t"))
+    return folded.select(
+        "query_id", (F.col("least") - slack).alias("least"),
+        F.transform(rest, lambda t: F.struct(t["term"].alias("term"), (F.col("least") - slack - (F.col("_sum") - t["top"])).alias("floor"))).alias("wanted"),
+        F.transform(F.slice("_t", F.lit(1), F.col("_light.n")), lambda t: t["term"]).alias("others"), F.col("_light.s").alias("most_of_others"),
+    )
+
+
+def weights_by_document(weighted: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_idx, weights MAP): each document's weights of those of its terms that are in `terms`."""
+    kept = matched(terms.select("term").distinct(), weighted)
+    return kept.groupBy("doc_idx").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("weights"))
+
+
+def added(start: Column, terms: Column, weights: Column) -> Column:
+    """`start` plus the weights of `terms` in a map of weights, which may be null."""
+    return F.aggregate(terms, start, lambda s, t: s + F.coalesce(F.element_at(weights, t), F.lit(0.0)))
+
+
 def best_documents(terms: DataFrame, weighted: DataFrame, k: int) -> DataFrame:
-    """`top_k` of `bm25_scores`, with queries as numbers in between: short keys make pairs cheap to add up.
+    """(query_id, doc_idx, score, rank): the same as `top_k` of `bm25_scores`, without scoring every matching document.
 
-    The numbers come from a window over the distinct queries of at most MOST_TERMS terms; more terms go without.
+    Only postings of a query's heavier terms make candidates, and only those heavy enough (`search_plans`);
+    candidates that could still be among the best get the weights of the lighter terms from their document's map. So hot terms, whose
+    weights are low, cost a lookup per candidate instead of a pair per posting. Postings are shuffled once, by
+    document. Queries are numbers in between, as short keys are cheap; more than MOST_TERMS rows of terms go without.
     """
-    asked = terms.select("query_id", "term")
-    if asked.limit(MOST_TERMS + 1).count() > MOST_TERMS:
-        return top_k(bm25_scores(asked, weighted), ["query_id"], k)
-    numbers = asked.select("query_id").distinct().withColumn("_no", F.row_number().over(Window.orderBy("query_id")))
-    numbers = F.broadcast(materialise(numbers))  # at most MOST_TERMS rows
-    short = asked.join(numbers, "query_id").select(F.col("_no").alias("query_id"), "term")
-    best = top_k(bm25_scores(short, weighted), ["query_id"], k).withColumnRenamed("query_id", "_no")
-    return best.join(numbers, "_no").drop("_no")
+    asked = materialise(terms.select("query_id", "term"))
+    weighted = materialise(weighted.select("term", "doc_idx", "weight"))
+    few = asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+    if few:
+        numbers = asked.select("query_id").distinct().withColumn("_no", F.row_number().over(Window.orderBy("query_id")))
+        numbers = F.broadcast(materialise(numbers))  # at most MOST_TERMS rows
+        asked = asked.join(numbers, "query_id").select(F.col("_no").alias("query_id"), "term")
+    plans = materialise(search_plans(asked, term_bounds(weighted, k)))
+    wanted = plans.select("query_id", F.explode("wanted").alias("w")).select("query_id", "w.term", "w.floor")
+    placed = weighted.repartition("doc_idx")
+    pairs = matched(wanted, placed).filter(F.col("weight") >= F.col("floor"))
+    partial = pairs.groupBy("query_id", "doc_idx").agg(F.sum("weight").alias("partial"))
+    told = plans.select("query_id", "least", "others", "most_of_others")
+    open_ = partial.join(F.broadcast(told) if few else told, "query_id").filter(F.col("partial") + F.col("most_of_others") >= F.col("least"))
+    maps = weights_by_document(placed, plans.select(F.explode("others").alias("term")))
+    scored = open_.join(maps, "doc_idx", "left").select("query_id", "doc_idx", F.round(added(F.col("partial"), F.col("others"), F.col("weights")), 9).alias("score"))
+    best = top_k(scored, ["query_id"], k)
+    return best.withColumnRenamed("query_id", "_no").join(numbers, "_no").drop("_no") if few else best
 
 
 def with_frequencies(terms: DataFrame, frequencies: DataFrame) -> DataFrame:
@@ -151,7 +213,7 @@ def terms_under_budget(terms: DataFrame, budget: int, alpha: float = 0.5, n: int
     the query's largest df. A budget below 1 raises. A query's terms are few, so they are folded as an array.
     """
     if budget < 1:
-        raise ValueError("the budget must be positive")
+        raise ValueError("no posting can be bought with this budget")
     known = terms.filter("df > 0")
     size = F.lit(float(n)) if n else F.max("df").over(Window.partitionBy("query_id")).cast("double")
     rank = -F.log1p(F.greatest(size, F.lit(1.0)) / F.col("df")) / F.pow(F.col("df").cast("double"), F.lit(alpha))

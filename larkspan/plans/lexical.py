@@ -9,6 +9,7 @@ from larkspan.functions import keyed
 from larkspan.functions.text import lexical_text, semantic_text, tokens
 from larkspan.operators import lexical
 from larkspan.plans import base
+from larkspan.session import materialise
 
 TERM_KEY, FEATURE_KEY, PARTITION_KEY, CELL_KEY = b"term key", b"feature key", b"partition key", b"cell key"
 COORDINATES = 64
@@ -111,7 +112,7 @@ SELECT query_id, term, term_no, coalesce(df, 0) AS df FROM terms_ LEFT JOIN df_
 
 
 def weighted(spark: SparkSession, folder: str, exact: bool = True) -> DataFrame:
-    p = base.postings(spark, folder)
+    p = materialise(base.postings(spark, folder))  # read for its frequencies, too
     return lexical.weighted_postings(p, lexical.document_frequencies(p), base.lengths(spark, folder), exact)
 
 
@@ -234,7 +235,7 @@ FROM (SELECT DISTINCT query_id, doc_idx FROM rankings_ WHERE list_name = '{base.
 def limited_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """The union of the two rarest terms' postings, cut at 50 per query with a flag."""
     chosen = lexical.rarest_terms(base.known_terms(spark, folder), 2).select("query_id", "term")
-    matches = chosen.join(base.postings(spark, folder), "term").select("query_id", "doc_idx").distinct()
+    matches = lexical.matched(chosen, base.postings(spark, folder)).select("query_id", "doc_idx").distinct()
     return lexical.limited_matches(matches, 50)
 
 
@@ -248,10 +249,12 @@ SELECT query_id, doc_idx, n > 50 AS truncated FROM (SELECT *, count(*) OVER (PAR
 def exact_rerank(spark: SparkSession, folder: str) -> DataFrame:
     """Each repeat's lexical candidates in the order of their exact BM25 scores; unmatched ones score 0."""
     rows = base.rankings(spark, folder).filter(F.col("list_name") == base.LEXICAL).select("query_id", "repeat_no", "doc_idx")
-    pairs = rows.select("query_id", "doc_idx").distinct()
-    terms = lexical.bounded(base.terms(spark, folder).select("query_id", "term"))
-    # Semi-join reduction: only postings of candidates and of the query's own terms are scored.
-    scored = pairs.join(terms, "query_id").join(weighted(spark, folder), ["doc_idx", "term"]).groupBy("query_id", "doc_idx").agg(F.round(F.sum("weight"), 9).alias("score"))
+    asked = base.terms(spark, folder).groupBy("query_id").agg(F.collect_list("term").alias("terms"))
+    asked = materialise(rows.select("query_id").distinct().join(asked, "query_id"))
+    pairs = rows.select("query_id", "doc_idx").distinct().join(lexical.bounded(asked), "query_id")
+    # Only weights of the queries' terms are kept, in a map per document, which the candidates look up.
+    maps = lexical.weights_by_document(weighted(spark, folder), asked.select(F.explode("terms").alias("term")))
+    scored = pairs.join(maps, "doc_idx").select("query_id", "doc_idx", F.round(lexical.added(F.lit(0.0), F.col("terms"), F.col("weights")), 9).alias("score"))
     full = rows.join(scored, ["query_id", "doc_idx"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     out = base.ranked(full, ["query_id", "repeat_no"], F.col("score").desc(), F.col("doc_idx"))
     return out.select("query_id", "repeat_no", "doc_idx", F.round("score", 6).alias("score"), "rank")
