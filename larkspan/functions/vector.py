@@ -39,11 +39,25 @@ def padded(x: Column, width: int) -> Column:
     return F.slice(F.concat(x, F.array_repeat(F.lit(0.0), width)), 1, width)
 
 
-def hadamard(x: Column, width: int) -> Column:
-    """The normalised Walsh-Hadamard transform; `width` must be a power of two."""
+def fast_hadamard(x: Column, width: int) -> Column:
+    """The normalised Walsh-Hadamard transform in width log width steps; `width` must be a power of two.
+
+    Each pass adds and subtracts coordinates that are `half` apart, for halves 1, 2, 4 and so on.
+    """
     if width < 1 or width & (width - 1):
         raise ValueError("the width must be a power of two")
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda row: hadamard_row(x, row) / float(width) ** 0.5)
+    halves = F.array(*[F.lit(1 << i) for i in range(width.bit_length() - 1)]).cast("array<int>")
+
+    def butterfly(done, half):
+        other = lambda i: F.element_at(done, i.bitwiseXOR(half) + 1)
+        return F.transform(done, lambda v, i: F.when(i.bitwiseAND(half) == 0, v + other(i)).otherwise(other(i) - v))
+
+    return F.aggregate(halves, x, butterfly, lambda done: F.transform(done, lambda v: v / float(width) ** 0.5))
+
+
+def hadamard(x: Column, width: int) -> Column:
+    """The normalised Walsh-Hadamard transform, see `fast_hadamard`."""
+    return fast_hadamard(x, width)
 
 
 def hadamard_row(x: Column, row: Column) -> Column:

@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.functions.keyed import hash_normal, hash_uniform
-from larkspan.functions.vector import dot
-from larkspan.operators.vector_index import matrix_of
+from larkspan.functions.vector import dot, fast_hadamard
+from larkspan.operators.vector_index import matrix_of, per_cell
+from larkspan.session import materialise, small
 
 
 def global_key(spark, width: int, name: str) -> DataFrame:
@@ -44,46 +45,44 @@ def cell_keys(spark, cells: int, width: int, chosen: int, name: str) -> DataFram
     )
 
 
-def rotated(x: Column, rows: Column, width: int) -> Column:
-    """The rotated coordinates in `rows`, an array of (source, sign2, signs1): sign, Hadamard row, sign."""
+def rotated(x: Column, key: Column, width: int) -> Column:
+    """The rotated vector: signs, fast Hadamard transform, and coordinates in the key's order with signs again.
 
-    def one(row):
-        signed = F.zip_with(x, row["signs1"], lambda v, s: v * s)
-        terms = F.transform(signed, lambda v, i: F.when(F.bit_count(row["source"].bitwiseAND(i)) % 2 == 0, v).otherwise(-v))
-        return F.aggregate(terms, F.lit(0.0), lambda a, v: a + v) * row["sign2"] / float(width) ** 0.5
-
-    return F.transform(rows, one)
+    `key` is a struct of the arrays signs1 (per coordinate), source and sign2 (per output coordinate).
+    """
+    turned = F.array(fast_hadamard(F.zip_with(x, key["signs1"], lambda v, s: v * s), width))  # once per row
+    gather = lambda t: F.zip_with(key["source"], key["sign2"], lambda i, s: F.element_at(t, (i + 1).cast("int")) * s)
+    return F.transform(turned, gather)[0]
 
 
 def local_vectors(rows: DataFrame, item: str, keys: DataFrame, noise: float = 0.0, seed: str = "") -> DataFrame:
     """(item, cell, y): vectors under their cell's key; rows have (item, cell, x) with x already rotated.
 
-    `keys` is folded into one row per cell, at most cells times chosen coordinates in all, and broadcast.
-    With `noise`, each coordinate gets a share of a vector drawn evenly from the ball of that radius.
+    `keys` is folded into one row per cell, which is broadcast if there are few enough. With `noise`, each
+    vector is first moved by a vector drawn evenly from the ball of that radius, the same in all its cells.
     """
     folded = keys.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("slot", "pos", "sign", "multiplier", "shift"))).alias("key"))
-    joined = rows.join(F.broadcast(folded), "cell")
+    if noise > 0:
+        moved = rows.select(item, "x").dropDuplicates([item]).select(item, F.zip_with("x", ball_noise(item, F.size("x"), noise, seed), lambda v, e: v + e).alias("x"))
+        rows = rows.drop("x").join(materialise(moved), item)
+    joined = rows.join(small(materialise(folded)), "cell")
 
     def local(k):
-        value = F.element_at(F.col("x"), (k["pos"] + 1).cast("int"))
-        if noise > 0:
-            value = value + ball_coordinate(item, k["pos"], F.size("x"), noise, seed)
-        return value * k["sign"] * k["multiplier"] + k["shift"]
+        return F.element_at(F.col("x"), (k["pos"] + 1).cast("int")) * k["sign"] * k["multiplier"] + k["shift"]
 
     return joined.select(item, "cell", F.transform("key", local).alias("y"))
 
 
-def ball_coordinate(item: str, pos: Column, width: Column, radius: float, seed: str) -> Column:
-    """One coordinate of a point drawn evenly from a ball: a normal direction times radius U^(1/d).
+def ball_noise(item: str, width: Column, radius: float, seed: str) -> Column:
+    """A point drawn evenly from the ball: a normal direction times radius U^(1/width).
 
-    The other coordinates' squares are drawn together, as the normal approximation of their chi-square sum;
-    so a selected coordinate needs none of the others.
+    Every coordinate is drawn, so those that a cell selects have exactly the distribution of a part of such a point.
     """
-    own = hash_normal(F.lit(seed), F.col(item), pos)
-    d = (width - 1).cast("double")
-    rest = F.greatest(d + F.sqrt(2 * d) * hash_normal(F.lit(seed + ":rest"), F.col(item)), F.lit(0.0))
-    length = F.pow(hash_uniform(F.lit(seed + ":length"), F.col(item)), 1 / (d + 1))
-    return F.lit(radius) * length * own / F.sqrt(own * own + rest)
+    normal = F.transform(F.sequence(F.lit(0), width - 1), lambda i: hash_normal(F.lit(seed), F.col(item), i))
+    length = F.lit(radius) * F.pow(hash_uniform(F.lit(seed + ":length"), F.col(item)), 1 / width)
+    both = F.array(F.struct(normal.alias("n")))
+    scaled = F.transform(both, lambda b: F.struct(b["n"].alias("n"), (length / F.sqrt(F.aggregate(b["n"], F.lit(0.0), lambda s, v: s + v * v))).alias("f")))
+    return F.transform(scaled, lambda b: F.transform(b["n"], lambda v: v * b["f"]))[0]
 
 
 def noise_radius(scale: float, beta: float, of_query: bool) -> float:
@@ -98,7 +97,7 @@ def search_cells(queries: DataFrame, stored: DataFrame, query: str, item: str, t
     pushed below the shuffle, so a task sends at most `top` rows per query and cell.
     """
     norms = stored.withColumn("norm2", dot(F.col("y"), F.col("y")))
-    pairs = queries.select(query, "cell", F.col("y").alias("q")).join(norms, "cell")
+    pairs = per_cell(queries.select(query, "cell", F.col("y").alias("q")), norms, item)
     scored = pairs.select(query, "cell", item, F.round(2 * dot(F.col("q"), F.col("y")) - F.col("norm2"), 9).alias("score"))
     order = Window.partitionBy(query, "cell").orderBy(F.col("score").desc(), item)
     kept = scored.withColumn("local_rank", F.row_number().over(order)).filter(F.col("local_rank") <= top)
@@ -122,7 +121,7 @@ def selected_local(rows: DataFrame, item: str, keys: DataFrame, key: DataFrame,
     flips = key.select(F.col("pos").alias("source"), F.col("sign2").alias("flip"))
     full = keys.join(key.select("pos", "source"), "pos").join(flips, "source")
     folded = full.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("slot", "source", "flip", "sign", "multiplier", "shift"))).alias("key"))
-    joined = rows.join(F.broadcast(folded.join(F.broadcast(signs))), "cell")  # one row per cell
+    joined = rows.join(small(materialise(folded.join(F.broadcast(signs)))), "cell")  # signs are one row, keys one per cell
     joined = joined.withColumn("z", F.zip_with("x", F.slice("signs1", F.lit(1), F.size("x")), lambda v, s: v * s))
 
     def one(k):

@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 from larkspan.functions.vector import inverse_norm, minus, scaled
 from larkspan.session import materialise
 
-MOST_CENTROIDS = 65_536
+MOST_CENTROIDS, LEAST_CENTROIDS = 65_536, 16
+#: Rows that seeds are chosen from, at most; they are collected. The rounds that follow read all rows.
+SEED_ROWS = 50_000
+#: Rows of probes that are sent to all tasks, at most; more meet the cells' postings in salted parts.
+MOST_PROBES = 200_000
 #: Queries that are compared with all vectors in one pass.
 QUERY_BLOCK = 4_096
 
@@ -77,12 +81,48 @@ def nearest_cells(rows: DataFrame, item: str, centroids: DataFrame, keep: int) -
     return given.mapInPandas(assign, f"item {kind}, cell bigint, score double, rank bigint").withColumnRenamed("item", item)
 
 
-def lloyd_step(rows: DataFrame, centroids: DataFrame, item: str = "item") -> DataFrame:
-    """New centroids: the mean direction of each cell's vectors; a cell without any keeps its centroid."""
-    own = nearest_cells(rows, item, centroids, 1).select(item, "cell")
-    each = rows.join(own, item).select("cell", F.posexplode("x").alias("pos", "value")).groupBy("cell", "pos").agg(F.avg("value").alias("m"))
+def lloyd_step(rows: DataFrame, centroids: DataFrame, item: str = "item", reseed: bool = False) -> DataFrame:
+    """New centroids: the mean direction of each cell's vectors; a cell without any keeps its centroid.
+
+    With `reseed` a cell without any instead takes one of the vectors that lie farthest from their
+    centroids. Each task adds up its vectors per cell, so sums are shuffled and no vectors.
+    """
+    cells, matrix = matrix_of(centroids)
+    told = rows.sparkSession.sparkContext.broadcast((cells, matrix))  # bounded
+    apart = 8 if reseed else 0
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, vectors = told.value
+        counts, total, far = np.zeros(len(names), dtype=np.int64), np.zeros_like(vectors), []
+        for batch in batches:
+            if len(batch) and len(names):
+                x = np.stack(batch["x"].to_numpy()).astype(np.float64)
+                scores = np.round(x @ vectors.T, 9)
+                own = scores.argmax(1)  # of equals the smallest cell
+                np.add.at(total, own, x)
+                counts += np.bincount(own, minlength=len(names))
+                best = scores[np.arange(len(x)), own]
+                for i in np.argsort(best, kind="stable")[:apart]:
+                    far.append((best[i], batch["item"].iloc[i], x[i]))
+        held = np.flatnonzero(counts)
+        yield pd.DataFrame({"cell": names[held], "n": counts[held], "item": None, "score": np.nan, "x": list(total[held])})
+        if far:
+            far = sorted(far, key=lambda f: (f[0], str(f[1])))[:apart]
+            yield pd.DataFrame({"cell": -1, "n": 0, "item": [str(f[1]) for f in far], "score": [f[0] for f in far], "x": [f[2] for f in far]})
+
+    given = rows.select(F.col(item).alias("item"), "x").filter("item is not null and x is not null")
+    told_back = given.mapInPandas(sums, "cell bigint, n bigint, item string, score double, x array<double>")
+    if reseed:
+        told_back = materialise(told_back)  # sums per task and cell, read twice
+    each = told_back.filter("n > 0").select("cell", "n", F.posexplode("x").alias("pos", "value")).groupBy("cell", "pos").agg((F.sum("value") / F.sum("n")).alias("m"))
     means = each.groupBy("cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("new"))
     joined = centroids.select(F.col("cell").cast("bigint").alias("cell"), "x").join(means, "cell", "left")
+    if reseed:
+        # Both numberings are over at most as many rows as there are cells.
+        empty = joined.filter("new is null").select("cell", F.row_number().over(Window.orderBy("cell")).alias("no"))
+        farthest = told_back.filter("n = 0").orderBy("score", "item").limit(len(cells))
+        farthest = farthest.select(F.row_number().over(Window.orderBy("score", "item")).alias("no"), F.col("x").alias("seed"))
+        joined = joined.join(empty.join(farthest, "no").select("cell", "seed"), "cell", "left").withColumn("new", F.coalesce("new", "seed"))
     return normalised(joined.select("cell", F.coalesce("new", "x").alias("x")))
 
 
@@ -93,11 +133,54 @@ def first_centroids(rows: DataFrame, item: str, cells: int) -> DataFrame:
     return chosen.select((order - 1).cast("bigint").alias("cell"), "x")
 
 
-def train(rows: DataFrame, item: str, cells: int, rounds: int) -> DataFrame:
-    """Spherical k-means for a fixed number of rounds from hash-chosen vectors; deterministic."""
-    centroids = first_centroids(rows, item, cells)
+def cells_for(count: int) -> int:
+    """Cells for so many vectors: their square root, so that cells and their postings grow alike."""
+    return int(min(MOST_CENTROIDS, max(LEAST_CENTROIDS, np.ceil(count**0.5))))
+
+
+def spread_seeds(x: np.ndarray, cells: int, random: np.random.Generator) -> np.ndarray:
+    """k-means++ on unit vectors: rows drawn one after another in proportion to their squared distance from those before."""
+    chosen = [int(random.integers(len(x)))]
+    apart = np.maximum(0.0, 2 - 2 * (x @ x[chosen[0]]))
+    # Where many are wanted, some are drawn between updates of the distances.
+    step = max(1, cells // 256)
+    while len(chosen) < min(cells, len(x)):
+        left = np.flatnonzero(apart > 1e-12)
+        if not len(left):
+            break
+        more = random.choice(left, size=min(step, cells - len(chosen), len(left)), replace=False, p=apart[left] / apart[left].sum())
+        chosen += more.tolist()
+        apart = np.minimum(apart, np.maximum(0.0, 2 - 2 * (x @ x[more].T)).min(1))
+    return x[chosen]
+
+
+def train(rows: DataFrame, item: str, cells: int, rounds: int = 10, starts: int = 3, seed_rows: int = SEED_ROWS) -> DataFrame:
+    """Centroids (cell, x) by spherical k-means, the same in every run.
+
+    From at most `seed_rows` vectors, chosen by hash, each of `starts` takes k-means++ seeds and three
+    rounds; the start with the highest mean cosine goes on with `rounds` rounds over all rows, in which
+    empty cells are seeded anew. Rows must be of unit length. There are fewer cells where there are
+    fewer distinct vectors, and none without rows.
+    """
+    sampled = rows.filter(F.col("x").isNotNull() & F.col(item).isNotNull()).select(F.sha2(F.col(item).cast("string"), 256).alias("h"), "x").orderBy("h").limit(seed_rows)
+    x = np.array([r["x"] for r in sampled.collect()], dtype=np.float64)  # at most `seed_rows`
+    if not len(x):
+        return rows.sparkSession.createDataFrame([], "cell bigint, x array<double>")
+    best, kept = -np.inf, None
+    for start in range(starts):
+        centres = spread_seeds(x, cells, np.random.default_rng(start))
+        for _ in range(3):
+            own = np.concatenate([(x[i : i + 4096] @ centres.T).argmax(1) for i in range(0, len(x), 4096)])
+            total = np.zeros_like(centres)
+            np.add.at(total, own, x)
+            norm = np.linalg.norm(total, axis=1, keepdims=True)
+            centres = np.where(norm > 1e-12, total / np.maximum(norm, 1e-12), centres)
+        mean = float(np.concatenate([(x[i : i + 4096] @ centres.T).max(1) for i in range(0, len(x), 4096)]).mean())
+        if mean > best:
+            best, kept = mean, centres
+    centroids = rows.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(kept)], "cell bigint, x array<double>")
     for _ in range(rounds):
-        centroids = materialise(lloyd_step(rows, centroids, item))
+        centroids = materialise(lloyd_step(rows, centroids, item, reseed=True))
     return centroids
 
 
@@ -110,9 +193,20 @@ def cell_offsets(assigned: DataFrame, cells: int) -> DataFrame:
     return every.withColumn("offset_to", upto).withColumn("offset_from", F.col("offset_to") - F.col("size"))
 
 
+def per_cell(asked: DataFrame, stored: DataFrame, item: str, salts: int = 16) -> DataFrame:
+    """`stored` joined with the rows of `asked` over `cell`, with no cell meeting in one task.
+
+    Up to MOST_PROBES rows of `asked` go to all tasks; more meet the cell's postings in `salts` parts.
+    """
+    if asked.limit(MOST_PROBES + 1).count() <= MOST_PROBES:
+        return stored.join(F.broadcast(asked), "cell")
+    spread = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return stored.withColumn("_salt", F.pmod(F.hash(item), F.lit(salts))).join(spread, ["cell", "_salt"]).drop("_salt")
+
+
 def candidates(probes: DataFrame, assigned: DataFrame, query: str, item: str) -> DataFrame:
     """(query, cell, item) for the postings of probed cells; an item may come from several cells."""
-    return probes.select(query, "cell").join(assigned.select("cell", item), "cell")
+    return per_cell(probes.select(query, "cell"), assigned.select("cell", item), item).select(query, "cell", item)
 
 
 def candidate_trace(found: DataFrame, query: str, item: str) -> DataFrame:

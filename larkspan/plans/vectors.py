@@ -286,12 +286,12 @@ CELL_KEYS = f"WITH {KEYS_SQL} SELECT cell, slot, pos, CAST(sign AS DOUBLE) AS si
 def rotate(rows: DataFrame, spark: SparkSession) -> DataFrame:
     """Vectors of `WIDTH` under the global key."""
     key = compartment.global_key(spark, WIDTH, KEY)
-    signs = key.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sign1"))), lambda s: s["sign1"]).alias("signs1"))
     flip = key.select(F.col("pos").alias("source"), F.col("sign2").alias("flip"))
     # Output p takes the Hadamard row `source` of p, with that row's second sign.
-    order = key.select("pos", "source").join(flip, "source").join(F.broadcast(signs))  # one row per coordinate
-    packed = order.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "source", F.col("flip").alias("sign2"), "signs1"))), lambda s: s).alias("rows"))
-    return rows.join(F.broadcast(packed)).withColumn("x", compartment.rotated(F.col("x"), F.col("rows"), WIDTH)).drop("rows")  # one row
+    entry = F.struct("pos", "sign1", "source", F.col("flip").alias("sign2"))
+    packed = key.select("pos", "sign1", "source").join(flip, "source").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    packed = packed.select(F.struct(F.col("e.sign1").alias("signs1"), F.col("e.source").alias("source"), F.col("e.sign2").alias("sign2")).alias("key"))
+    return rows.join(F.broadcast(packed)).withColumn("x", compartment.rotated(F.col("x"), F.col("key"), WIDTH)).drop("key")  # one row
 
 
 ROTATED_SQL = f"""{GLOBAL_SQL}, signs_ AS (SELECT list(sign1 ORDER BY pos) AS s1 FROM global_),

@@ -49,7 +49,7 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write `df` to the shared scratch space and read it back: lineage is cut, sizes become known."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/larkspan-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     again = spark.read.schema(df.schema).parquet(path)
     again._larkspan_path = path
     return again
