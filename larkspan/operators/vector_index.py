@@ -105,7 +105,8 @@ def lloyd_step(rows: DataFrame, centroids: DataFrame, item: str = "item", reseed
                 for i in np.argsort(best, kind="stable")[:apart]:
                     far.append((best[i], batch["item"].iloc[i], x[i]))
         held = np.flatnonzero(counts)
-        yield pd.DataFrame({"cell": names[held], "n": counts[held], "item": None, "score": np.nan, "x": list(total[held])})
+        if len(held):
+            yield pd.DataFrame({"cell": names[held], "n": counts[held], "item": None, "score": np.nan, "x": list(total[held])})
         if far:
             far = sorted(far, key=lambda f: (f[0], str(f[1])))[:apart]
             yield pd.DataFrame({"cell": -1, "n": 0, "item": [str(f[1]) for f in far], "score": [f[0] for f in far], "x": [f[2] for f in far]})

@@ -17,6 +17,8 @@ CELLS, ASSIGNMENTS, PROBES = 16, 2, 9
 #: The reference's largest local depth: by 16 of 64 coordinates 64 rows a cell find 0.835 of the exact ten (sf0.1), 96 find 0.915.
 WIDTH, CHOSEN, LOCAL_TOP, TOP = 64, 16, 128, 10
 KEY = "semantic"
+#: The share of a trained index' cells that is probed, and the rounds of its training over all rows.
+TRAINED_PROBES, TRAINING_ROUNDS = 0.45, 10
 
 
 def unit(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,6 +100,8 @@ a_ AS (SELECT vec_id, list_append(x, sqrt(greatest(0.0, 1 - list_dot_product(x,
 class Index:
     """The vectors' residuals and everything built on them, each made once per query that asks for it."""
 
+    probed = PROBES
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.rows = materialise(residual(spark, folder))
@@ -122,7 +126,7 @@ class Index:
 
     @cached_property
     def probes(self) -> DataFrame:
-        return materialise(vector_index.nearest_cells(self.asked, "query_id", self.centroids, PROBES))
+        return materialise(vector_index.nearest_cells(self.asked, "query_id", self.centroids, self.probed))
 
     @cached_property
     def found(self) -> DataFrame:
@@ -152,6 +156,22 @@ class Index:
         return pairs.join(rows, "vec_id").join(asked, "query_id").select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("x")), 9).alias("score"))
 
 
+class TrainedIndex(Index):
+    """An index on trained centroids; cells and probes grow with the number of vectors."""
+
+    @cached_property
+    def cells(self) -> int:
+        return vector_index.cells_for(self.rows.count())
+
+    @cached_property
+    def probed(self) -> int:
+        return max(1, round(self.cells * TRAINED_PROBES))
+
+    @cached_property
+    def centroids(self) -> DataFrame:
+        return materialise(vector_index.train(self.rows, "vec_id", self.cells, TRAINING_ROUNDS))
+
+
 START_SQL = f"""{RESIDUAL_SQL}, start_ AS (SELECT row_number() OVER (ORDER BY sha256(CAST(vec_id AS VARCHAR))) - 1 AS cell, x FROM residual_
   ORDER BY sha256(CAST(vec_id AS VARCHAR)) LIMIT {CELLS})"""
 
@@ -365,13 +385,28 @@ def noisy_repeats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def trained_cells(spark: SparkSession, folder: str) -> DataFrame:
-    """Sizes and tightness of cells after five rounds of training."""
-    rows = residual(spark, folder)
-    trained = vector_index.train(rows, "vec_id", CELLS, 5)
-    own = vector_index.nearest_cells(rows, "vec_id", trained, 1)
+    """Sizes and tightness of the trained cells."""
+    index = TrainedIndex(spark, folder)
+    own = vector_index.nearest_cells(index.rows, "vec_id", index.centroids, 1)
     return own.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.round(F.avg("score"), 6).alias("mean_cosine"))
 
 
+def trained_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best of the trained index' probed cells by exact score."""
+    index = TrainedIndex(spark, folder)
+    return _top(index.scored(index.found.select("query_id", "vec_id").distinct()))
+
+
+def trained_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Per query the share of the exact ten that the trained index finds, and of all vectors that it reads."""
+    index = TrainedIndex(spark, folder)
+    near = materialise(index.found.select("query_id", "vec_id").distinct())
+    best = exact_best(index).join(near.withColumn("hit", F.lit(1)), ["query_id", "vec_id"], "left")
+    hits = best.groupBy("query_id").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"))
+    read = near.groupBy("query_id").agg((F.count(F.lit(1)) / F.lit(index.rows.count())).alias("share_read"))
+    return hits.join(read, "query_id")
+
+
 def cell_centroids(spark: SparkSession, folder: str) -> DataFrame:
     """Per build of the index files: its cells and the mean length of their centroids, repeats folded."""
     cells = table(spark, folder, "ivf_cells").select("build_id", "label", doubles(F.col("centroid")).alias("x"), "offset_from", "offset_to")
@@ -443,7 +478,7 @@ def projected_ranking(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "b2_unit_vectors": unit_long, "d6_mean_vector": mean_long, "i1_residuals": residual_long, "b12_hadamard": hadamard_long, "b13_b14_rotation": rotated_long,
-    "b20_augmented": augmented_long, "i3_lloyd_step": lloyd_long, "i2_trained_cells": trained_cells, "i4_c5_assignments": assigned_rows, "d7_offsets": offsets,
+    "b20_augmented": augmented_long, "i3_lloyd_step": lloyd_long, "i2_trained_cells": trained_cells, "i2_i8_trained_search": trained_search, "i2_i5_trained_recall": trained_recall, "i4_c5_assignments": assigned_rows, "d7_offsets": offsets,
     "i5_d8_d9_probe_trace": probe_trace, "i8_ivf_exact": ivf_exact, "i9_c4_exact_top10": exact, "i5_ivf_recall": ivf_recall, "b18_cell_keys": keys_of_cells,
     "i11_local_vectors": local_long, "e2_compartment_local": compartment_local, "i12_i7_compartment_ranking": compartment_ranking, "e4_k8_interleaved": interleaved,
     "b15_b16_i6_noisy_repeats": noisy_repeats, "a7_index_files": cell_centroids, "k6_neighbourhood_recall": neighbourhood_recall,
