@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.operators.metrics import wilson_interval
-from larkspan.session import small
+from larkspan.session import materialise, small
 
 
 def balanced_sample(rows: DataFrame, label: str, item: str, most: int, seed: str = "sample") -> DataFrame:
@@ -89,85 +89,106 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(((x[:, None, :] - y[None, :, :]) ** 2).sum(2), 0.0))
 
 
-def local_alignment(rows: DataFrame, anchors: int, targets: int = 20, seed: str = "anchor") -> DataFrame:
-    """(cell, targets, correct): records recognised from their distances to known anchors of their cell.
+def local_alignment(rows: DataFrame, counts: tuple[int, ...], targets: int = 20, seed: str = "anchor") -> DataFrame:
+    """(anchors, cell, targets, correct): records recognised from their distances to known anchors of their cell.
 
-    `rows` are (cell, item, x, y). Of each cell the first `anchors` + `targets` items by hash take part, so
-    that a task gets a bounded number of rows; smaller cells are left out.
+    `rows` are (cell, item, x, y); each number of anchors in `counts` is tried on its own. Of each cell the first
+    anchors + targets items by hash take part, so that a task gets a bounded number of rows; the measure is that
+    sample, and smaller cells are left out.
     """
     order = Window.partitionBy("cell").orderBy(F.sha2(F.concat(F.lit(seed + ":"), F.col("item").cast("string")), 256))
-    kept = rows.withColumn("r", F.row_number().over(order) - 1).filter(F.col("r") < anchors + targets)
+    kept = rows.select("cell", "x", "y", (F.row_number().over(order) - 1).alias("r")).filter(F.col("r") < max(counts) + targets)
+    tried = kept.withColumn("anchors", F.explode(F.array(*map(F.lit, counts)))).filter(F.col("r") < F.col("anchors") + targets)
 
     def align(cell: pd.DataFrame) -> pd.DataFrame:
         cell = cell.sort_values("r")
+        anchors = int(cell["anchors"].iloc[0])
         x, y = np.stack(cell["x"].to_numpy()), np.stack(cell["y"].to_numpy())
         if len(cell) < anchors + 3:
-            return pd.DataFrame({"cell": [], "targets": [], "correct": []}).astype("int64")
+            return pd.DataFrame({"anchors": [], "cell": [], "targets": [], "correct": []}).astype("int64")
         known = _distances(x[anchors:], x[:anchors])
         seen = _distances(y[anchors:], y[:anchors])
         cost = _distances(known, seen[::-1])  # the observer doesn't know the order
         found = assignment(cost)
         correct = int((found == np.arange(len(found))[::-1]).sum())
-        return pd.DataFrame({"cell": [int(cell["cell"].iloc[0])], "targets": [len(found)], "correct": [correct]})
+        return pd.DataFrame({"anchors": [anchors], "cell": [int(cell["cell"].iloc[0])], "targets": [len(found)], "correct": [correct]})
 
-    return kept.groupBy("cell").applyInPandas(align, "cell bigint, targets bigint, correct bigint")
+    return tried.groupBy("anchors", "cell").applyInPandas(align, "anchors bigint, cell bigint, targets bigint, correct bigint")
 
 
-def global_alignment(rows: DataFrame, anchors: int, targets: int, seed: str = "global") -> DataFrame:
-    """One row (anchors, targets, covered, correct): the same with anchors drawn from all cells.
+def global_alignment(rows: DataFrame, counts: tuple[int, ...], targets: int, repeats: int = 10, seed: str = "global") -> DataFrame:
+    """(repeat_no, anchors, targets, covered, correct): the same with anchors drawn from all cells.
 
-    A target without an anchor in its cell has no fingerprint; it costs the same everywhere. The
-    sample of anchors + targets rows is bounded, so one task solves it.
+    A target without an anchor in its cell has no fingerprint; it costs the same everywhere. Each repeat
+    draws a bounded sample of its own by hash, which one task solves for each number of anchors.
     """
-    key = F.sha2(F.concat(F.lit(seed + ":"), F.col("item").cast("string")), 256)
-    kept = rows.select("cell", "item", "x", "y", key.alias("h")).orderBy("h").limit(anchors + targets).withColumn("one", F.lit(1))
+    most = max(counts)
+    each = rows.select("cell", "item", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat_no"))
+    key = F.sha2(F.concat_ws(":", F.lit(seed), "repeat_no", F.col("item").cast("string")), 256)
+    order = Window.partitionBy("repeat_no").orderBy("h")
+    kept = each.withColumn("h", key).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most + targets)
 
     def align(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("h")
+        pdf = pdf.sort_values("r")
         x, y, cell = np.stack(pdf["x"].to_numpy()), np.stack(pdf["y"].to_numpy()), pdf["cell"].to_numpy()
-        ids = np.arange(anchors, len(pdf))[::-1]
-        cost, covered = np.zeros((len(ids), len(ids))), 0
-        for column, i in enumerate(ids):
-            local = np.flatnonzero(cell[:anchors] == cell[i])
-            if len(local):
-                covered += 1
-                gap = _distances(x[anchors:], x[local]) - _distances(y[[i]], y[local])
-                cost[:, column] = np.abs(gap).mean(1)
-        found = assignment(cost)
-        correct = int((ids[found] == np.arange(anchors, len(pdf))).sum())
-        return pd.DataFrame({"anchors": [anchors], "targets": [len(ids)], "covered": [covered], "correct": [correct]})
-
-    return kept.groupBy("one").applyInPandas(align, "anchors bigint, targets bigint, covered bigint, correct bigint")
-
-
-def affine_recovery(known: DataFrame, asked: DataFrame, most: int = 2_000) -> DataFrame:
-    """(item, covered, cosine): vectors recovered from keyed coordinates by a least-squares map per cell.
-
-    `known` and `asked` are (cell, item, x, y). Each cell's map is fitted on at most `most` known pairs by
-    hash. In a cell without any, the guess is the mean of all known vectors.
+        ids = np.arange(min(most, len(pdf)), len(pdf))[::-1]
+        out = []
+        for anchors in counts:
+            cost, covered = np.zeros((len(ids), len(ids))), 0
+            for column, i in enumerate(ids):
+                local = np.flatnonzero(cell[: min(anchors, len(pdf))] == cell[i])
+                if len(local):
+                    covered += 1
+                    gap = _distances(x[ids[::-1]], x[local]) - _distances(y[[i]], y[local])
+                    cost[:, column] = np.abs(gap).mean(1)
+            found = assignment(cost) if len(ids) else np.zeros(0, dtype=int)
+            correct = int((ids[found] == ids[::-1]).sum()) if len(ids) else 0
+            out.append((int(pdf["repeat_no"].iloc[0]), anchors, len(ids), covered, correct))
+        return pd.DataFrame(out, columns=["repeat_no", "anchors", "targets", "covered", "correct"])
+
+    return kept.groupBy("repeat_no").applyInPandas(align, "repeat_no bigint, anchors bigint, targets bigint, covered bigint, correct bigint")
+
+
+def affine_recovery(known: DataFrame, asked: DataFrame) -> DataFrame:
+    """(item, covered, cosine, baseline): vectors recovered from keyed coordinates by a least-squares map per cell.
+
+    `known` and `asked` are (cell, item, x, y). A cell's map is the solution of its normal equations,
+    whose sums each task adds up for its own rows, so all known pairs count and no cell is gathered. In
+    a cell without any, the guess is the mean of all known vectors; `baseline` is the cosine of that
+    mean with the vector. Cells must be few enough for their maps to fit on the driver (see `matrix_of`).
     """
-    order = Window.partitionBy("cell").orderBy(F.sha2(F.col("item").cast("string"), 256))
-    train = known.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most).drop("_r")
     each = known.select(F.posexplode("x").alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("m"))
     mean = [r["m"] for r in each.orderBy("pos").collect()]  # one vector
 
-    def fit(cell: pd.DataFrame) -> pd.DataFrame:
-        one = np.ones((len(cell), 1))
-        found, *_ = np.linalg.lstsq(np.hstack([np.stack(cell["y"].to_numpy()), one]), np.stack(cell["x"].to_numpy()), rcond=None)
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for batch in batches:
+            for cell, rows in batch.groupby("cell"):
+                x, y = np.stack(rows["x"].to_numpy()), np.stack(rows["y"].to_numpy())
+                y = np.hstack([y, np.ones((len(y), 1))])
+                one, other = held.get(cell, (0.0, 0.0))
+                held[cell] = one + y.T @ y, other + y.T @ x
+        if held:
+            yield pd.DataFrame({"cell": list(held), "own": [a.ravel() for a, _ in held.values()], "cross": [b.ravel() for _, b in held.values()]})
+
+    def solve(cell: pd.DataFrame) -> pd.DataFrame:
+        own, cross = cell["own"].sum(), cell["cross"].sum()  # element by element, over tasks
+        width = int(round(len(own) ** 0.5))
+        found, *_ = np.linalg.lstsq(own.reshape(width, width), cross.reshape(width, -1), rcond=1e-12)
         return pd.DataFrame({"cell": [int(cell["cell"].iloc[0])], "map": [found.ravel()]})
 
     def recover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        middle = np.array(mean)
         for batch in batches:
             for _, rows in batch.groupby("cell"):
                 truth, y = np.stack(rows["x"].to_numpy()), np.stack(rows["y"].to_numpy())
                 covered = rows["map"].iloc[0] is not None
-                if covered:
-                    guess = np.hstack([y, np.ones((len(y), 1))]) @ np.asarray(rows["map"].iloc[0]).reshape(y.shape[1] + 1, -1)
-                else:
-                    guess = np.tile(np.array(mean), (len(y), 1))
-                norm = np.linalg.norm(guess, axis=1) * np.linalg.norm(truth, axis=1)
-                yield pd.DataFrame({"item": rows["item"].to_numpy(), "covered": covered, "cosine": (guess * truth).sum(1) / np.maximum(norm, 1e-12)})
-
-    maps = train.groupBy("cell").applyInPandas(fit, "cell bigint, map array<double>")
+                plain = np.tile(middle, (len(y), 1)) if len(middle) else np.zeros_like(truth)
+                guess = np.hstack([y, np.ones((len(y), 1))]) @ np.asarray(rows["map"].iloc[0]).reshape(y.shape[1] + 1, -1) if covered else plain
+                cosine = lambda g, t=truth: (g * t).sum(1) / np.maximum(np.linalg.norm(g, axis=1) * np.linalg.norm(t, axis=1), 1e-12)
+                yield pd.DataFrame({"item": rows["item"].to_numpy(), "covered": covered, "cosine": cosine(guess), "baseline": cosine(plain)})
+
+    parts = known.select("cell", "x", "y").mapInPandas(sums, "cell bigint, own array<double>, cross array<double>")
+    maps = materialise(parts.groupBy("cell").applyInPandas(solve, "cell bigint, map array<double>"))
     joined = asked.select("cell", "item", "x", "y").join(small(maps), "cell", "left")
-    return joined.mapInPandas(recover, "item bigint, covered boolean, cosine double")
+    return joined.mapInPandas(recover, "item bigint, covered boolean, cosine double, baseline double")

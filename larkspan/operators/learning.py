@@ -7,7 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Depths of trees in place of 7, 15 and 31 leaves.
@@ -32,12 +32,24 @@ def learned_ranking(model, rows: DataFrame, features: list[str], case: list[str]
     return best.select(*case, item, "score", (F.col("rank") - 1).cast("bigint").alias("rank"))
 
 
+def masked_ranking(model, rows: DataFrame, features: list[str], case: list[str], item: str, place: str, mask: Column, depth: int) -> DataFrame:
+    """`learned_ranking` of the cases where `mask` holds; all others keep the first list, by its `place` (null where absent).
+
+    `mask` must be the same for all rows of a case. A kept entry's score is null.
+    """
+    learned = learned_ranking(model, rows.filter(mask), features, case, item, depth)
+    kept = rows.filter(~F.coalesce(mask, F.lit(False)) & F.col(place).isNotNull())
+    rank = F.row_number().over(Window.partitionBy(*case).orderBy(place, item))
+    kept = kept.withColumn("rank", rank).filter(F.col("rank") <= depth)
+    return learned.unionByName(kept.select(*case, item, F.lit(None).cast("double").alias("score"), (F.col("rank") - 1).cast("bigint").alias("rank")))
+
+
 def fit_router(rows: DataFrame, features: list[str], target: str, trees: int = 50, depths: tuple[int, ...] = (3, 5), folds: int = 3, seed: int = 7):
     """A forest that predicts each query's best weight, its depth chosen by cross-validation.
 
     Classes weigh the same: each row's weight is the inverse of its class's frequency. Folds follow the hash of
-    `query_id`, so they don't depend on partitions. With a fold empty, as in a few rows, the least depth
-    is taken without cross-validation. Returns the model and the weights it chooses from.
+    `query_id`, so they don't depend on partitions; empty ones are left out. Where all rows are in one
+    fold nothing can be validated, and the least depth is taken. Returns the model and the weights it chooses from.
     """
     sizes = rows.groupBy(target).agg(F.count(F.lit(1)).alias("_n"))  # one row per weight tried
     names = sorted(r[target] for r in sizes.collect())
@@ -46,11 +58,12 @@ def fit_router(rows: DataFrame, features: list[str], target: str, trees: int = 5
     given = rows.join(F.broadcast(sizes), target).withColumn("label", index[F.col(target)]).withColumn("weight", 1.0 / F.col("_n")).withColumn("fold", fold)
     forest = RandomForestClassifier(numTrees=trees, minInstancesPerNode=15, weightCol="weight", labelCol="label", seed=seed)
     ready = assembled(given, features)
-    if given.select("fold").distinct().count() < folds:
+    present = sorted(r["fold"] for r in given.select("fold").distinct().collect())  # at most `folds` rows
+    if len(present) < 2:
         return forest.setMaxDepth(depths[0]).fit(ready), names
     grid = ParamGridBuilder().addGrid(forest.maxDepth, list(depths)).build()
     judge = MulticlassClassificationEvaluator(metricName="weightedRecall", labelCol="label", weightCol="weight")
-    tuned = CrossValidator(estimator=forest, estimatorParamMaps=grid, evaluator=judge, foldCol="fold", numFolds=folds).fit(ready)
+    tuned = CrossValidator(estimator=forest, estimatorParamMaps=grid, evaluator=judge, foldCol="fold", numFolds=len(present)).fit(ready.withColumn("fold", F.create_map(*[F.lit(x) for i, f in enumerate(present) for x in (f, i)])[F.col("fold")]))
     return tuned.bestModel, names
 
 

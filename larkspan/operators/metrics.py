@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspan.session import materialise
+
 
 def gain_value(gain: Column) -> Column:
     return F.pow(F.lit(2.0), gain) - 1
@@ -63,28 +65,34 @@ def outcome_shares(pairs: DataFrame, first: str, second: str, *by: str) -> DataF
     )
 
 
-def paired_bootstrap(differences: DataFrame, value: str, resamples: int = 5000, seed: int = 20260826, parts: int = 64) -> DataFrame:
+def paired_bootstrap(differences: DataFrame, value: str, resamples: int = 5000, seed: int = 11, per_bucket: int = 20_000) -> DataFrame:
     """One row: mean, 95 % interval and one-sided p value of a mean difference by bootstrap.
 
-    Rows with equal (rounded) values are counted first, so that the table resampled is one of distinct values; each of
-    `parts` tasks draws its share of the resamples as multinomial counts from it. Without rows all is null.
+    Equal values are counted first. Distinct values are spread over buckets by hash; of each resample's
+    draws a multinomial draw gives each bucket its number, and within a bucket another one gives each
+    value its own. So the result has the distribution of drawing from all rows, no value is rounded, and
+    a task holds one bucket of about `per_bucket` values. Null and NaN values are left out; without rows all is null.
     """
-    spark = differences.sparkSession
-    counted = differences.filter(F.col(value).isNotNull()).groupBy(F.round(value, 6).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    each = resamples // parts + (resamples % parts > 0)
-    jobs = F.broadcast(spark.range(parts).select(F.col("id").alias("part")))
-    rows = counted.join(jobs)
+    clean = differences.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    counted = materialise(clean.groupBy("v").agg(F.count(F.lit(1)).alias("n")))
+    buckets = max(1, -(-counted.count() // per_bucket))
+    spread = counted.withColumn("bucket", F.pmod(F.xxhash64("v"), F.lit(buckets)))
+    sizes = {r["bucket"]: r["n"] for r in spread.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # one row per bucket
+    totals = np.array([sizes.get(b, 0) for b in range(buckets)], dtype=np.int64)
+    whole = int(totals.sum())
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("v")
-        part = int(pdf["part"].iloc[0])
-        total = int(pdf["n"].sum())
-        random = np.random.default_rng([seed, part])
-        size = max(0, min(each, resamples - part * each))
-        means = random.multinomial(total, pdf["n"].to_numpy() / total, size=size) @ pdf["v"].to_numpy() / total
-        return pd.DataFrame({"mean": means})
-
-    means = rows.groupBy("part").applyInPandas(draw, "mean double")
+        values, share = pdf["v"].to_numpy(), pdf["n"].to_numpy() / pdf["n"].sum()
+        bucket = int(pdf["bucket"].iloc[0])
+        # The same generator in every task: all know how many draws each bucket has in each resample.
+        draws = np.random.default_rng([seed, 0]).multinomial(whole, totals / whole, size=resamples)[:, bucket]
+        random = np.random.default_rng([seed, 1, bucket])
+        sums = np.array([random.multinomial(k, share) @ values for k in draws])
+        return pd.DataFrame({"resample": np.arange(resamples), "total": sums})
+
+    sums = spread.groupBy("bucket").applyInPandas(draw, "resample bigint, total double")
+    means = sums.groupBy("resample").agg((F.sum("total") / F.lit(float(max(whole, 1)))).alias("mean"))
     observed = counted.agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean_difference"), F.sum("n").alias("cases"))
     interval = means.agg(
         F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larkspan.functions.text import lexical_text, stripped, token_count
 from larkspan.functions.vector import doubles
 from larkspan.operators import lexical
-from larkspan.session import table
+from larkspan.session import small, table
 
 SEMANTIC, LEXICAL = "semantic_ccadpe", "lexical_ccadpe"
 BLANKS_SQL = "' ' || chr(9) || chr(10) || chr(13) || chr(160)"
@@ -112,7 +112,7 @@ JUDGEMENTS_SQL = f"""{LISTS_SQL}, judged_ AS (SELECT query_id, doc_idx, max(CASE
 def weights(spark: SparkSession, folder: str) -> DataFrame:
     """Fusion weights per dataset: dataset, w (of the semantic list), c."""
     rows = table(spark, folder, "fusion_config").filter("dataset is not null")
-    return F.broadcast(rows.groupBy("dataset").agg(F.max(F.coalesce("semantic_weight", 1 - F.col("lexical_weight"))).alias("w"), F.max("rrf_constant").alias("c")).limit(1_000))
+    return small(rows.groupBy("dataset").agg(F.max(F.coalesce("semantic_weight", 1 - F.col("lexical_weight"))).alias("w"), F.max("rrf_constant").alias("c")))
 
 
 WEIGHTS_SQL = """weights_ AS (SELECT dataset, max(coalesce(semantic_weight, 1 - lexical_weight)) AS w, max(rrf_constant) AS c

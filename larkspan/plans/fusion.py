@@ -14,7 +14,9 @@ from larkspan.plans import base, lexical as lexical_plans
 from larkspan.session import table
 
 CASE = ["query_id", "repeat_no"]
-GRID = (0.0, 0.5, 0.8, 0.9, 0.95, 1.0)
+GRID = (0.0, 0.5, 0.8, 0.9, 0.95, 0.98, 1.0)
+#: Others than the relevant ones that a training sample takes per case.
+OTHERS = 100
 
 
 def _list_weight(w):
@@ -111,7 +113,7 @@ def judged_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def training_sample(spark: SparkSession, folder: str) -> DataFrame:
-    rows = fusion.training_rows(judged_pairs(spark, folder), CASE, "doc_idx", "gain", "s", "l", 10)
+    rows = fusion.training_rows(judged_pairs(spark, folder), CASE, "doc_idx", "gain", "s", "l", OTHERS)
     return rows.select(*CASE, "doc_idx", "label", F.round("weight", 9).alias("weight"))
 
 
@@ -120,7 +122,7 @@ m_ AS (SELECT query_id, repeat_no, doc_idx, CASE WHEN coalesce(gain, 0) > 0 THEN
   NOT coalesce(gain, 0) > 0 AND NOT (coalesce(s, 1000000000) < 50 OR coalesce(l, 1000000000) < 100) AS easy FROM lists_ LEFT JOIN judged_ USING (query_id, doc_idx)),
 k_ AS (SELECT *, row_number() OVER (PARTITION BY query_id, repeat_no, easy ORDER BY sha256(query_id || ':' || repeat_no || ':' || doc_idx)) AS r FROM m_)
 SELECT query_id, repeat_no, doc_idx, label, round(0.5::DOUBLE / count(*) OVER (PARTITION BY query_id, repeat_no, label), 9) AS weight
-FROM k_ WHERE NOT easy OR r <= 10"""
+FROM k_ WHERE NOT easy OR r <= {OTHERS}"""
 
 
 def list_ranking(spark: SparkSession, folder: str) -> DataFrame:
@@ -191,7 +193,7 @@ def bootstrap(spark: SparkSession, folder: str) -> DataFrame:
 def weight_grid(spark: SparkSession, folder: str) -> DataFrame:
     """nDCG of every weight on the calibration half, and which weight is chosen (of equals the largest)."""
     grid = spark.createDataFrame([(w,) for w in GRID], "w double")
-    rows = base.rankings(spark, folder).filter(~in_half(F.col("query_id"), "outer")).join(F.broadcast(grid))  # six rows
+    rows = base.rankings(spark, folder).filter(~in_half(F.col("query_id"), "outer")).join(F.broadcast(grid))  # a row per weight
     lists = fusion.fused(rows, [*CASE, "w"], "doc_idx", "pos", _list_weight(F.col("w")), 10)
     per = metrics.query_metrics(lists, base.judgements(spark, folder), [*CASE, "w"])
     means = per.groupBy("w").agg(F.round(F.avg("ndcg10"), 6).alias("ndcg10"), F.count(F.lit(1)).alias("cases"))
@@ -267,9 +269,15 @@ CALIBRATION = f"""WITH {base.QUERIES_SQL}, r_ AS (SELECT query_id, dataset, row_
 SELECT query_id, dataset, rank < greatest(1, round_even(n * 0.25, 0)) AS in_quarter, rank < greatest(1, round_even(n * 0.5, 0)) AS in_half FROM r_"""
 
 
+def traces(spark: SparkSession, folder: str) -> DataFrame:
+    """Each trace once; of repeats that differ the largest values count. Null trace ids are one trace."""
+    names = ["probed_cells", "posting_entries_read", "unique_candidates", "largest_probed_posting"]
+    return table(spark, folder, "semantic_trace").groupBy("trace_id").agg(*[F.max(n).alias(n) for n in names])
+
+
 def trace_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Reads, candidates and the largest posting per number of probed cells, with percentiles; each trace once."""
-    rows = table(spark, folder, "semantic_trace").dropDuplicates(["trace_id"])
+    rows = traces(spark, folder)
     q = lambda c, p: F.round(F.percentile(c, F.lit(p)), 6)
     return rows.groupBy("probed_cells").agg(
         F.count(F.lit(1)).alias("traces"), F.sum("posting_entries_read").alias("entries_read"), F.max("largest_probed_posting").alias("largest"),
@@ -279,19 +287,19 @@ def trace_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 TRACES = """SELECT probed_cells, count(*) AS traces, CAST(sum(r) AS BIGINT) AS entries_read, max(m) AS largest, round(avg(u), 6) AS mean_candidates,
   round(quantile_cont(CAST(u AS DOUBLE), 0.5), 6) AS p50, round(quantile_cont(CAST(u AS DOUBLE), 0.95), 6) AS p95, round(quantile_cont(CAST(u AS DOUBLE), 0.05), 6) AS p05
-FROM (SELECT trace_id, any_value(probed_cells) AS probed_cells, any_value(posting_entries_read) AS r, max(largest_probed_posting) AS m, max(unique_candidates) AS u FROM semantic_trace GROUP BY 1)
+FROM (SELECT trace_id, max(probed_cells) AS probed_cells, max(posting_entries_read) AS r, max(largest_probed_posting) AS m, max(unique_candidates) AS u FROM semantic_trace GROUP BY 1)
 GROUP BY 1"""
 
 
 def probe_choice(spark: SparkSession, folder: str) -> DataFrame:
     """The least number of probed cells whose mean candidates reach 95 % of those of the largest number."""
-    means = table(spark, folder, "semantic_trace").dropDuplicates(["trace_id"]).groupBy("probed_cells").agg(F.round(F.avg("unique_candidates"), 6).alias("mean_candidates"))
+    means = traces(spark, folder).groupBy("probed_cells").agg(F.round(F.avg("unique_candidates"), 6).alias("mean_candidates"))
     last = means.agg(F.max(F.struct("probed_cells", "mean_candidates")).alias("last"))  # one row
     marked = means.join(F.broadcast(last)).withColumn("covered", F.col("mean_candidates") >= 0.95 * F.col("last.mean_candidates"))
     return marked.filter("covered").orderBy("probed_cells").limit(1).select("probed_cells", "mean_candidates")
 
 
-PROBE = """WITH m_ AS (SELECT probed_cells, round(avg(u), 6) AS mean_candidates FROM (SELECT trace_id, any_value(probed_cells) AS probed_cells, max(unique_candidates) AS u
+PROBE = """WITH m_ AS (SELECT probed_cells, round(avg(u), 6) AS mean_candidates FROM (SELECT trace_id, max(probed_cells) AS probed_cells, max(unique_candidates) AS u
   FROM semantic_trace GROUP BY 1) GROUP BY 1)
 SELECT * FROM m_ WHERE mean_candidates >= 0.95::DOUBLE * (SELECT mean_candidates FROM m_ ORDER BY probed_cells DESC LIMIT 1) ORDER BY probed_cells LIMIT 1"""
 

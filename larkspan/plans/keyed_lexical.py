@@ -69,7 +69,7 @@ def sketch_rerank(spark: SparkSession, folder: str) -> DataFrame:
     stored = compartment.selected_local(stored_vectors(weighted).select("doc_idx", "x", zero), "doc_idx", keys, key, WIDTH).select("doc_idx", "y")
     asked = compartment.selected_local(asked_vectors(spark, folder).select("query_id", "x", zero), "query_id", keys, key, WIDTH).select("query_id", F.col("y").alias("q"))
     chosen = lexical.rarest_terms(base.known_terms(spark, folder), 2).select("query_id", "term")
-    pairs = chosen.join(base.postings(spark, folder), "term").select("query_id", "doc_idx").distinct().join(stored, "doc_idx").join(asked, "query_id")
+    pairs = lexical.matched(chosen, base.postings(spark, folder)).select("query_id", "doc_idx").distinct().join(stored, "doc_idx").join(asked, "query_id")
     distance = F.aggregate(F.zip_with("q", "y", lambda a, b: 2 * a * b - b * b), F.lit(0.0), lambda s, v: s + v)
     near = lexical.top_k(pairs.select("query_id", "doc_idx", F.round(distance, 7).alias("score")), ["query_id"], 200).select("query_id", "doc_idx")
     terms = lexical.bounded(base.terms(spark, folder).select("query_id", "term"))
@@ -147,5 +147,12 @@ near_ AS (SELECT *, row_number() OVER (PARTITION BY query_id, cell ORDER BY scor
   SELECT query_id, cell, doc_idx, planner_rank, {_DISTANCE} AS score FROM planned_ JOIN stored_ USING (doc_idx) JOIN asks_ USING (query_id, cell)))
 SELECT query_id, doc_idx, planner_rank, row_number() OVER (PARTITION BY query_id ORDER BY planner_rank) - 1 AS rank FROM near_ WHERE r <= {LOCAL_TOP}"""
 
+RERANK = f"""WITH {base.LEXICAL_SQL}, {_keyed_sql(1, WIDTH)}, {lexical_plans._weighted_sql(True).replace("weighted_ AS", "exact_ AS", 1)},
+two_ AS (SELECT query_id, term FROM (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY df, term) AS r FROM terms_ JOIN df_ USING (term)) WHERE r <= 2),
+near_ AS (SELECT query_id, doc_idx FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_idx) AS r FROM (
+  SELECT query_id, doc_idx, {_DISTANCE} AS score FROM (SELECT DISTINCT query_id, doc_idx FROM two_ JOIN postings_ USING (term)) JOIN stored_ USING (doc_idx) JOIN asks_ USING (query_id))) WHERE r <= 200),
+scores_ AS (SELECT query_id, doc_idx, round(sum(weight), 9) AS score FROM near_ JOIN terms_ USING (query_id) JOIN exact_ USING (doc_idx, term) GROUP BY 1, 2)
+SELECT query_id, doc_idx, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_idx) - 1 AS rank FROM scores_) WHERE rank < 100"""
+
 QUERIES = {"i20_i21_f9_compartment_ranking": compartment_ranking, "i15_i16_sketch_rerank": sketch_rerank, "f12_recommendation": recommendation}
-SQL = {"i20_i21_f9_compartment_ranking": COMPARTMENT}
+SQL = {"i20_i21_f9_compartment_ranking": COMPARTMENT, "i15_i16_sketch_rerank": RERANK}

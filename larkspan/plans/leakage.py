@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+from typing import NamedTuple
+
+from pyspark.ml.classification import GBTClassificationModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.functions.keyed import hmac_hex, hmac_sql, in_half
 from larkspan.operators import compartment, fusion, leakage, learning, metrics, vector_index
 from larkspan.plans import base, fusion as fusion_plans, vectors
-from larkspan.session import materialise
+from larkspan.session import materialise, scratch_root
+from larkspan.sources import writers
 
 ALIAS_KEY_A, ALIAS_KEY_B = b"alias a", b"alias b"
 DEPTH = 20
@@ -88,20 +93,48 @@ def topics(spark: SparkSession, folder: str) -> DataFrame:
     return cells.withColumn("view", F.lit("cells")).unionByName(blocks.withColumn("view", F.lit("coordinates")))
 
 
+#: The numbers of anchors that the reference tries, its targets and its repeats.
+GLOBAL_ANCHORS, LOCAL_ANCHORS, TARGETS, REPEATS = (2, 4, 8, 16, 32, 64), (2, 4, 8, 16), 300, 10
+#: The limits of the three gates.
+TOPIC_GATE, ANCHOR_GATE, NEIGHBOUR_GATE = 0.35, 0.20, 0.50
+
+
 def anchor_alignment(spark: SparkSession, folder: str) -> DataFrame:
-    """Known-record alignment with 4 anchors per cell, and with 32 anchors over all cells."""
+    """Known-record alignment by number of anchors: per cell, and over all cells in ten repeats.
+
+    `accuracy` is the mean over repeats, `deviation` their sample deviation (null for one).
+    """
     view = local_view(spark, folder)
-    local = leakage.local_alignment(view, 4).agg(F.lit("local").alias("kind"), F.sum("targets").alias("targets"), F.sum("correct").alias("correct"))
-    whole = leakage.global_alignment(view, 32, 100).select(F.lit("global").alias("kind"), "targets", "correct")
+    local = leakage.local_alignment(view, LOCAL_ANCHORS).groupBy("anchors").agg(
+        F.lit("local").alias("kind"), F.sum("targets").alias("targets"), F.sum("correct").alias("correct"), F.round(F.sum("correct") / F.sum("targets"), 6).alias("accuracy"),
+        F.lit(None).cast("double").alias("deviation"), F.sum("targets").alias("covered"))
+    share = F.col("correct") / F.col("targets")
+    whole = leakage.global_alignment(view, GLOBAL_ANCHORS, TARGETS, REPEATS).groupBy("anchors").agg(
+        F.lit("global").alias("kind"), F.sum("targets").alias("targets"), F.sum("correct").alias("correct"), F.round(F.avg(share), 6).alias("accuracy"),
+        F.round(F.stddev_samp(share), 6).alias("deviation"), F.sum("covered").alias("covered"))
     return local.unionByName(whole)
 
 
+def gates(spark: SparkSession, folder: str) -> DataFrame:
+    """The three predeclared gates: topic accuracy from coordinates, alignment with four global anchors, neighbourhood recall."""
+    topic = topics(spark, folder).filter("view = 'coordinates'").select(F.lit("topic").alias("gate"), F.col("accuracy").alias("value"), F.lit(TOPIC_GATE).alias("most"))
+    anchors = leakage.global_alignment(local_view(spark, folder), (4,), TARGETS, REPEATS).agg(F.avg(F.col("correct") / F.col("targets")).alias("value"))
+    anchors = anchors.select(F.lit("four anchors").alias("gate"), "value", F.lit(ANCHOR_GATE).alias("most"))
+    near = vectors.neighbourhood_recall(spark, folder).agg(F.avg("recall").alias("value")).select(F.lit("neighbourhood").alias("gate"), "value", F.lit(NEIGHBOUR_GATE).alias("most"))
+    return topic.unionByName(anchors).unionByName(near).select("gate", F.round("value", 6).alias("value"), "most", (F.col("value") <= F.col("most")).alias("passes"))
+
+
 def known_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Recovery of one half's vectors from the other half's known pairs: mean cosine and gain over the mean vector."""
+    """Recovery of one half's vectors from the other half's known pairs: mean cosine, the mean vector's, and the gain over it.
+
+    The gain is scaled so that 1 is full recovery and 0 what the mean vector gives.
+    """
     view = local_view(spark, folder)
     held = in_half(F.col("item").cast("string"), "known")
-    told = leakage.affine_recovery(view.filter(~held).drop("label"), view.filter(held).drop("label"))
-    return told.groupBy("covered").agg(F.count(F.lit(1)).alias("records"), F.round(F.avg("cosine"), 6).alias("mean_cosine"))
+    told = leakage.affine_recovery(view.filter(~held).drop("label"), view.filter(held).drop("label")).groupBy("covered").agg(
+        F.count(F.lit(1)).alias("records"), F.avg("cosine").alias("c"), F.avg("baseline").alias("b"))
+    gain = (F.col("c") - F.col("b")) / F.greatest(1 - F.col("b"), F.lit(1e-12))
+    return told.select("covered", "records", F.round("c", 6).alias("mean_cosine"), F.round("b", 6).alias("baseline_cosine"), F.round(gain, 6).alias("normalised_gain"))
 
 
 def _featured(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
@@ -113,21 +146,39 @@ def _featured(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
     return rows, [*features, *[c for c in per_query.columns if c != "query_id"]]
 
 
-def learned_fusion(spark: SparkSession, folder: str, rounds: int = 120) -> DataFrame:
-    """The learned ranker: depth and weight chosen on the inner half of the calibration queries, reported on the outer half."""
+class Fusion(NamedTuple):
+    """The chosen ranker with what it was chosen from."""
+
+    rows: DataFrame
+    features: list[str]
+    model: object
+    depth: int
+    weight: float
+
+
+def _mixed(learned: DataFrame, lists: DataFrame, weight: float) -> DataFrame:
+    """The learned ranking fused with the semantic lists (case, doc_idx, pos), which have `weight`."""
+    if weight <= 0:
+        return learned
+    both = learned.select(*fusion_plans.CASE, "doc_idx", F.col("rank").alias("pos"), F.lit(False).alias("semantic"))
+    both = both.unionByName(lists.select(*fusion_plans.CASE, "doc_idx", "pos", F.lit(True).alias("semantic")))
+    return fusion.fused(both, fusion_plans.CASE, "doc_idx", "pos", F.when(F.col("semantic"), weight).otherwise(1 - weight), 100)
+
+
+def _semantic(spark: SparkSession, folder: str, part: DataFrame) -> DataFrame:
+    lists = base.rankings(spark, folder).filter(F.col("list_name") == base.SEMANTIC).select(*fusion_plans.CASE, "doc_idx", "pos")
+    return lists.join(part.select(*fusion_plans.CASE).distinct(), fusion_plans.CASE, "left_semi")
+
+
+def fitted(spark: SparkSession, folder: str, rounds: int = 120) -> Fusion:
+    """Depth and weight chosen on the inner half of the calibration queries, the ranker fitted on all of them."""
     rows, features = _featured(spark, folder)
     rows = materialise(rows)
     outer, inner = in_half(F.col("query_id"), "outer"), in_half(F.col("query_id"), "inner")
     judged = base.judgements(spark, folder)
     sample = lambda part: fusion.training_rows(part, fusion_plans.CASE, "doc_idx", "gain", "s", "l")
-    lists = base.rankings(spark, folder).filter(F.col("list_name") == base.SEMANTIC).select(*fusion_plans.CASE, "doc_idx", "pos", F.lit(True).alias("semantic"))
-
-    def mixed(model, part: DataFrame, weight: float) -> DataFrame:
-        learned = learning.learned_ranking(model, part, features, fusion_plans.CASE, "doc_idx", 100)
-        if weight <= 0:
-            return learned
-        both = learned.select(*fusion_plans.CASE, "doc_idx", F.col("rank").alias("pos"), F.lit(False).alias("semantic")).unionByName(lists.join(part.select(*fusion_plans.CASE).distinct(), fusion_plans.CASE, "left_semi"))
-        return fusion.fused(both, fusion_plans.CASE, "doc_idx", "pos", F.when(F.col("semantic"), weight).otherwise(1 - weight), 100)
+    part = rows.filter(~outer & inner)
+    lists = materialise(_semantic(spark, folder, part))
 
     def ndcg(ranking: DataFrame) -> float:
         value = metrics.query_metrics(ranking, judged, fusion_plans.CASE).agg(F.avg("ndcg10")).first()[0]  # one number
@@ -136,11 +187,55 @@ def learned_fusion(spark: SparkSession, folder: str, rounds: int = 120) -> DataF
     best = (-1.0, learning.DEPTHS[0], 0.0)
     for depth in learning.DEPTHS:
         model = learning.fit_ranker(sample(rows.filter(~outer & ~inner)), features, depth, rounds)
+        learned = materialise(learning.learned_ranking(model, part, features, fusion_plans.CASE, "doc_idx", 100))
         for weight in RANKER_WEIGHTS:
-            best = max(best, (ndcg(mixed(model, rows.filter(~outer & inner), weight)), depth, weight))
+            best = max(best, (ndcg(_mixed(learned, lists, weight)), depth, weight))
     model = learning.fit_ranker(sample(rows.filter(~outer)), features, best[1], rounds)
-    final = metrics.query_metrics(mixed(model, rows.filter(outer), best[2]), judged, fusion_plans.CASE)
-    return final.agg(F.lit(best[1]).alias("depth"), F.lit(best[2]).alias("weight"), F.count(F.lit(1)).alias("cases"), F.round(F.avg("ndcg10"), 6).alias("ndcg10"), F.round(F.avg("recall100"), 6).alias("recall100"))
+    return Fusion(rows, features, model, best[1], best[2])
+
+
+def learned_fusion(spark: SparkSession, folder: str, rounds: int = 120) -> DataFrame:
+    """The learned ranker with the depth and weight chosen for it, reported on the outer half."""
+    fit = fitted(spark, folder, rounds)
+    part = fit.rows.filter(in_half(F.col("query_id"), "outer"))
+    learned = learning.learned_ranking(fit.model, part, fit.features, fusion_plans.CASE, "doc_idx", 100)
+    final = metrics.query_metrics(_mixed(learned, _semantic(spark, folder, part), fit.weight), base.judgements(spark, folder), fusion_plans.CASE)
+    return final.agg(F.lit(fit.depth).alias("depth"), F.lit(fit.weight).alias("weight"), F.count(F.lit(1)).alias("cases"), F.round(F.avg("ndcg10"), 6).alias("ndcg10"), F.round(F.avg("recall100"), 6).alias("recall100"))
+
+
+def learned_report(spark: SparkSession, folder: str, rounds: int = 120) -> DataFrame:
+    """Plain RRF against the semantic list and the learned ranking against plain RRF, by paired bootstrap on the outer half.
+
+    The ranker is saved and loaded again; the queries of the other half keep their semantic list. Differences are of nDCG, averaged
+    over a query's repeats first. `hits` are the relevant records among the first hundred of the second ranking.
+    """
+    fit = fitted(spark, folder, rounds)
+    path = f"{scratch_root(spark)}/larkspan-ranker-{uuid.uuid4().hex}"
+    writers.save_model(fit.model, path)
+    model = writers.load_model(GBTClassificationModel, path)
+    outer = in_half(F.col("query_id"), "outer")
+    learned = materialise(learning.masked_ranking(model, fit.rows, fit.features, fusion_plans.CASE, "doc_idx", "s", outer, 100))
+    lists = base.rankings(spark, folder)
+    rankings = {
+        "semantic": base.ranked(lists.filter(F.col("list_name") == base.SEMANTIC), fusion_plans.CASE, "pos", "doc_idx"),
+        "rrf": fusion.fused(lists, fusion_plans.CASE, "doc_idx", "pos", F.lit(0.5), 100),
+        "learned": _mixed(learned, _semantic(spark, folder, fit.rows), fit.weight),
+    }
+    judged = materialise(base.judgements(spark, folder))
+    each = None
+    for name, ranking in rankings.items():
+        per = metrics.query_metrics(ranking, judged, fusion_plans.CASE).filter(outer).groupBy("query_id").agg(
+            F.avg("ndcg10").alias(f"{name}_ndcg"), F.sum(F.round(F.col("recall100") * F.col("relevant"))).alias(f"{name}_hits"))
+        each = per if each is None else each.join(per, "query_id")
+    each = materialise(each)
+    out = None
+    for first, second in (("semantic", "rrf"), ("rrf", "learned")):
+        d = each.select((F.col(f"{second}_ndcg") - F.col(f"{first}_ndcg")).alias("d"), F.lit(0.0).alias("zero"), F.col(f"{second}_hits").alias("h"))
+        shares = metrics.outcome_shares(d, "zero", "d").select("wins", "ties", "losses")
+        row = metrics.paired_bootstrap(d, "d").join(shares).join(d.agg(F.sum("h").cast("bigint").alias("hits")))  # one row each
+        row = row.withColumn("comparison", F.lit(f"{second} - {first}"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def router(spark: SparkSession, folder: str, trees: int = 300) -> DataFrame:
@@ -167,6 +262,6 @@ def router(spark: SparkSession, folder: str, trees: int = 300) -> DataFrame:
 
 QUERIES = {
     "k1_balanced_sample": balanced, "k9_k12_c12_d18_alias_linkage": alias_linkage, "d21_k11_linkage_summary": linkage_summary, "k2_k3_topic_inference": topics,
-    "k4_k5_c13_alignment": anchor_alignment, "k7_k10_known_pairs": known_pairs, "j6_j7_j9_learned_fusion": learned_fusion, "j11_router": router,
+    "k4_k5_c13_alignment": anchor_alignment, "k7_k10_known_pairs": known_pairs, "k11_gates": gates, "j7_j14_j15_a14_learned_report": learned_report, "j6_j7_j9_learned_fusion": learned_fusion, "j11_router": router,
 }
 SQL = {"k1_balanced_sample": BALANCED, "k9_k12_c12_d18_alias_linkage": LINKAGE, "d21_k11_linkage_summary": SUMMARY}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("heavy", "scans", "lexical", "vectors", "fusion", "leakage", "keyed_lexical")
+MODULES = ("heavy", "scans", "lexical", "vectors", "fusion", "leakage", "keyed_lexical", "stores")
 
 
 def collected() -> tuple[dict, dict]:

@@ -71,7 +71,7 @@ FROM rankings_ LEFT JOIN lengths_ USING (doc_idx) LEFT JOIN judged_ USING (query
 
 def stored_rankings(spark: SparkSession, folder: str) -> DataFrame:
     """The semantic rankings, selected from the stored table."""
-    rows = readers.stored_ranking(table(spark, folder, "rankings").dropDuplicates(["query_id", "repeat_no", "list_name", "doc_idx"]), list_name=base.SEMANTIC)
+    rows = readers.stored_ranking(base.rankings(spark, folder), list_name=base.SEMANTIC)
     return rows.select("query_id", "repeat_no", "doc_idx", "rank")
 
 
@@ -79,12 +79,19 @@ STORED = f"WITH {base.RANKINGS_SQL} SELECT query_id, repeat_no, doc_idx, row_num
 
 
 def matches(spark: SparkSession, folder: str) -> DataFrame:
-    """How many of a query's terms each record has, for all pairs with any."""
-    salted = base.postings(spark, folder).withColumn("weight", F.lit(1.0))
-    return lexical.bm25_scores(base.terms(spark, folder), salted).select("query_id", "doc_idx", F.col("score").cast("bigint").alias("matches"))
-
-
-MATCHES = f"WITH {base.QUERIES_SQL}, {base.POSTINGS_SQL}, {base.TERMS_SQL} SELECT query_id, doc_idx, count(*) AS matches FROM terms_ JOIN postings_ USING (term) GROUP BY 1, 2"
+    """Per query, how many records have any of its terms, all of those that occur at all, and how many postings these are."""
+    asked = base.known_terms(spark, folder).filter("df > 0").select("query_id", "term")
+    most = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("known_terms"))
+    placed = base.postings(spark, folder).select("doc_idx", "term").repartition("doc_idx")
+    each = lexical.matched(asked, placed).groupBy("query_id", "doc_idx").agg(F.count(F.lit(1)).alias("n"))
+    counts = each.join(lexical.bounded(most), "query_id").groupBy("query_id", "known_terms")
+    return counts.agg(F.count(F.lit(1)).alias("with_any"), F.sum((F.col("n") == F.col("known_terms")).cast("int")).alias("with_all"), F.sum("n").alias("postings"))
+
+
+MATCHES = f"""WITH {base.QUERIES_SQL}, {base.POSTINGS_SQL}, {base.TERMS_SQL}, k_ AS (SELECT query_id, term FROM terms_ JOIN df_ USING (term)),
+n_ AS (SELECT query_id, count(*) AS known_terms FROM k_ GROUP BY 1)
+SELECT query_id, known_terms, count(*) AS with_any, CAST(sum((n = known_terms)::INT) AS BIGINT) AS with_all, CAST(sum(n) AS BIGINT) AS postings FROM (
+  SELECT query_id, doc_idx, count(*) AS n FROM k_ JOIN postings_ USING (term) GROUP BY 1, 2) JOIN n_ USING (query_id) GROUP BY 1, 2"""
 
 
 def wire_bytes(spark: SparkSession, folder: str) -> DataFrame:

@@ -17,6 +17,8 @@ CELLS, ASSIGNMENTS, PROBES = 16, 2, 9
 #: The reference's largest local depth: by 16 of 64 coordinates 64 rows a cell find 0.835 of the exact ten (sf0.1), 96 find 0.915.
 WIDTH, CHOSEN, LOCAL_TOP, TOP = 64, 16, 128, 10
 KEY = "semantic"
+#: The local depths that the reference sweeps.
+DEPTHS = (2, 4, 8, 16, 32, 64, 128)
 #: The share of a trained index' cells that is probed, and the rounds of its training over all rows.
 TRAINED_PROBES, TRAINING_ROUNDS = 0.45, 10
 
@@ -466,6 +468,57 @@ SELECT CAST(p AS BIGINT) AS probes, (SELECT count(*) FROM seen_ s WHERE s.probes
 FROM (VALUES (1), (2), (4), (8), (16)) v(p)"""
 
 
+def coverage_choice(spark: SparkSession, folder: str) -> DataFrame:
+    """Per number of probed cells how much of the exact hundred and of the exact ten is read; the least with 0.95 of both is chosen.
+
+    Without such a number the largest is chosen. `p05` is the twentieth of the queries with the least of the hundred.
+    """
+    index = Index(spark, folder)
+    most = vector_index.nearest_cells(index.asked, "query_id", index.centroids, CELLS)
+    placed = most.select("query_id", "cell", F.col("rank").alias("cell_rank"))
+    first = vector_index.per_cell(placed, index.assigned.select("cell", "vec_id"), "vec_id").groupBy("query_id", "vec_id").agg(F.min("cell_rank").alias("seen_at"))
+    best = vector_index.exact_top(index.asked, index.rows, "query_id", "vec_id", 100).select("query_id", "vec_id", "rank").join(first, ["query_id", "vec_id"])
+    levels = F.explode(F.array(*map(F.lit, (1, 2, 4, 8, 16)))).alias("probes")
+    each = materialise(best.select("query_id", "rank", "seen_at", levels))
+    seen = (F.col("seen_at") < F.col("probes")).cast("double")
+    per = each.groupBy("query_id", "probes").agg(F.avg(seen).alias("hundred"), F.avg(F.when(F.col("rank") < TOP, seen)).alias("ten"))
+    means = per.groupBy("probes").agg(F.round(F.avg("hundred"), 6).alias("of_hundred"), F.round(F.percentile("hundred", F.lit(0.05)), 6).alias("p05"), F.round(F.avg("ten"), 6).alias("of_ten"))
+    good = (F.col("of_hundred") >= 0.95) & (F.col("of_ten") >= 0.95)
+    order = Window.orderBy(F.when(good, F.col("probes")).otherwise(1_000_000 - F.col("probes")))  # five rows
+    return means.withColumn("chosen", F.row_number().over(order) == 1)
+
+
+COVERAGE = f"""WITH {ASSIGNED_SQL}, asked_ AS (SELECT vec_id, x FROM residual_ WHERE vec_id % 100 = 0),
+most_ AS (SELECT vec_id AS query_id, cell, rank FROM {_NEAR.format(source='asked_')}),
+first_ AS (SELECT query_id, vec_id, min(m.rank) AS seen_at FROM most_ m JOIN assigned_ USING (cell) GROUP BY ALL),
+best_ AS (SELECT query_id, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM (
+  SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.x, b.x), 9) AS score FROM asked_ a CROSS JOIN residual_ b)) WHERE rank < 100),
+per_ AS (SELECT query_id, probes, avg((seen_at < probes)::INT) AS h, avg(CASE WHEN rank < {TOP} THEN (seen_at < probes)::INT END) AS t
+  FROM best_ JOIN first_ USING (query_id, vec_id) CROSS JOIN (VALUES (1), (2), (4), (8), (16)) v(probes) GROUP BY 1, 2),
+means_ AS (SELECT probes, round(avg(h), 6) AS of_hundred, round(quantile_cont(h, 0.05), 6) AS p05, round(avg(t), 6) AS of_ten FROM per_ GROUP BY 1)
+SELECT *, row_number() OVER (ORDER BY CASE WHEN of_hundred >= 0.95 AND of_ten >= 0.95 THEN probes ELSE 1000000 - probes END) = 1 AS chosen FROM means_"""
+
+
+def depth_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    """The sweep of the local depth: per depth the candidates that reach the exact rerank and the share of the exact ten among them."""
+    index = Index(spark, folder)
+    local = materialise(index.local_best().select("query_id", "vec_id", "local_rank"))
+    depths = F.explode(F.array(*map(F.lit, DEPTHS))).alias("depth")
+    kept = local.groupBy("query_id", "vec_id").agg(F.min("local_rank").alias("at")).select("query_id", "vec_id", "at", depths).filter(F.col("at") < F.col("depth"))
+    kept = kept.join(exact_best(index).select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    per = kept.groupBy("query_id", "depth").agg(F.count(F.lit(1)).alias("candidates"), (F.coalesce(F.sum("hit"), F.lit(0)) / TOP).alias("recall"))
+    return per.groupBy("depth").agg(
+        F.count(F.lit(1)).alias("queries"), F.round(F.avg("candidates"), 6).alias("mean_candidates"), F.max("candidates").alias("most_candidates"),
+        F.round(F.avg("recall"), 6).alias("recall"), F.round(F.min("recall"), 6).alias("least_recall"))
+
+
+DEPTH_SWEEP = f"""WITH {FOUND_SQL}, {LOCAL_TOP_SQL}, best_ AS ({_top_sql('(SELECT a.vec_id AS query_id, b.vec_id FROM asked_ a CROSS JOIN residual_ b)')}),
+at_ AS (SELECT query_id, vec_id, min(local_rank) AS least_rank FROM local_ GROUP BY 1, 2),
+per_ AS (SELECT query_id, depth, count(*) AS n, count(b.score) / {TOP}.0::DOUBLE AS r FROM at_ JOIN (VALUES {', '.join(f'({d})' for d in DEPTHS)}) v(depth) ON least_rank < depth
+  LEFT JOIN best_ b USING (query_id, vec_id) GROUP BY 1, 2)
+SELECT depth, count(*) AS queries, round(avg(n), 6) AS mean_candidates, max(n) AS most_candidates, round(avg(r), 6) AS recall, round(min(r), 6) AS least_recall FROM per_ GROUP BY 1"""
+
+
 def projected_ranking(spark: SparkSession, folder: str) -> DataFrame:
     """Search over orthogonal projections per cell: how many of the exact ten are among the local bests of the probed cells."""
     index = Index(spark, folder)
@@ -482,12 +535,12 @@ QUERIES = {
     "i5_d8_d9_probe_trace": probe_trace, "i8_ivf_exact": ivf_exact, "i9_c4_exact_top10": exact, "i5_ivf_recall": ivf_recall, "b18_cell_keys": keys_of_cells,
     "i11_local_vectors": local_long, "e2_compartment_local": compartment_local, "i12_i7_compartment_ranking": compartment_ranking, "e4_k8_interleaved": interleaved,
     "b15_b16_i6_noisy_repeats": noisy_repeats, "a7_index_files": cell_centroids, "k6_neighbourhood_recall": neighbourhood_recall,
-    "j17_probe_sweep": probe_sweep, "b19_i10_projected_search": projected_ranking,
+    "j17_probe_sweep": probe_sweep, "f11_coverage_choice": coverage_choice, "i12_i13_depth_sweep": depth_sweep, "b19_i10_projected_search": projected_ranking,
 }
 SQL = {
     "b2_unit_vectors": UNIT_LONG, "d6_mean_vector": MEAN_LONG, "i1_residuals": RESIDUAL_LONG, "b12_hadamard": HADAMARD_LONG, "b13_b14_rotation": ROTATED_LONG,
     "b20_augmented": AUGMENTED_LONG, "i3_lloyd_step": LLOYD_LONG, "i4_c5_assignments": ASSIGNED, "d7_offsets": OFFSETS, "i5_d8_d9_probe_trace": TRACE,
     "i8_ivf_exact": IVF_EXACT, "i9_c4_exact_top10": EXACT, "i5_ivf_recall": RECALL, "b18_cell_keys": CELL_KEYS, "i11_local_vectors": LOCAL_LONG,
     "e2_compartment_local": COMPARTMENT_LOCAL, "i12_i7_compartment_ranking": COMPARTMENT, "e4_k8_interleaved": INTERLEAVED, "a7_index_files": CENTROID_FILES,
-    "k6_neighbourhood_recall": NEIGHBOURHOOD, "j17_probe_sweep": PROBE_SWEEP,
+    "k6_neighbourhood_recall": NEIGHBOURHOOD, "j17_probe_sweep": PROBE_SWEEP, "f11_coverage_choice": COVERAGE, "i12_i13_depth_sweep": DEPTH_SWEEP,
 }

@@ -5,14 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspan.operators.numbering import ROWS_PER_BUCKET, dense_numbers
+from larkspan.session import materialise
+
 RECORD = "_id string, title string, text string"
 QUERY = "_id string, text string"
 JUDGEMENT = "`query-id` string, `corpus-id` string, score int"
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One row per line under a fixed schema, never an inferred one; broken lines become null rows and are dropped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """One row per line under a fixed schema, never an inferred one; a broken line fails the read, see `broken_lines`."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def broken_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, line): the lines that `json_lines` would fail on, to be counted or mended."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    how = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    return lines.filter(F.from_json("line", f"{schema}, _broken string", how)["_broken"].isNotNull())
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
@@ -47,12 +57,15 @@ def relevant_items(judged: DataFrame, item: str = "doc_id") -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_idx, doc_id): a text file's lines, numbered in file order.
+    """(doc_idx, doc_id): the lines of text files, numbered from 0 in the order of the files' names and of their lines.
 
-    The only place where file order counts; the numbers are made once, by line offsets of the parts.
+    The only place where file order counts: lines are numbered within the part of the file that a task
+    reads, and the parts' starts are added.
     """
-    lines = spark.sparkContext.textFile(path).zipWithIndex()
-    return lines.map(lambda p: (p[1], p[0])).toDF("doc_idx bigint, doc_id string")
+    lines = spark.read.text(path).select(
+        F.col("value").alias("doc_id"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_part"), F.monotonically_increasing_id().alias("_at"),
+    )
+    return dense_numbers(lines, [], ["_file", "_part"], ["_at"], "doc_idx").select(F.col("doc_idx").cast("bigint").alias("doc_idx"), "doc_id")
 
 
 def numbered(rows: DataFrame, ids: DataFrame, item: str = "_id") -> DataFrame:
@@ -63,16 +76,23 @@ def numbered(rows: DataFrame, ids: DataFrame, item: str = "_id") -> DataFrame:
 
 
 def subset(rows: DataFrame, needed: DataFrame, most: int, item: str, order: str) -> DataFrame:
-    """All needed rows and the first others by `order`, `most` in all; more needed rows than that raise.
+    """All needed rows and the first others by `order` (a number), `most` in all; more needed rows than that raise.
 
-    The others' number follows from counts, and the cut is one limit over a sorted scan, not a window.
+    The others are numbered in ranges of `order` of about equal size, so no task sorts them all. Rows
+    without a value of `order` come last; of equal values the smaller item is first.
     """
-    marks = rows.join(needed.select(item).distinct(), item, "left_semi")
+    rows = materialise(rows)
+    wanted = needed.select(item).distinct()
+    marks = rows.join(wanted, item, "left_semi")
     have = marks.count()
     if have > most:
         raise ValueError(f"{have} rows are needed, {most} allowed")
-    others = rows.join(needed.select(item).distinct(), item, "left_anti").orderBy(order).limit(most - have)
-    return marks.unionByName(others)
+    others = materialise(rows.join(wanted, item, "left_anti"))
+    parts = max(1, -(-others.count() // ROWS_PER_BUCKET))
+    edges = others.approxQuantile(order, [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
+    place = F.when(F.col(order).isNull(), len(edges) + 1).otherwise(sum((F.when(F.col(order) > e, 1).otherwise(0) for e in edges), F.lit(0)))
+    counted = dense_numbers(others.withColumn("_range", place), [], ["_range"], [F.col(order).asc_nulls_last(), item], "_no")
+    return marks.unionByName(counted.filter(F.col("_no") < most - have).select(*rows.columns))
 
 
 def misaligned(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

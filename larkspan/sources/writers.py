@@ -25,8 +25,8 @@ def finished(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
-def resumable(spark: SparkSession, path: str, parameters: dict[str, object], build) -> DataFrame:
-    """The table `build()` makes, taken from `path` if it was finished there with the same parameters.
+def resumable(spark: SparkSession, path: str, parameters: dict[str, object], build, partition: list[str] | None = None) -> DataFrame:
+    """The table `build()` makes, by partition columns if given, taken from `path` if it was finished there with the same parameters.
 
     The parameters are part of the folder's name, so a table of other parameters is never taken for it;
     an unfinished table is built anew.
@@ -34,7 +34,7 @@ def resumable(spark: SparkSession, path: str, parameters: dict[str, object], bui
     name = "-".join(f"{k}={v}" for k, v in sorted(parameters.items())) or "all"
     at = f"{path}/{name}"
     if not finished(spark, at):
-        build().write.mode("overwrite").parquet(at)
+        return stored(build(), at, partition)
     return spark.read.parquet(at)
 
 

@@ -42,6 +42,64 @@ def test_bootstrap(spark):
     assert metrics.paired_bootstrap(rows.limit(0), "d", 10).first()["mean_difference"] is None
 
 
+@pytest.mark.parametrize("per_bucket", [20_000, 40])
+def test_bootstrap_against_numpy(spark, per_bucket):
+    """The interval of resampling row by row, whether all values are in one bucket or in many; nulls and NaN are left out."""
+    rng = np.random.default_rng(4)
+    d = np.concatenate([rng.normal(0.05, 1.0, 300), np.zeros(150)])
+    rows = spark.createDataFrame([(float(v),) for v in d] + [(None,), (float("nan"),)], "d double")
+    got = metrics.paired_bootstrap(rows, "d", 4000, per_bucket=per_bucket).first()
+    means = d[rng.integers(0, len(d), (4000, len(d)))].mean(1)
+    low, high = np.percentile(means, [2.5, 97.5])
+    spread = means.std()
+    assert got["cases"] == 450 and got["resamples"] == 4000 and abs(got["mean_difference"] - d.mean()) < 1e-12
+    assert abs(got["low"] - low) < 0.15 * spread and abs(got["high"] - high) < 0.15 * spread
+    assert abs(got["p_value"] - (1 + (means <= 0).sum()) / 4001) < 0.04
+
+
+def test_noise_fills_the_ball(spark):
+    """Coordinates of the noise are those of points drawn evenly from the ball, and the same for each cell of an item."""
+    rows = spark.range(4000).select(F.col("id").alias("item"), F.array(*[F.lit(0.0)] * 8).alias("x"))
+    e = np.array([r[0] for r in rows.select(compartment.ball_noise("item", F.size("x"), 2.0, "s")).collect()])
+    length = np.linalg.norm(e, axis=1)
+    assert length.max() <= 2.0 + 1e-9
+    for q in (0.1, 0.5, 0.9):  # P(length < t) = (t / 2)^8
+        assert abs((length < 2.0 * q ** (1 / 8)).mean() - q) < 0.03
+    assert np.abs(e.mean(0)).max() < 0.06 and np.abs(np.cov(e.T) / (4 / 10) - np.eye(8)).max() < 0.1  # variance r^2 / (d + 2)
+    keys = compartment.cell_keys(spark, 2, 8, 8, "t")
+    cells = rows.limit(20).withColumn("cell", F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))))
+    local = {}
+    for r in compartment.local_vectors(cells, "item", keys, 2.0, "s").collect():
+        local.setdefault(r["item"], {})[r["cell"]] = np.array(r["y"])
+    told = {(r["cell"], r["slot"]): r for r in keys.collect()}
+    for of in local.values():
+        back = [np.array([(of[c][s] - told[c, s]["shift"]) / told[c, s]["sign"] / told[c, s]["multiplier"] for s in range(8)]) for c in (0, 1)]
+        assert np.allclose(back[0], back[1])
+
+
+def test_fast_hadamard(spark):
+    from larkspan.functions.vector import fast_hadamard
+
+    rng = np.random.default_rng(1)
+    hadamard_matrix = lambda n: np.array([[(-1.0) ** bin(i & j).count("1") for j in range(n)] for i in range(n)])
+    for width in (1, 2, 8, 64):
+        x = rng.normal(size=width)
+        got = spark.createDataFrame([(x.tolist(),)], "x array<double>").select(fast_hadamard(F.col("x"), width)).first()[0]
+        assert np.allclose(got, hadamard_matrix(width) @ x / width**0.5)
+    with pytest.raises(ValueError):
+        fast_hadamard(F.col("x"), 6)
+
+
+def test_masked_queries_keep_the_first_list(spark, monkeypatch):
+    from larkspan.operators import learning
+
+    monkeypatch.setattr(learning, "learned_ranking", lambda model, rows, features, case, item, depth: rows.select(*case, item, F.lit(1.0).alias("score"), F.lit(0).cast("bigint").alias("rank")))
+    rows = spark.createDataFrame([("a", 1, 5), ("a", 2, None), ("a", 3, 2), ("b", 4, 0), ("c", 7, 3)], "q string, item int, s int")
+    mask = F.when(F.col("q") == "b", True).when(F.col("q") == "a", False)  # unknown for c
+    got = sorted((r["q"], r["item"], r["rank"], r["score"]) for r in learning.masked_ranking(None, rows, [], ["q"], "item", "s", mask, 1).collect())
+    assert got == [("a", 3, 0, None), ("b", 4, 0, 1.0), ("c", 7, 0, None)]
+
+
 def test_numbering_is_dense_and_stable(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), "id", F.lit("x").alias("extra"))
     df = df.withColumn("g", F.when(F.col("g") == 2, None).otherwise(F.col("g"))).withColumn("h", hash_key(F.col("id"))).withColumn("b", F.substring("h", 1, 1))
@@ -143,8 +201,10 @@ def test_assignment():
 def test_affine_recovery(spark):
     x, rows = vectors(spark, 60, 4)
     seen = rows.select(F.lit(0).cast("bigint").alias("cell"), "item", "x", F.transform("x", lambda v: v * 2 + 1).alias("y"))
-    told = leakage.affine_recovery(seen.filter("item < 40"), seen.filter("item >= 40")).collect()
+    told = leakage.affine_recovery(seen.filter("item < 40").repartition(7), seen.filter("item >= 40")).collect()
     assert len(told) == 20 and all(r["covered"] and r["cosine"] > 0.999999 for r in told)
+    mean = x[:40].mean(0)
+    assert all(abs(r["baseline"] - x[r["item"]] @ mean / np.linalg.norm(x[r["item"]]) / np.linalg.norm(mean)) < 1e-9 for r in told)
     lost = leakage.affine_recovery(seen.filter("item < 40"), seen.filter("item >= 40").withColumn("cell", F.lit(1).cast("bigint"))).collect()
     assert len(lost) == 20 and not any(r["covered"] for r in lost)
 

@@ -37,7 +37,49 @@ def test_collection(spark, folder):
     assert readers.misaligned(records, records.filter("_id <> 'a'"), ["_id"]).collect()[0]["side"] == "left"
 
 
+def test_broken_lines_fail_and_are_told(spark, tmp_path):
+    path = tmp_path / "r.jsonl"
+    path.write_text('{"_id": "a", "title": "x"}\n{"_id": "b", "tit\n{"_id": "c"}\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.records(spark, str(path)).collect()
+    told = readers.broken_lines(spark, str(path), readers.RECORD).collect()
+    assert [r["line"] for r in told] == ['{"_id": "b", "tit'] and told[0]["file"].endswith("r.jsonl")
+
+
+def test_manifest_of_many_parts(spark, tmp_path):
+    """Lines keep the order of the file, and files that of their names, however the reader cuts them."""
+    (tmp_path / "a.txt").write_text("".join(f"line {i} of the first file\n" for i in range(5000)))
+    (tmp_path / "b.txt").write_text("".join(f"b{i}\n" for i in range(100)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        got = sorted(map(tuple, readers.manifest(spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == list(enumerate([f"line {i} of the first file" for i in range(5000)] + [f"b{i}" for i in range(100)]))
+
+
+def test_subset_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(readers, "ROWS_PER_BUCKET", 100)
+    rows = spark.range(1000).select(F.col("id").alias("item"), (F.lit(5000) - F.col("id") * 2).cast("int").alias("no"), F.lit(1).alias("_range"))
+    rows = rows.unionAll(spark.createDataFrame([(2000, None, 1)], "item bigint, no int, _range int"))
+    kept = readers.subset(rows.drop("_range"), spark.createDataFrame([(3,), (2000,)], "item bigint"), 402, "item", "no")
+    assert {r["item"] for r in kept.collect()} == {3, 2000} | set(range(600, 1000))
+
+
+def test_parts(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert writers.parts(spark, path) == ([], f"{path}/part-00000001")
+    spark.range(3).write.parquet(writers.parts(spark, path)[1])
+    (tmp_path / "t/part-00000007").mkdir()
+    assert writers.parts(spark, path) == ([f"{path}/part-00000001"], f"{path}/part-00000008")
+
+
 def test_varint(spark):
+    from larkspan.plans.stores import varint
+
+    numbers = [0, 1, 127, 128, 500, 16383, 16384, 2097151, 2097152, 2**28 - 1]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n bigint").select("n", readers.leading_varint(varint(F.col("n"))).alias("v")).collect()
+    assert all(r["n"] == r["v"] for r in rows)
     for blob, value in ((b"\x05", 5), (b"\x81\x00", 128), (b"\x83\x74\xff", 500), (b"", None)):
         assert spark.range(1).select(readers.leading_varint(F.lit(bytearray(blob))).alias("v")).first()["v"] == value
 
