@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from larkspan.functions.keyed import hash_normal, hash_uniform
 from larkspan.functions.vector import dot, fast_hadamard
-from larkspan.operators.vector_index import matrix_of, per_cell
+from larkspan.operators.vector_index import matrix_of, nearest_cells, per_cell
 from larkspan.session import materialise, small
 
 
@@ -111,6 +111,52 @@ def interleaved(found: DataFrame, query: str, item: str) -> DataFrame:
     return best.withColumn("rank", (F.row_number().over(order) - 1).cast("bigint")).select(query, item, "rank")
 
 
+class CompartmentIndex:
+    """Vectors under the keys of their cells, searched within each probed cell.
+
+    `name` stands for the secret: keys, signs and noise follow from it. `width` is the vectors' length,
+    `chosen` the coordinates that a cell keeps; `beta` above 0 adds noise to stored vectors and queries.
+    """
+
+    def __init__(self, name: str, width: int, chosen: int, scale: float = 1.0, beta: float = 0.0):
+        self.name, self.width, self.chosen, self.scale, self.beta = name, width, chosen, scale, beta
+        self.stored: DataFrame | None = None
+
+    def _keys(self) -> DataFrame:
+        spark = self.centroids.sparkSession
+        cells = self.centroids.agg(F.max("cell")).first()[0]  # one number
+        return cell_keys(spark, (-1 if cells is None else cells) + 1, self.width, self.chosen, self.name)
+
+    def _local(self, rows: DataFrame, item: str, of_query: bool, seed: str) -> DataFrame:
+        local = local_vectors(rows, item, self._keys(), noise_radius(self.scale, self.beta, of_query), f"{self.name}:{seed}")
+        return local.withColumn("y", F.transform("y", lambda v: v * self.scale))
+
+    def build(self, rows: DataFrame, item: str, centroids: DataFrame, assignments: int = 2) -> dict[str, int]:
+        """Store every row (item, x) in its `assignments` nearest cells; returns the index' dimensions."""
+        self.item, self.centroids = item, centroids
+        assigned = nearest_cells(rows, item, centroids, assignments).select(item, "cell")
+        self.stored = materialise(self._local(rows.select(item, "x").join(assigned, item), item, False, "stored"))
+        return {"projection_dimension": self.chosen, "cells": self.centroids.count(), "entries": self.stored.count()}
+
+    def candidates(self, queries: DataFrame, query: str, probes: int, top: int, nonce: int = 0) -> tuple[DataFrame, DataFrame]:
+        """(query, item, rank) and a trace (query, entries_read, distances) of queries (query, x).
+
+        Of each probed cell the `top` nearest rows are taken, so a query has at most probes times top
+        different candidates, in the order of their places within the cells. `nonce` renews the noise.
+        """
+        probed = nearest_cells(queries, query, self.centroids, probes).select(query, "cell")
+        asked = materialise(self._local(queries.select(query, "x").join(probed, query), query, True, f"asked:{nonce}"))
+        found = search_cells(asked, self.stored, query, self.item, top)
+        sizes = self.stored.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        trace = asked.select(query, "cell").join(small(materialise(sizes)), "cell").groupBy(query).agg(F.sum("n").alias("entries_read"), F.sum("n").alias("distances"))
+        return interleaved(found, query, self.item), trace
+
+    def primary_view(self, rows: DataFrame, item: str, of_query: bool = False) -> DataFrame:
+        """(item, cell, y): each row under the key of its nearest cell, what an observer of that cell sees."""
+        own = nearest_cells(rows, item, self.centroids, 1).select(item, "cell")
+        return self._local(rows.select(item, "x").join(own, item), item, of_query, "view")
+
+
 def selected_local(rows: DataFrame, item: str, keys: DataFrame, key: DataFrame, width: int) -> DataFrame:
     """(item, cell, y) of (item, cell, x) with x not rotated: only the cell's chosen coordinates are ever computed.
 

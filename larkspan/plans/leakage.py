@@ -238,6 +238,25 @@ def learned_report(spark: SparkSession, folder: str, rounds: int = 120) -> DataF
     return out
 
 
+def calibration_ablation(spark: SparkSession, folder: str, rounds: int = 120) -> DataFrame:
+    """The ranker fitted on a quarter, a half and all of the calibration queries (by hash, per dataset), judged on the outer half."""
+    rows, features = _featured(spark, folder)
+    rows = materialise(rows)
+    outer, judged = in_half(F.col("query_id"), "outer"), base.judgements(spark, folder)
+    parts = fusion_plans.calibration_subset(spark, folder).filter(~outer)
+    part = rows.filter(outer)
+    out = None
+    for name, chosen in (("quarter", F.col("in_quarter")), ("half", F.col("in_half")), ("all", F.lit(True))):
+        told = materialise(rows.join(parts.filter(chosen).select("query_id"), "query_id", "left_semi"))
+        if told.filter("gain > 0").isEmpty():
+            continue
+        model = learning.fit_ranker(fusion.training_rows(told, fusion_plans.CASE, "doc_idx", "gain", "s", "l"), features, learning.DEPTHS[0], rounds)
+        per = metrics.query_metrics(learning.learned_ranking(model, part, features, fusion_plans.CASE, "doc_idx", 100), judged, fusion_plans.CASE)
+        row = per.agg(F.lit(name).alias("share"), F.lit(told.select("query_id").distinct().count()).alias("fitted_on"), F.count(F.lit(1)).alias("cases"), F.round(F.avg("ndcg10"), 6).alias("ndcg10"))
+        out = row if out is None else out.unionByName(row)
+    return spark.createDataFrame([], "share string, fitted_on int, cases bigint, ndcg10 double") if out is None else out
+
+
 def router(spark: SparkSession, folder: str, trees: int = 300) -> DataFrame:
     """The outer half fused with the forest's weights (`routed`) and with each query's best ones (`oracle`).
 
@@ -262,6 +281,6 @@ def router(spark: SparkSession, folder: str, trees: int = 300) -> DataFrame:
 
 QUERIES = {
     "k1_balanced_sample": balanced, "k9_k12_c12_d18_alias_linkage": alias_linkage, "d21_k11_linkage_summary": linkage_summary, "k2_k3_topic_inference": topics,
-    "k4_k5_c13_alignment": anchor_alignment, "k7_k10_known_pairs": known_pairs, "k11_gates": gates, "j7_j14_j15_a14_learned_report": learned_report, "j6_j7_j9_learned_fusion": learned_fusion, "j11_router": router,
+    "k4_k5_c13_alignment": anchor_alignment, "k7_k10_known_pairs": known_pairs, "k11_gates": gates, "j7_j14_j15_a14_learned_report": learned_report, "j6_j7_j9_learned_fusion": learned_fusion, "j11_router": router, "j17_calibration_ablation": calibration_ablation,
 }
 SQL = {"k1_balanced_sample": BALANCED, "k9_k12_c12_d18_alias_linkage": LINKAGE, "d21_k11_linkage_summary": SUMMARY}

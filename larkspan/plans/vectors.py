@@ -17,6 +17,8 @@ CELLS, ASSIGNMENTS, PROBES = 16, 2, 9
 #: The reference's largest local depth: by 16 of 64 coordinates 64 rows a cell find 0.835 of the exact ten (sf0.1), 96 find 0.915.
 WIDTH, CHOSEN, LOCAL_TOP, TOP = 64, 16, 128, 10
 KEY = "semantic"
+#: Rows that reach the exact rerank of the search under one global key.
+CANDIDATES = 100
 #: The local depths that the reference sweeps.
 DEPTHS = (2, 4, 8, 16, 32, 64, 128)
 #: The share of a trained index' cells that is probed, and the rounds of its training over all rows.
@@ -499,6 +501,17 @@ means_ AS (SELECT probes, round(avg(h), 6) AS of_hundred, round(quantile_cont(h,
 SELECT *, row_number() OVER (ORDER BY CASE WHEN of_hundred >= 0.95 AND of_ten >= 0.95 THEN probes ELSE 1000000 - probes END) = 1 AS chosen FROM means_"""
 
 
+def global_rerank(spark: SparkSession, folder: str, beta: float = 0.1) -> DataFrame:
+    """Search on vectors under one global key with noise: the nearest CANDIDATES of the probed cells, then the ten best by exact score."""
+    index = Index(spark, folder)
+    noisy = lambda rows, item, of_query: rows.select(item, F.zip_with("x", compartment.ball_noise(item, F.size("x"), compartment.noise_radius(1.0, beta, of_query), f"global:{of_query}"), lambda v, e: v + e).alias("x"))
+    stored = materialise(noisy(index.rotated, "vec_id", False))
+    asked = materialise(noisy(index.rotated.filter(F.col("vec_id") % 100 == 0).withColumnRenamed("vec_id", "query_id"), "query_id", True))
+    pairs = index.found.select("query_id", "vec_id").distinct().join(stored, "vec_id").join(asked.withColumnRenamed("x", "q"), "query_id")
+    near = pairs.select("query_id", "vec_id", F.round(2 * dot(F.col("q"), F.col("x")) - dot(F.col("x"), F.col("x")), 9).alias("score"))
+    return _top(index.scored(lexical.top_k(near, ["query_id"], CANDIDATES, "vec_id").select("query_id", "vec_id")))
+
+
 def depth_sweep(spark: SparkSession, folder: str) -> DataFrame:
     """The sweep of the local depth: per depth the candidates that reach the exact rerank and the share of the exact ten among them."""
     index = Index(spark, folder)
@@ -535,7 +548,7 @@ QUERIES = {
     "i5_d8_d9_probe_trace": probe_trace, "i8_ivf_exact": ivf_exact, "i9_c4_exact_top10": exact, "i5_ivf_recall": ivf_recall, "b18_cell_keys": keys_of_cells,
     "i11_local_vectors": local_long, "e2_compartment_local": compartment_local, "i12_i7_compartment_ranking": compartment_ranking, "e4_k8_interleaved": interleaved,
     "b15_b16_i6_noisy_repeats": noisy_repeats, "a7_index_files": cell_centroids, "k6_neighbourhood_recall": neighbourhood_recall,
-    "j17_probe_sweep": probe_sweep, "f11_coverage_choice": coverage_choice, "i12_i13_depth_sweep": depth_sweep, "b19_i10_projected_search": projected_ranking,
+    "j17_probe_sweep": probe_sweep, "f11_coverage_choice": coverage_choice, "i12_i13_depth_sweep": depth_sweep, "i6_i7_global_rerank": global_rerank, "b19_i10_projected_search": projected_ranking,
 }
 SQL = {
     "b2_unit_vectors": UNIT_LONG, "d6_mean_vector": MEAN_LONG, "i1_residuals": RESIDUAL_LONG, "b12_hadamard": HADAMARD_LONG, "b13_b14_rotation": ROTATED_LONG,

@@ -46,22 +46,33 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared scratch space and read it back: lineage is cut, sizes become known."""
+    """Write `df` to the shared scratch space and read it back: lineage is cut, sizes become known.
+
+    The table is deleted when the driver's JVM ends, or before by `discard`.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/larkspan-{uuid.uuid4().hex}"
+    at, files = _file(spark, path)
+    files.deleteOnExit(at)
     df.write.option("compression", "zstd").parquet(path)
     again = spark.read.schema(df.schema).parquet(path)
     again._larkspan_path = path
     return again
 
 
+def _file(spark: SparkSession, path: str):
+    """The Hadoop path of a file or folder and its file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by `materialise` that nothing reads any more."""
     path = getattr(df, "_larkspan_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        at, files = _file(df.sparkSession, path)
+        files.delete(at, True)
+        files.cancelDeleteOnExit(at)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -33,6 +33,11 @@ def test_probed_cells(spark, folder):
     assert sum(told) / len(told) >= 0.9
 
 
+@pytest.mark.parametrize("folder", FOLDERS)
+def test_global_key_with_noise(spark, folder):
+    assert recall(vectors.global_rerank(spark, folder).collect(), folder) >= 0.9
+
+
 @pytest.mark.parametrize("folder", FOLDERS)
 def test_local_bests(spark, folder):
     assert recall(vectors.compartment_ranking(spark, folder).collect(), folder) >= 0.9

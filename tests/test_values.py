@@ -17,7 +17,7 @@ CHECKED = {
     "i2_trained_cells": "here", "i2_i8_trained_search": "here", "i2_i5_trained_recall": "test_vector_training", "b15_b16_i6_noisy_repeats": "here",
     "b19_i10_projected_search": "test_recall", "d20_j14_paired_bootstrap": "here", "k2_k3_topic_inference": "here", "k4_k5_c13_alignment": "here",
     "k7_k10_known_pairs": "here", "k11_gates": "here", "j6_j7_j9_learned_fusion": "here, test_learned_fusion", "j7_j14_j15_a14_learned_report": "here",
-    "j11_router": "test_learned_fusion", "f12_recommendation": "here",
+    "j11_router": "test_learned_fusion", "i6_i7_global_rerank": "here, test_recall", "j17_calibration_ablation": "here", "f12_recommendation": "here",
 }
 
 
@@ -48,6 +48,20 @@ def test_trained_search(spark, unit):
         assert r["rank"] > 0 or r["vec_id"] == r["query_id"]  # the query's own vector is its nearest
 
 
+def test_global_rerank(spark, unit):
+    """Noise moves candidates, not scores; without noise the search is that of the probed cells."""
+    got = rows(spark, "i6_i7_global_rerank")
+    assert all(abs(r["score"] - unit[r["query_id"]] @ unit[r["vec_id"]]) < 1e-5 for r in got)
+    key = lambda rs: sorted((r["query_id"], r["rank"], r["vec_id"]) for r in rs)
+    assert key(vectors.global_rerank(spark, FOLDER, beta=0.0).collect()) == key(vectors.ivf_exact(spark, FOLDER).collect())
+
+
+def test_calibration_ablation(spark):
+    got = {r["share"]: r for r in leakage.calibration_ablation(spark, FOLDER, rounds=4).collect()}
+    assert got["all"]["fitted_on"] == max(r["fitted_on"] for r in got.values()) and len({r["cases"] for r in got.values()}) == 1
+    assert all(0 <= r["ndcg10"] <= 1 for r in got.values())
+
+
 def test_noisy_repeats(spark):
     got = rows(spark, "b15_b16_i6_noisy_repeats")
     assert {r["repeat_no"] for r in got} == {0, 1, 2} and all(r["returned"] == 10 and 0 <= r["kept"] <= 10 for r in got)
