@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from typing import NamedTuple
 
 import numpy as np
@@ -96,8 +97,9 @@ def mix(documents: DataFrame, targets: DataFrame) -> Mixture:
     """Mix documents (document, source, language, topic, tokens) to targets (source, target_share, max_repeats).
 
     `uses` has a row per document of a target source: how often it is used, at most `max_repeats` times.
-    Documents of a cell, ordered by length, are drawn systematically with the cell's weight from `rake`,
-    so that the drawn tokens differ from the wanted ones by about one document per cell. `report` has a
+    A source's documents are drawn systematically, each with its cell's weight from `rake`: cell after cell, ordered
+    by length, rising in one cell and falling in the next. So documents that meet have like lengths, and the drawn
+    tokens of a source differ from the wanted ones by about one document. `report` has a
     row per target source: documents, available, wanted, raked and reached tokens, the share reached, and
     `short` where the raked weights fall short of `target_share` of the tokens of all documents of target
     sources, as the caps then do. `marginals` has a row per axis (source, language, topic) and value: wanted, raked
@@ -124,26 +126,30 @@ def mix(documents: DataFrame, targets: DataFrame) -> Mixture:
         [(r["source"], r["language"], r["topic"], r["tokens"]) for r in known],
         {r["source"]: r["target_share"] for r in wanted}, {r["source"]: r["max_repeats"] for r in wanted}, total,
     )
-    drawn = spark.createDataFrame(
-        [(r["source"], r["language"], r["topic"], float(w), float(w) * r["tokens"]) for r, w in zip(known, raked.weights, strict=True)],
-        "_source string, _language string, _topic string, weight double, raked double",
-    )
+    planned, before, cells_before = [], {}, {}
+    for r, w in zip(known, raked.weights, strict=True):
+        source = r["source"]
+        start = before.get(source, int(hashlib.sha256(source.encode()).hexdigest()[:8], 16) / 2.0**32)
+        falling = cells_before.get(source, 0) % 2 == 1
+        planned.append((source, r["language"], r["topic"], float(w), float(w) * r["tokens"], start, falling, r["n"]))
+        before[source], cells_before[source] = (start + float(w) * r["n"]) % 1.0, cells_before.get(source, 0) + 1
+    drawn = spark.createDataFrame(planned, "_source string, _language string, _topic string, weight double, raked double, start double, falling boolean, cell_size bigint")
     cell = ["source", "language", "topic"]
     # Documents of a length are cut by hash, so that copies of one text don't meet in one task.
     prefix = F.substring("_order", 1, prefix_length(sum(r["n"] for r in known)))
     hashed = sized.withColumn("_order", hash_key(F.col("document"))).withColumn("_prefix", prefix)
     placed = dense_numbers(hashed, cell, ["tokens", "_prefix"], ["_order"], "_number")
     same = (F.col("source") == F.col("_source")) & (F.col("language") == F.col("_language")) & (F.col("topic") == F.col("_topic"))
-    start = F.conv(F.substring(hash_key(F.col("_source"), F.col("_language"), F.col("_topic")), 1, 8), 16, 10).cast("double") / 2.0**32
-    upto = lambda n: F.floor(n * F.col("weight") + start)
+    place = F.when(F.col("falling"), F.col("cell_size") - 1 - F.col("_number")).otherwise(F.col("_number"))
+    upto = lambda n: F.floor(n * F.col("weight") + F.col("start"))
     uses = (
         placed.join(F.broadcast(drawn), same)  # at most MOST_CELLS rows
         .join(goals.select("source", "max_repeats"), "source")
-        .select("document", "source", "language", "topic", "tokens", F.least(upto(F.col("_number") + 1) - upto(F.col("_number")), F.col("max_repeats")).cast("int").alias("uses"))
+        .select("document", "source", "language", "topic", "tokens", F.least(upto(place + 1) - upto(place), F.col("max_repeats")).cast("int").alias("uses"))
     )
     per_cell = uses.groupBy(*cell).agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("available_tokens"), F.sum(F.col("tokens") * F.col("uses")).alias("reached_tokens"))
-    planned = drawn.select(*[F.col(f"_{c}").alias(c) for c in cell], "raked")
-    totals = per_cell.join(F.broadcast(planned), cell)
+    told = drawn.select(*[F.col(f"_{c}").alias(c) for c in cell], "raked")
+    totals = per_cell.join(F.broadcast(told), cell)
     reached = totals.groupBy("source").agg(F.sum("documents").alias("documents"), F.sum("available_tokens").alias("available_tokens"), F.sum("reached_tokens").alias("reached_tokens"), F.sum("raked").alias("raked_tokens"))
     report = goals.join(reached, "source", "left").na.fill(0, ["documents", "available_tokens", "reached_tokens", "raked_tokens"])
     everything = report.agg(F.sum("reached_tokens").alias("_reached"))  # one row
