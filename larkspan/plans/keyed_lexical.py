@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspan.functions.keyed import hmac_sql, keyed_partition
 from larkspan.operators import compartment, fusion, lexical, metrics
-from larkspan.plans import base, lexical as lexical_plans, vectors
+from larkspan.plans import base, fusion as fusion_plans, lexical as lexical_plans, vectors
 from larkspan.session import materialise
 
 PARTS, WIDTH, CHOSEN, LOCAL_TOP = 16, 128, 32, 8
@@ -79,40 +79,61 @@ def sketch_rerank(spark: SparkSession, folder: str) -> DataFrame:
     return best.select("query_id", "doc_idx", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-def recommendation(spark: SparkSession, folder: str) -> DataFrame:
-    """Coverage and fused nDCG per posting budget, candidate cap and semantic weight, and the recommended row.
+#: The caps and weights that the reference tries, and its gate on coverage.
+CAPS, WEIGHTS, COVERAGE_GATE = (200, 500, 1000), (0.9, 0.95, 0.97, 0.98, 1.0), 0.75
 
-    A row passes with a coverage of 0.5 and 99 % of the semantic list's nDCG; of those that pass (or of all, if none
-    does) the one with the best nDCG, then coverage, then the smallest budget and cap is recommended.
-    """
-    judged = base.judgements(spark, folder)
+
+def budget_rankings(spark: SparkSession, folder: str) -> DataFrame:
+    """(query_id, doc_idx, score, rank, budget): the planner's first thousand for each posting budget."""
     weighted = materialise(lexical_plans.weighted(spark, folder, exact=False))
     known = materialise(base.known_terms(spark, folder))
     lists = None
     for budget in lexical_plans.BUDGETS:
         plan = lexical.terms_under_budget(known, budget).select("query_id", F.explode("terms").alias("term"))
-        best = lexical.top_k(lexical.bm25_scores(plan, weighted), ["query_id"], 200).withColumn("budget", F.lit(budget))
+        best = lexical.best_documents(plan, weighted, max(CAPS)).withColumn("budget", F.lit(budget))
         lists = best if lists is None else lists.unionByName(best)
-    lists = materialise(lists)
-    caps = spark.createDataFrame([(c,) for c in (50, 200)], "cap int")
-    capped = lists.join(F.broadcast(caps), F.col("rank") < F.col("cap"))  # two rows
+    return lists
+
+
+def budget_traces(spark: SparkSession, folder: str) -> DataFrame:
+    """Per query and budget the terms bought, the postings they cost, the candidates returned, and the first of them."""
+    known = materialise(base.known_terms(spark, folder))
+    plans = None
+    for budget in lexical_plans.BUDGETS:
+        plan = lexical.terms_under_budget(known, budget).select("query_id", F.lit(budget).alias("budget"), F.size("terms").alias("n_terms"), "spent")
+        plans = plan if plans is None else plans.unionByName(plan)
+    found = budget_rankings(spark, folder).groupBy("query_id", "budget").agg(
+        F.count(F.lit(1)).alias("returned"), F.max(F.when(F.col("rank") == 0, F.col("doc_idx"))).alias("first"), F.round(F.max("score"), 6).alias("best_score"))
+    return plans.join(found, ["query_id", "budget"], "left").withColumn("returned", F.coalesce("returned", F.lit(0)))
+
+
+def recommendation(spark: SparkSession, folder: str) -> DataFrame:
+    """Coverage and fused nDCG per posting budget, candidate cap and semantic weight, and the recommended row.
+
+    A row passes with a coverage of 0.75 and 99 % of the semantic list's nDCG; of those that pass (or of all, if none
+    does) the one with the best nDCG, then coverage, then the smallest budget, cap and weight is recommended.
+    """
+    judged = base.judgements(spark, folder)
+    lists = materialise(budget_rankings(spark, folder))
+    caps = spark.createDataFrame([(c,) for c in CAPS], "cap int")
+    capped = lists.join(F.broadcast(caps), F.col("rank") < F.col("cap"))  # a row per cap
     relevant = judged.filter("gain > 0")
     wanted = relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant"))
-    grid = spark.createDataFrame([(b, c) for b in lexical_plans.BUDGETS for c in (50, 200)], "budget int, cap int")
+    grid = spark.createDataFrame([(b, c) for b in lexical_plans.BUDGETS for c in CAPS], "budget int, cap int")
     hits = capped.join(relevant.select("query_id", "doc_idx"), ["query_id", "doc_idx"]).groupBy("query_id", "budget", "cap").agg(F.count(F.lit(1)).alias("hits"))
     shares = wanted.join(F.broadcast(grid)).join(hits, ["query_id", "budget", "cap"], "left")
     coverage = shares.groupBy("budget", "cap").agg(F.round(F.avg(F.coalesce("hits", F.lit(0)) / F.col("relevant")), 6).alias("coverage"))
     semantic = base.rankings(spark, folder).filter((F.col("list_name") == base.SEMANTIC) & (F.col("pos") < 100)).groupBy("query_id", "doc_idx").agg(F.min("pos").alias("rank"))
-    tries = spark.createDataFrame([(b, c, w) for b in lexical_plans.BUDGETS for c in (50, 200) for w in (0.5, 0.8, 1.0)], "budget int, cap int, w double")
+    tries = spark.createDataFrame([(b, c, w) for b in lexical_plans.BUDGETS for c in CAPS for w in WEIGHTS], "budget int, cap int, w double")
     first = semantic.join(F.broadcast(tries)).select("query_id", "doc_idx", "rank", "budget", "cap", "w", F.col("w").alias("part"))
     second = capped.join(F.broadcast(tries), ["budget", "cap"]).select("query_id", "doc_idx", "rank", "budget", "cap", "w", (1 - F.col("w")).alias("part"))
     case = ["query_id", "budget", "cap", "w"]
     fused = fusion.fused(first.unionByName(second), case, "doc_idx", "rank", F.col("part"), 100)
     quality = metrics.query_metrics(fused, judged, case).groupBy("budget", "cap", "w").agg(F.round(F.avg("ndcg10"), 6).alias("ndcg10"))
-    rows = quality.join(coverage, ["budget", "cap"])
+    rows = materialise(quality.join(coverage, ["budget", "cap"]))
     reference = rows.filter("w = 1.0").agg(F.max("ndcg10").alias("reference"))  # one row
-    marked = rows.join(F.broadcast(reference)).withColumn("passes", (F.col("coverage") >= 0.5) & (F.col("ndcg10") >= 0.99 * F.col("reference"))).drop("reference")
-    order = Window.orderBy(F.col("passes").desc(), F.col("ndcg10").desc(), F.col("coverage").desc(), "budget", "cap", "w")  # 18 rows
+    marked = rows.join(F.broadcast(reference)).withColumn("passes", (F.col("coverage") >= COVERAGE_GATE) & (F.col("ndcg10") >= 0.99 * F.col("reference"))).drop("reference")
+    order = Window.orderBy(F.col("passes").desc(), F.col("ndcg10").desc(), F.col("coverage").desc(), "budget", "cap", "w")  # 45 rows
     return marked.withColumn("recommended", F.row_number().over(order) == 1)
 
 
@@ -154,5 +175,32 @@ near_ AS (SELECT query_id, doc_idx FROM (SELECT *, row_number() OVER (PARTITION
 scores_ AS (SELECT query_id, doc_idx, round(sum(weight), 9) AS score FROM near_ JOIN terms_ USING (query_id) JOIN exact_ USING (doc_idx, term) GROUP BY 1, 2)
 SELECT query_id, doc_idx, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_idx) - 1 AS rank FROM scores_) WHERE rank < 100"""
 
-QUERIES = {"i20_i21_f9_compartment_ranking": compartment_ranking, "i15_i16_sketch_rerank": sketch_rerank, "f12_recommendation": recommendation}
-SQL = {"i20_i21_f9_compartment_ranking": COMPARTMENT, "i15_i16_sketch_rerank": RERANK}
+_BUDGET_PLANS = ",\n".join(lexical_plans._planned_sql(b).replace("ordered_", f"ordered{b}_").replace("fold_", f"fold{b}_").replace("plan_", f"plan{b}_") for b in lexical_plans.BUDGETS)
+_BUDGET_LISTS = " UNION ALL ".join(f"""SELECT {b} AS budget, query_id, doc_idx, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_idx) - 1 AS rank FROM (
+  SELECT query_id, doc_idx, round(sum(weight), 9) AS score FROM (SELECT query_id, unnest(terms) AS term FROM plan{b}_) JOIN weighted_ USING (term) GROUP BY 1, 2)) WHERE rank < {max(CAPS)}""" for b in lexical_plans.BUDGETS)
+_PLANNED = f"{base.LEXICAL_SQL}, {lexical_plans._weighted_sql(False)}, {_BUDGET_PLANS}, got_ AS ({_BUDGET_LISTS})"
+_ALL_PLANS = " UNION ALL ".join(f"SELECT query_id, {b} AS budget, CAST(len(terms) AS INTEGER) AS n_terms, spent FROM plan{b}_" for b in lexical_plans.BUDGETS)
+TRACES = f"""WITH {_PLANNED}, all_ AS ({_ALL_PLANS}),
+r_ AS (SELECT query_id, budget, count(*) AS returned, max(CASE WHEN rank = 0 THEN doc_idx END) AS first, round(max(score), 6) AS best_score FROM got_ GROUP BY 1, 2)
+SELECT query_id, budget, n_terms, spent, coalesce(returned, 0) AS returned, first, best_score FROM all_ LEFT JOIN r_ USING (query_id, budget)"""
+
+_values = lambda xs, kind: ", ".join(f"({x}::{kind})" for x in xs)
+_CAPS, _WEIGHTS, _BUDGETS = _values(CAPS, "INTEGER"), _values(WEIGHTS, "DOUBLE"), _values(lexical_plans.BUDGETS, "INTEGER")
+RECOMMENDED = f"""WITH {_PLANNED}, {base.JUDGEMENTS_SQL}, {fusion_plans._IDEAL},
+capped_ AS (SELECT g.*, cap FROM got_ g JOIN (VALUES {_CAPS}) c(cap) ON rank < cap),
+cover_ AS (SELECT budget, cap, round(avg(coalesce(h, 0) / CAST(relevant AS DOUBLE)), 6) AS coverage FROM (SELECT query_id, relevant, budget, cap FROM ideal_ CROSS JOIN (VALUES {_BUDGETS}) b(budget) CROSS JOIN (VALUES {_CAPS}) c(cap))
+  LEFT JOIN (SELECT query_id, budget, cap, count(*) AS h FROM capped_ JOIN judged_ USING (query_id, doc_idx) GROUP BY ALL) USING (query_id, budget, cap) GROUP BY 1, 2),
+sem_ AS (SELECT query_id, doc_idx, min(pos) AS rank FROM rankings_ WHERE list_name = '{base.SEMANTIC}' AND pos < 100 GROUP BY 1, 2),
+parts_ AS (SELECT query_id, doc_idx, rank, budget, cap, w, w AS part FROM sem_ CROSS JOIN (VALUES {_BUDGETS}) b(budget) CROSS JOIN (VALUES {_CAPS}) c(cap) CROSS JOIN (VALUES {_WEIGHTS}) t(w)
+  UNION ALL SELECT query_id, doc_idx, rank, budget, cap, w, 1 - w FROM capped_ CROSS JOIN (VALUES {_WEIGHTS}) t(w)),
+f_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, budget, cap, w ORDER BY score DESC, doc_idx) - 1 AS rank FROM (
+  SELECT query_id, budget, cap, w, doc_idx, round(sum(part / (60 + rank + 1)), 12) AS score FROM parts_ WHERE part > 0 GROUP BY ALL)) WHERE rank < 100),
+{fusion_plans._metrics_sql('f_', 'query_id, budget, cap, w')},
+q_ AS (SELECT budget, cap, w, round(avg(ndcg10), 6) AS ndcg10 FROM metrics_ GROUP BY ALL)
+SELECT *, row_number() OVER (ORDER BY passes DESC, ndcg10 DESC, coverage DESC, budget, cap, w) = 1 AS recommended FROM (
+  SELECT q_.*, coverage, coverage >= {COVERAGE_GATE}::DOUBLE AND ndcg10 >= 0.99::DOUBLE * reference AS passes FROM q_ JOIN cover_ USING (budget, cap) CROSS JOIN (SELECT max(ndcg10) AS reference FROM q_ WHERE w = 1.0))"""
+
+QUERIES = {
+    "i20_i21_f9_compartment_ranking": compartment_ranking, "i15_i16_sketch_rerank": sketch_rerank, "f12_recommendation": recommendation, "i18_budget_traces": budget_traces,
+}
+SQL = {"i20_i21_f9_compartment_ranking": COMPARTMENT, "i15_i16_sketch_rerank": RERANK, "f12_recommendation": RECOMMENDED, "i18_budget_traces": TRACES}

@@ -6,8 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkspan.operators import metrics
-from larkspan.plans import base, fusion, keyed_lexical, leakage, vectors
+from larkspan.plans import base, fusion, leakage, vectors
 from larkspan.plans.registry import collected
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -17,7 +16,7 @@ CHECKED = {
     "i2_trained_cells": "here", "i2_i8_trained_search": "here", "i2_i5_trained_recall": "test_vector_training", "b15_b16_i6_noisy_repeats": "here",
     "b19_i10_projected_search": "test_recall", "d20_j14_paired_bootstrap": "here", "k2_k3_topic_inference": "here", "k4_k5_c13_alignment": "here",
     "k7_k10_known_pairs": "here", "k11_gates": "here", "j6_j7_j9_learned_fusion": "here, test_learned_fusion", "j7_j14_j15_a14_learned_report": "here",
-    "j11_router": "test_learned_fusion", "i6_i7_global_rerank": "here, test_recall", "j17_calibration_ablation": "here", "f12_recommendation": "here",
+    "j11_router": "test_learned_fusion", "i6_i7_global_rerank": "here, test_recall", "j17_calibration_ablation": "here",
 }
 
 
@@ -131,18 +130,3 @@ def test_learned_report(spark):
     rrf = leakage.fusion.fused(base.rankings(spark, FOLDER), fusion.CASE, "doc_idx", "pos", F.lit(0.5), 100)
     hits = rrf.filter(outer).join(judged.filter("gain > 0"), ["query_id", "doc_idx"]).count()
     assert got["rrf - semantic"]["hits"] == hits
-
-
-def test_recommendation(spark):
-    got = rows(spark, "f12_recommendation")
-    assert len(got) == 18 and sum(r["recommended"] for r in got) == 1
-    best = max(got, key=lambda r: (r["passes"], r["ndcg10"], r["coverage"], -r["budget"], -r["cap"], -r["w"]))
-    assert best["recommended"]
-    reference = max(r["ndcg10"] for r in got if r["w"] == 1.0)
-    assert all(r["passes"] == (r["coverage"] >= 0.5 and r["ndcg10"] >= 0.99 * reference) for r in got)
-    # With a weight of 1 only the semantic list counts: its own nDCG, for every budget and cap.
-    semantic = base.rankings(spark, FOLDER).filter((F.col("list_name") == base.SEMANTIC) & (F.col("pos") < 100)).groupBy("query_id", "doc_idx").agg(F.min("pos").alias("pos"))
-    own = metrics.query_metrics(base.ranked(semantic, ["query_id"], "pos", "doc_idx"), base.judgements(spark, FOLDER), ["query_id"]).agg(F.avg("ndcg10")).first()[0]
-    assert all(abs(r["ndcg10"] - own) < 1e-5 for r in got if r["w"] == 1.0)
-    covers = {(r["budget"], r["cap"]): r["coverage"] for r in got}
-    assert all(covers[b, 50] <= covers[b, 200] for b in keyed_lexical.lexical_plans.BUDGETS)
