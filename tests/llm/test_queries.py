@@ -6,7 +6,6 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from larkspan.llm import queries
 
