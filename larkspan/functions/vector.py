@@ -1,4 +1,4 @@
-"""Vectors as ARRAY columns: norms, products, Hadamard rotations and their selected coordinates."""
+"""Vectors as ARRAY columns: norms, products and Hadamard transforms."""
 
 from __future__ import annotations
 
@@ -60,12 +60,6 @@ def hadamard(x: Column, width: int) -> Column:
     return fast_hadamard(x, width)
 
 
-def hadamard_row(x: Column, row: Column) -> Column:
-    """One unnormalised coordinate of the transform: the sum of x[i] times (-1)^popcount(row & i)."""
-    signed = F.transform(x, lambda v, i: F.when(F.bit_count(row.bitwiseAND(i)) % 2 == 0, v).otherwise(-v))
-    return F.aggregate(signed, F.lit(0.0), lambda s, v: s + v)
-
-
 def augmented(x: Column) -> Column:
     """A vector of at most unit length with the coordinate that makes it one of exactly unit length."""
     return F.concat(x, F.array(F.sqrt(F.greatest(F.lit(0.0), 1 - squared_norm(x)))))

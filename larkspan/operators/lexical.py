@@ -259,11 +259,17 @@ def payload_bytes(length: Column) -> Column:
     return (F.ceil((4 + 4 * length) / F.lit(256.0)) * 256).cast("bigint")
 
 
-def limited_matches(matches: DataFrame, most: int) -> DataFrame:
-    """At most `most` matches per query by smallest document, with `truncated` where there were more."""
-    order = Window.partitionBy("query_id").orderBy("doc_idx")
-    size = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
-    return matches.withColumn("truncated", size > most).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most).drop("_r")
+def limited_matches(terms: DataFrame, postings: DataFrame, most: int) -> DataFrame:
+    """(query_id, doc_idx, truncated): per query the `most` smallest documents with any of its terms, and whether there are more.
+
+    One posting more than `most` of each term is enough to tell both: the smallest documents of all its terms are among the
+    smallest of each, and a term with more has them counted. So a hot term costs as little as any other.
+    """
+    first = Window.partitionBy("term").orderBy("doc_idx")
+    few = postings.select("term", "doc_idx").withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= most + 1).drop("_r")
+    matches = terms.select("query_id", "term").join(few, "term").select("query_id", "doc_idx").distinct()
+    place, size = Window.partitionBy("query_id").orderBy("doc_idx"), Window.partitionBy("query_id")
+    return matches.withColumn("truncated", F.count(F.lit(1)).over(size) > most).withColumn("_r", F.row_number().over(place)).filter(F.col("_r") <= most).drop("_r")
 
 
 def bounded(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.functions import keyed
-from larkspan.functions.text import lexical_text, semantic_text, tokens
+from larkspan.functions.text import lexical_text, semantic_text
 from larkspan.operators import lexical
 from larkspan.plans import base
 from larkspan.session import materialise
@@ -235,8 +235,7 @@ FROM (SELECT DISTINCT query_id, doc_idx FROM rankings_ WHERE list_name = '{base.
 def limited_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """The union of the two rarest terms' postings, cut at 50 per query with a flag."""
     chosen = lexical.rarest_terms(base.known_terms(spark, folder), 2).select("query_id", "term")
-    matches = lexical.matched(chosen, base.postings(spark, folder)).select("query_id", "doc_idx").distinct()
-    return lexical.limited_matches(matches, 50)
+    return lexical.limited_matches(chosen, base.postings(spark, folder), 50)
 
 
 LIMITED = f"""WITH {base.QUERIES_SQL}, {base.POSTINGS_SQL}, {base.TERMS_SQL},
