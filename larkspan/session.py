@@ -52,9 +52,11 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/larkspan-{uuid.uuid4().hex}"
-    at, files = _file(spark, path)
-    files.deleteOnExit(at)
-    df.write.option("compression", "zstd").parquet(path)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:  # what a failed write left goes, too
+        at, files = _file(spark, path)
+        files.deleteOnExit(at)
     again = spark.read.schema(df.schema).parquet(path)
     again._larkspan_path = path
     return again
