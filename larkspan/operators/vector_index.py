@@ -21,8 +21,8 @@ MOST_CENTROIDS, LEAST_CENTROIDS = 65_536, 16
 SEED_ROWS = 50_000
 #: Rows of probes that are sent to all tasks, at most; more meet the cells' postings in salted parts.
 MOST_PROBES = 200_000
-#: Queries that are compared with all vectors in one pass.
-QUERY_BLOCK = 4_096
+#: Bytes of queries that are compared with all vectors in one pass, and queries multiplied with a batch at once.
+QUERY_BYTES, QUERY_BLOCK = 64_000_000, 4_096
 
 
 def normalised(rows: DataFrame, vector: str = "x") -> DataFrame:
@@ -221,17 +221,20 @@ def candidate_trace(found: DataFrame, query: str, item: str) -> DataFrame:
 def exact_top(queries: DataFrame, rows: DataFrame, query: str, item: str, k: int) -> DataFrame:
     """The `k` items of highest inner product per query, with `rank` from 0; of equals the smallest item.
 
-    Queries are taken in blocks of QUERY_BLOCK. Each pass over the vectors keeps `k` per query and Arrow
-    batch, so what is shuffled grows with the number of batches, not of vectors.
+    Queries are sent to all tasks in sets of at most QUERY_BYTES, one pass over the vectors for each, and
+    multiplied with a batch of vectors QUERY_BLOCK at a time. Each pass keeps `k` per query and Arrow batch,
+    so what is shuffled grows with the number of batches, not of vectors. Passes are written one by one.
     """
-    count = queries.count()
-    blocks = max(1, -(-count // QUERY_BLOCK))
+    given_queries = queries.select(F.col(query).alias("q"), "x").filter("q is not null and x is not null")
+    size = given_queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("d")).first()  # one row
+    passes = max(1, -(-size["n"] * 8 * (size["d"] or 1) // QUERY_BYTES))
     kinds = dict(queries.dtypes)[query], dict(rows.dtypes)[item]
-    marked = queries.select(F.col(query).alias("q"), "x").withColumn("block", F.pmod(F.hash("q"), F.lit(blocks)))
+    marked = given_queries.withColumn("part", F.pmod(F.hash("q"), F.lit(passes)))
     given = rows.select(F.col(item).alias("i"), "x").filter("i is not null and x is not null")
-    parts = None
-    for block in range(blocks):
-        chosen = marked.filter(F.col("block") == block).drop("block").collect()  # about QUERY_BLOCK rows
+    order = Window.partitionBy("q").orderBy(F.col("score").desc(), "i")
+    found, block = None, QUERY_BLOCK
+    for number in range(passes):
+        chosen = marked.filter(F.col("part") == number).drop("part").collect()  # about QUERY_BYTES
         told = rows.sparkSession.sparkContext.broadcast(([r["q"] for r in chosen], np.array([r["x"] for r in chosen], dtype=np.float64)))
 
         def scan(batches: Iterator[pd.DataFrame], told=told) -> Iterator[pd.DataFrame]:
@@ -244,12 +247,13 @@ def exact_top(queries: DataFrame, rows: DataFrame, query: str, item: str, k: int
                 by_item = np.argsort(items, kind="stable")
                 items = items[by_item]
                 x = np.stack(batch["x"].to_numpy()).astype(np.float64)[by_item]
-                scores = np.round(vectors @ x.T, 9)
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"q": np.repeat(names, best.shape[1]), "i": items[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()})
+                for start in range(0, len(names), block):
+                    scores = np.round(vectors[start : start + block] @ x.T, 9)
+                    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                    yield pd.DataFrame({"q": np.repeat(names[start : start + block], best.shape[1]), "i": items[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()})
 
         part = given.mapInPandas(scan, f"q {kinds[0]}, i {kinds[1]}, score double")
-        parts = part if parts is None else parts.unionByName(part)
-    order = Window.partitionBy("q").orderBy(F.col("score").desc(), "i")
-    best = parts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return best.select(F.col("q").alias(query), F.col("i").alias(item), "score", (F.col("rank") - 1).cast("bigint").alias("rank"))
+        part = part.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        part = part if passes == 1 else materialise(part)
+        found = part if found is None else found.unionByName(part)
+    return found.select(F.col("q").alias(query), F.col("i").alias(item), "score", (F.col("rank") - 1).cast("bigint").alias("rank"))

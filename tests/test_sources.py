@@ -114,3 +114,21 @@ def test_stream(spark, folder, tmp_path):
         postings.append_postings(stream, out, str(tmp_path / "check")).awaitTermination()
     got = sorted((r["doc_id"], r["term"], r["tf"]) for r in spark.read.parquet(out).collect())
     assert got == [("a", "t", 1), ("a", "x", 1), ("a", "y", 1), ("c", "y", 2), ("c", "z", 1), ("d", "x", 1)]
+
+
+def test_frequencies_by_window(spark, tmp_path):
+    """Counts per hour and key; a row that comes later than the watermark allows is left out."""
+    source = tmp_path / "in"
+    source.mkdir()
+    day = "2026-01-01T"
+    deliveries = [[("a", "00:10"), ("a", "00:50"), ("b", "00:20")], [("a", "05:00")], [("b", "00:30"), ("a", "04:59"), ("b", "05:10")]]
+    for i, rows in enumerate(deliveries):
+        (source / f"{i}.json").write_text("\n".join(json.dumps({"key": k, "at": f"{day}{t}:00Z"}) for k, t in rows))
+        stream = spark.readStream.schema("key string, at timestamp").option("maxFilesPerTrigger", 1).json(str(source))
+        counts = postings.frequencies_by_window(stream, "at", "1 hour", "2 hours", "key").selectExpr("hour(window.start) AS h", "key", "n")
+        out = counts.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check"))
+        out.trigger(availableNow=True).start().awaitTermination()
+    (source / "9.json").write_text(json.dumps({"key": "z", "at": "2026-01-03T00:00:00Z"}))  # moves the watermark on
+    out.trigger(availableNow=True).start().awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert got == [(0, "a", 2), (0, "b", 1), (4, "a", 1), (5, "a", 1), (5, "b", 1)]

@@ -93,3 +93,21 @@ def test_training_finds_more_with_less(spark):
         near = vector_index.candidates(probes, assigned, "query_id", "vec_id").select("query_id", "vec_id").distinct()
         found.append(near.join(best, ["query_id", "vec_id"]).count())
     assert found[0] > found[1]
+
+
+@pytest.mark.parametrize(("size", "block"), [(64_000_000, 4096), (1000, 3)])
+def test_exact_top_in_passes(spark, monkeypatch, size, block):
+    """One pass or many, whole or in blocks: the ten of highest product, ties by the smaller item."""
+    monkeypatch.setattr(vector_index, "QUERY_BYTES", size)
+    monkeypatch.setattr(vector_index, "QUERY_BLOCK", block)
+    df, x, _ = planted(spark, 3, 20, 8)
+    rows = df.unionAll(df.select((F.col("item") + 1000).alias("item"), "x")).unionAll(spark.createDataFrame([(None, x[0].tolist()), (5000, None)], df.schema))
+    asked = df.filter("item % 9 = 0").select(F.col("item").alias("query_id"), "x")
+    got = {}
+    for r in vector_index.exact_top(asked, rows.repartition(5), "query_id", "item", 10).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["item"]
+    items = np.r_[np.arange(len(x)), np.arange(len(x)) + 1000]
+    for q in range(0, len(x), 9):
+        scores = np.round(np.r_[x, x] @ x[q], 9)
+        assert [got[q][r] for r in range(10)] == items[np.lexsort((items, -scores))[:10]].tolist()
+    assert vector_index.exact_top(asked.limit(0), rows, "query_id", "item", 10).count() == 0
