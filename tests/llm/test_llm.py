@@ -223,6 +223,45 @@ def test_medoid_is_central(spark):
     assert all(size >= 30 for _, size in largest) and central >= 16 and sum(smallest[g] == g for g, _ in largest) <= 4
 
 
+def test_links_do_not_depend_on_size(spark, monkeypatch):
+    """Pairs at a cosine of 0.85 are linked or not whatever number of other members there is."""
+    rng = np.random.default_rng(21)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x, side = unit(rng.normal(size=(300, 64))), rng.normal(size=(300, 64))
+    y = 0.855 * x + (1 - 0.855**2) ** 0.5 * unit(side - (side * x).sum(1, keepdims=True) * x)
+    rows = [(f"{i}{s}", v.tolist()) for i in range(300) for s, v in (("a", x[i]), ("b", y[i]))]
+    lone = [(f"lone{i}", v.tolist()) for i, v in enumerate(rng.normal(size=(600, 64)))]
+    monkeypatch.setattr(grouping, "UNRELATED", 1_000)  # more members had bands of more hashes
+
+    def linked(rows):
+        found = grouping.group_vectors(spark.createDataFrame(rows, "m string, v array<double>"), F.col("m"), F.col("v"), 64)
+        name = {r["id"]: r["member"] for r in found.members.select("id", "member").collect()}
+        return {frozenset((name[r["a"]], name[r["b"]])) for r in found.links.collect()}
+
+    alone = linked(rows)
+    assert len(alone) >= 0.9 * 300 and linked(rows + lone) == alone
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_open_members_of_a_large_bucket(spark, monkeypatch, block):
+    """A member far from a large bucket's first is compared with those near the first, too, and these not with each other."""
+    monkeypatch.setattr(grouping, "BUCKET", 10)
+    monkeypatch.setattr(grouping, "BLOCK", block)
+    rng = np.random.default_rng(22)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    first, side = np.eye(64)[0], np.eye(64)[1]
+    near = np.array([np.cos(0.6) * first + np.sin(0.6) * u for u in np.vstack([side, unit(rng.normal(size=(18, 62))) @ np.eye(64)[2:]])])
+    vectors = np.vstack([first, near, np.cos(1.05) * first + np.sin(1.05) * side])
+    close = set(np.flatnonzero(vectors[:20] @ vectors[20] >= 0.8).tolist())
+    assert 1 in close and 0 not in close
+    numbered = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id bigint, vec array<float>")
+    signed = numbered.select("id", F.array(F.lit(7).cast("bigint")).alias("bands"))
+    tried = spark.createDataFrame([(0, i) for i in range(1, 20)], "a bigint, b bigint")
+    leftover = spark.createDataFrame([(7, 20)], "bucket bigint, id bigint")
+    links = {tuple(r) for r in grouping.remaining_links(grouping.open_members(tried, tried, leftover, signed), numbered).collect()}
+    assert (1, 20) in links and links <= {(j, 20) for j in close}
+
+
 def test_more_bands_for_more_members():
     shapes = [grouping.band_shape(n) for n in (0, 1000, 250_000, 250_001, 25_000_000, 10**9)]
     assert shapes[:3] == [(64, 2)] * 3 and [r for _, r in shapes[3:]] == [3, 3, 4] and shapes[3][0] == 275
