@@ -20,11 +20,16 @@ from larkspan.session import materialise, small
 DOCUMENTS, SETS, LEAST_SETS = 65_536, 32_768, 1_024
 
 
+def numbered_sets(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of `lists` with a `set_no` for their array `terms`, and (set_no, terms): the distinct sets, numbered with gaps."""
+    lists = materialise(lists.withColumn("terms", F.array_sort("terms")))
+    sets = materialise(lists.select("terms").distinct().withColumn("set_no", F.monotonically_increasing_id()))
+    return materialise(lists.join(sets, "terms").drop("terms")), sets.select("set_no", "terms")
+
+
 def term_sets(terms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(query_id, set_no) and (set_no, terms) of (query_id, term): the distinct sets of terms, numbered with gaps."""
-    folded = materialise(terms.groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("terms")))
-    sets = materialise(folded.select("terms").distinct().withColumn("set_no", F.monotonically_increasing_id()))
-    return materialise(folded.join(sets, "terms").select("query_id", "set_no")), sets.select("set_no", "terms")
+    """(query_id, set_no) and (set_no, terms) of (query_id, term)."""
+    return numbered_sets(terms.groupBy("query_id").agg(F.collect_set("term").alias("terms")))
 
 
 def postings_of(sets: DataFrame, postings: DataFrame) -> DataFrame:
@@ -46,7 +51,7 @@ def in_blocks(sets: DataFrame, rows: DataFrame, work: Callable[[pd.DataFrame, pd
 
 
 def indexing() -> Callable:
-    """A function that folds a block's postings: its documents in ascending order, and (places, weights) per term.
+    """A function that folds a block's postings: its documents in ascending order, and (places in ascending order, weights) per term.
 
     Made here, so that it travels by value.
     """
@@ -55,7 +60,7 @@ def indexing() -> Callable:
         documents, at = np.unique(rows["doc_idx"].to_numpy(), return_inverse=True)
         named = rows["term"].notna().to_numpy()
         codes, names = pd.factorize(rows["term"][named])
-        order = np.argsort(codes, kind="stable")
+        order = np.lexsort((at[named], codes))
         ends = np.cumsum(np.bincount(codes, minlength=len(names)))[:-1]
         places, weights = np.split(at[named][order], ends), np.split(rows["weight"].to_numpy()[named][order], ends)
         return documents, dict(zip(names, zip(places, weights, strict=True), strict=False))
@@ -105,3 +110,71 @@ def nearest(sets: DataFrame, postings: DataFrame, sketches: DataFrame, shift: np
     rows = materialise(given.unionByName(facts))
     local = in_blocks(sets, rows, work, "set_no bigint, doc_idx bigint, score double")
     return lexical.top_k(local, ["set_no"], keep).select("set_no", "doc_idx")
+
+
+def scoring() -> Callable:
+    """A function that gives the places in ascending order and the scores of a block's documents with any of some terms; see `indexing`."""
+
+    def score(lists: list[tuple[np.ndarray, np.ndarray]], documents: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(lists) == 1:
+            return lists[0][0], np.round(lists[0][1], 9)
+        sums, hit = np.zeros(documents), np.zeros(documents, bool)
+        for places, weights in lists:
+            sums[places] += weights
+            hit[places] = True
+        at = np.flatnonzero(hit)
+        return at, np.round(sums[at], 9)
+
+    return score
+
+
+def totals(sets: DataFrame, weighted: DataFrame) -> DataFrame:
+    """(set_no, n, score, first): how many documents have any of a set's terms, the best score and the smallest document that has it.
+
+    Scores are sums of the weights in `weighted` (term, doc_idx, weight), rounded to 9 places.
+    """
+    index, score = indexing(), scoring()
+
+    def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(left) and len(right):
+            documents, lists = index(right)
+            for no, terms in zip(left["set_no"], left["terms"], strict=True):
+                if own := [lists[t] for t in terms if t in lists]:
+                    at, scores = score(own, len(documents))
+                    top = scores.argmax()
+                    found.append((no, len(at), scores[top], documents[at[top]]))
+        return pd.DataFrame(found, columns=["set_no", "n", "score", "first"])
+
+    rows = materialise(postings_of(sets, weighted).select("term", "doc_idx", "weight"))
+    local = in_blocks(sets, rows, work, "set_no bigint, n bigint, score double, first bigint")
+    best = F.max(F.struct("score", (-F.col("first")).alias("f"))).alias("b")
+    return local.groupBy("set_no").agg(F.sum("n").alias("n"), best).select("set_no", "n", "b.score", (-F.col("b.f")).alias("first"))
+
+
+def best(sets: DataFrame, weighted: DataFrame, k: int) -> DataFrame:
+    """(set_no, doc_idx, score, rank): the same as `lexical.top_k` of the scores of all documents with any of a set's terms.
+
+    A block leaves out documents below the largest k-th weight of the set's terms, which k documents reach.
+    """
+    index, score = indexing(), scoring()
+    rows = materialise(postings_of(sets, weighted).select("term", "doc_idx", "weight"))
+    least = sets.select("set_no", F.explode("terms").alias("term")).join(lexical.bounded(lexical.term_bounds(rows, k)), "term")
+    least = least.groupBy("set_no").agg((F.max("kth") - 1e-6).alias("least"))  # far above the rounding of scores
+    told = materialise(sets.join(least, "set_no"))
+
+    def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if len(left) and len(right):
+            documents, lists = index(right)
+            for no, terms, least in zip(left["set_no"], left["terms"], left["least"], strict=True):
+                if own := [lists[t] for t in terms if t in lists]:
+                    at, scores = score(own, len(documents))
+                    likely = np.flatnonzero(scores >= least)
+                    if len(likely) > k:
+                        likely = likely[scores[likely] >= np.partition(scores[likely], len(likely) - k)[len(likely) - k]]
+                        likely = likely[np.lexsort((likely, -scores[likely]))[:k]]
+                    found.append((np.full(len(likely), no), documents[at[likely]], scores[likely]))
+        return pd.DataFrame({n: np.concatenate([f[i] for f in found]) for i, n in enumerate(("set_no", "doc_idx", "score"))})
+
+    return lexical.top_k(in_blocks(told, rows, work, "set_no bigint, doc_idx bigint, score double"), ["set_no"], k)

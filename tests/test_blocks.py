@@ -64,3 +64,17 @@ def test_nearest_is_that_of_all_pairs(spark, small_blocks, keep):
 def test_sketch_rerank_makes_no_pairs(spark, pairs):
     assert keyed_lexical.sketch_rerank(spark, FOLDER).count() > 0
     assert all(n <= postings for n, postings in pairs)
+
+
+def test_totals_are_those_of_all_pairs(spark, small_blocks):
+    postings, asked, *_ = tables(spark, 4)
+    queries, sets = blocks.term_sets(asked)
+    every = lexical.bm25_scores(asked, postings).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("score", (-F.col("doc_idx")).alias("d"))).alias("b"))
+    wanted = {r["query_id"]: (r["n"], r["b"]["score"], -r["b"]["d"]) for r in every.collect()}
+    got = {r["query_id"]: (r["n"], r["score"], r["first"]) for r in queries.join(blocks.totals(sets, postings), "set_no").collect()}
+    assert got == wanted
+
+
+def test_traces_make_no_pairs(spark, pairs):
+    assert keyed_lexical.budget_traces(spark, FOLDER).count() > 0
+    assert all(n <= postings for n, postings in pairs)
