@@ -178,3 +178,38 @@ def best(sets: DataFrame, weighted: DataFrame, k: int) -> DataFrame:
         return pd.DataFrame({n: np.concatenate([f[i] for f in found]) for i, n in enumerate(("set_no", "doc_idx", "score"))})
 
     return lexical.top_k(in_blocks(told, rows, work, "set_no bigint, doc_idx bigint, score double"), ["set_no"], k)
+
+
+def counted(sets: DataFrame, postings: DataFrame) -> DataFrame:
+    """(set_no, with_any, with_all, postings): documents with any and with all of a set's terms, and these terms' postings."""
+    index = indexing()
+
+    def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(left) and len(right):
+            documents, lists = index(right)
+            words = -(-len(documents) // 64)
+
+            def bits(places: np.ndarray) -> np.ndarray:
+                mark = np.zeros(words * 64, bool)
+                mark[places] = True
+                return np.packbits(mark).view(np.uint64)
+
+            hot = {t: bits(places) for t, (places, _) in lists.items() if len(places) >= words}  # at most 64 times a document's terms
+            for no, terms in zip(left["set_no"], left["terms"], strict=True):
+                own = [t for t in terms if t in lists]
+                if len(own) == 1:
+                    n = len(lists[own[0]][0])
+                    found.append((no, n, n * (len(terms) == 1), n))
+                elif own:
+                    marks = [hot[t] if t in hot else bits(lists[t][0]) for t in own]
+                    some, every = marks[0], marks[0]
+                    for mark in marks[1:]:
+                        some, every = some | mark, every & mark
+                    whole = int(np.bitwise_count(every).sum()) if len(own) == len(terms) else 0
+                    found.append((no, int(np.bitwise_count(some).sum()), whole, sum(len(lists[t][0]) for t in own)))
+        return pd.DataFrame(found, columns=["set_no", "with_any", "with_all", "postings"])
+
+    rows = materialise(postings_of(sets, postings).select("term", "doc_idx", F.lit(0.0).alias("weight")))
+    local = in_blocks(sets, rows, work, "set_no bigint, with_any bigint, with_all bigint, postings bigint")
+    return local.groupBy("set_no").agg(*[F.sum(c).alias(c) for c in ("with_any", "with_all", "postings")])

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.operators import lexical
+from larkspan.operators import blocks, lexical
 from larkspan.plans import base
-from larkspan.session import table
+from larkspan.session import materialise, table
 from larkspan.sources import readers
 
 
@@ -80,12 +80,9 @@ STORED = f"WITH {base.RANKINGS_SQL} SELECT query_id, repeat_no, doc_idx, row_num
 
 def matches(spark: SparkSession, folder: str) -> DataFrame:
     """Per query, how many records have any of its terms, all of those that occur at all, and how many postings these are."""
-    asked = base.known_terms(spark, folder).filter("df > 0").select("query_id", "term")
-    most = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("known_terms"))
-    placed = base.postings(spark, folder).select("doc_idx", "term").repartition("doc_idx")
-    each = lexical.matched(asked, placed).groupBy("query_id", "doc_idx").agg(F.count(F.lit(1)).alias("n"))
-    counts = each.join(lexical.bounded(most), "query_id").groupBy("query_id", "known_terms")
-    return counts.agg(F.count(F.lit(1)).alias("with_any"), F.sum((F.col("n") == F.col("known_terms")).cast("int")).alias("with_all"), F.sum("n").alias("postings"))
+    queries, sets = blocks.term_sets(base.known_terms(spark, folder).filter("df > 0").select("query_id", "term"))
+    found = blocks.counted(sets, base.postings(spark, folder)).join(sets.select("set_no", F.size("terms").cast("bigint").alias("known_terms")), "set_no")
+    return queries.join(lexical.bounded(materialise(found)), "set_no").select("query_id", "known_terms", "with_any", "with_all", "postings")
 
 
 MATCHES = f"""WITH {base.QUERIES_SQL}, {base.POSTINGS_SQL}, {base.TERMS_SQL}, k_ AS (SELECT query_id, term FROM terms_ JOIN df_ USING (term)),

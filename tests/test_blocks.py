@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspan.operators import blocks, lexical
-from larkspan.plans import keyed_lexical
+from larkspan.plans import keyed_lexical, scans
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -66,6 +66,22 @@ def test_sketch_rerank_makes_no_pairs(spark, pairs):
     assert all(n <= postings for n, postings in pairs)
 
 
+def test_counts_are_those_of_all_pairs(spark, small_blocks):
+    postings, asked, rows, terms = tables(spark, 3)
+    queries, sets = blocks.term_sets(asked.unionByName(spark.createDataFrame([("none", "unknown")], asked.schema)))
+    got = {r["set_no"]: (r["with_any"], r["with_all"], r["postings"]) for r in blocks.counted(sets, postings).collect()}
+    for r in sets.collect():
+        own = [{d for t, d, _ in rows if t == name} for name in r["terms"]]
+        if any(own):
+            assert got.pop(r["set_no"]) == (len(set.union(*own)), len(set.intersection(*own)), sum(map(len, own)))
+    assert not got
+
+
+def test_matches_make_no_pairs(spark, pairs):
+    assert scans.matches(spark, FOLDER).count() > 0
+    assert all(n <= postings for n, postings in pairs)
+
+
 def test_totals_are_those_of_all_pairs(spark, small_blocks):
     postings, asked, *_ = tables(spark, 4)
     queries, sets = blocks.term_sets(asked)
