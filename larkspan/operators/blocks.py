@@ -18,6 +18,8 @@ from larkspan.session import materialise, small
 
 #: Documents and sets of terms that one task handles, about; fewer sets where there would be few tasks, but not under LEAST_SETS.
 DOCUMENTS, SETS, LEAST_SETS = 65_536, 32_768, 1_024
+#: Sets whose long lists lie on disk at once.
+PASS_SETS = 32_768
 
 
 def numbered_sets(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -213,3 +215,62 @@ def counted(sets: DataFrame, postings: DataFrame) -> DataFrame:
     rows = materialise(postings_of(sets, postings).select("term", "doc_idx", F.lit(0.0).alias("weight")))
     local = in_blocks(sets, rows, work, "set_no bigint, with_any bigint, with_all bigint, postings bigint")
     return local.groupBy("set_no").agg(*[F.sum(c).alias(c) for c in ("with_any", "with_all", "postings")])
+
+
+def nearest_in_cells(found: DataFrame, asked: DataFrame, stored: DataFrame, maps: tuple[np.ndarray, np.ndarray], keep: int) -> DataFrame:
+    """The rows of `found` (set_no, doc_idx, cell, rank) that are among the `keep` nearest of their set and cell, of equals the smallest document.
+
+    `asked` (set_no, x) and `stored` (doc_idx, cell, x) have sparse vectors, x an array of (coordinate, value); `maps` are
+    each cell's matrix and shift. Twice the inner product minus the stored vector's squared norm, rounded to 7 places, tells how near.
+    """
+    matrices, shifts = maps
+    width = matrices.shape[2]
+    parts = max(1, -(-asked.count() // SETS))  # one number
+    part, every = F.pmod(F.hash("set_no"), F.lit(parts)), lambda kind, count: F.explode(F.sequence(F.lit(0).cast(kind), F.lit(count - 1).cast(kind)))
+    of_set = asked.select("set_no", F.lit(None).cast("bigint").alias("doc_idx"), "x", part.alias("_part")).withColumn("cell", every("bigint", len(matrices)))
+    of_document = stored.withColumn("set_no", F.lit(None).cast("bigint")).select("set_no", "doc_idx", "cell", "x").withColumn("_part", every("int", parts))
+    facts = of_set.unionByName(of_document)
+    facts = facts.select("set_no", "doc_idx", "cell", "_part", F.col("x.coordinate").alias("coordinates"), F.col("x.value").alias("values"))
+
+    def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return left.iloc[:0][["set_no", "doc_idx", "rank"]]
+        matrix, shift = matrices[left["cell"].iloc[0]], shifts[left["cell"].iloc[0]]
+
+        def local(rows: pd.DataFrame, name: str) -> tuple[np.ndarray, np.ndarray]:
+            rows = rows.sort_values(name)
+            out = np.empty((len(rows), len(shift)))
+            for start in range(0, len(rows), 16_384):
+                some = rows.iloc[start : start + 16_384]
+                x, sizes = np.zeros((len(some), width)), some["coordinates"].str.len().to_numpy()
+                x[np.repeat(np.arange(len(some)), sizes), np.concatenate(some["coordinates"].to_numpy())] = np.concatenate(some["values"].to_numpy())
+                out[start : start + len(some)] = x @ matrix.T + shift
+            return rows[name].to_numpy().astype(np.int64), out
+
+        asks = right["doc_idx"].isna()
+        (sets, q), (documents, y) = local(right[asks], "set_no"), local(right[~asks], "doc_idx")
+        norms = np.einsum("ij,ij->i", y, y)
+        no, doc = left["set_no"].to_numpy(), left["doc_idx"].to_numpy()
+        a, b, score = np.searchsorted(sets, no), np.searchsorted(documents, doc), np.empty(len(left))
+        for start in range(0, len(left), 65_536):
+            s = slice(start, start + 65_536)
+            score[s] = np.round(2 * np.einsum("ij,ij->i", q[a[s]], y[b[s]]) - norms[b[s]], 7)
+        order = np.lexsort((doc, -score, no))
+        begins = np.flatnonzero(np.r_[True, no[order][1:] != no[order][:-1]])
+        place = np.arange(len(order)) - np.repeat(begins, np.diff(np.r_[begins, len(order)]))
+        return left.iloc[order[place < keep]][["set_no", "doc_idx", "rank"]]
+
+    by = found.withColumn("_part", part).groupBy("cell", "_part").cogroup(facts.groupBy("cell", "_part"))
+    return by.applyInPandas(work, "set_no bigint, doc_idx bigint, rank bigint")
+
+
+def in_passes(sets: DataFrame, of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`of` over all `sets`, PASS_SETS at once; each pass is written, so what it shuffled needn't lie there with the next one's."""
+    spark, passes = sets.sparkSession, max(1, -(-sets.count() // PASS_SETS))  # one number
+    out = None
+    for i in range(passes):
+        done = materialise(of(materialise(sets.filter(F.pmod(F.xxhash64("set_no"), F.lit(passes)) == i))))
+        out = done if out is None else out.unionByName(done)
+        if passes > 1:
+            spark.sparkContext._jvm.System.gc()  # the driver's: shuffle files go with the plans that made them
+    return out

@@ -178,24 +178,31 @@ def selected_local(rows: DataFrame, item: str, keys: DataFrame, key: DataFrame,
     return joined.select(item, "cell", F.transform("key", one).alias("y"))
 
 
-def shift_of(keys: DataFrame, key: DataFrame, width: int) -> tuple[np.ndarray, float]:
-    """A cell's shift turned back to the vectors' coordinates, and its squared length, for a cell that keeps all `width`.
+def matrices_of(keys: DataFrame, key: DataFrame, width: int, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
+    """(matrices, shifts) per cell: `selected_local` of a vector x of `dimensions` numbers is its cell's matrix times x plus its shift.
 
-    There the local vectors y = Rx + b of `selected_local` have an orthogonal R, so twice the inner product of q and y
-    minus the squared norm of y is 2 x(p + g) - |x|^2 + 2 pg + ... with g = R'b: with the query's p it is
-    |b|^2 - |x|^2 + 2 p(x + g).
+    Cells are numbered from 0 and keep equally many coordinates; the keys are small and collected.
     """
     columns = sorted(tuple(r) for r in key.select("pos", "sign1", "sign2", "source").collect())  # `width` rows
     sign1, sign2, source = (np.array(c) for c in list(zip(*columns, strict=True))[1:])
-    slots = sorted(tuple(r) for r in keys.select("slot", "pos", "sign", "shift").collect())  # as many
-    if len(slots) != width or len(columns) != width:
-        raise ValueError("distances stay the same only where a cell keeps all coordinates")
-    pos, sign, shift = (np.array(c) for c in list(zip(*slots, strict=True))[1:])
-    # As in `selected_local`: the row of the matrix, its second sign and the cell's sign.
-    chosen = source[pos].astype(np.int64)
-    signs = np.where(np.bitwise_count(chosen[:, None] & np.arange(width)[None, :]) % 2 == 0, 1.0, -1.0) * sign1[None, :]
-    matrix = signs * (sign2[chosen] * sign)[:, None] / width**0.5
-    return matrix.T @ shift, float(shift @ shift)
+    slots = sorted(tuple(r) for r in keys.select("cell", "slot", "pos", "sign", "multiplier", "shift").collect())  # cells x chosen rows
+    cell, _, pos, sign, multiplier, shift = (np.array(c) for c in zip(*slots, strict=True))
+    chosen = source[pos].astype(np.int64)  # the rows of the Hadamard matrix
+    signs = np.where(np.bitwise_count(chosen[:, None] & np.arange(dimensions)[None, :]) % 2 == 0, 1.0, -1.0) * sign1[None, :dimensions]
+    matrix = signs * (sign2[chosen] * sign * multiplier)[:, None] / width**0.5
+    return matrix.reshape(cell.max() + 1, -1, dimensions), shift.reshape(cell.max() + 1, -1)
+
+
+def shift_of(keys: DataFrame, key: DataFrame, width: int) -> tuple[np.ndarray, float]:
+    """A cell's shift turned back to the vectors' coordinates, and its squared length, for a cell that keeps all `width`.
+
+    There the local vectors Rx + b have an orthogonal R, so twice the inner product of the query's Rp + b with them minus
+    their squared norm is |b|^2 - |x|^2 + 2 p(x + g), with the shift g = R'b and the length |b|^2.
+    """
+    matrices, shifts = matrices_of(keys, key, width, width)
+    if matrices.shape != (1, width, width):
+        raise ValueError("distances stay the same only where one cell keeps all coordinates")
+    return matrices[0].T @ shifts[0], float(shifts[0] @ shifts[0])
 
 
 def projections(cells: list[int], width: int, chosen: int, name: str, scale: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:

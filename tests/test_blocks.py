@@ -108,3 +108,11 @@ def test_best_are_those_of_all_pairs(spark, small_blocks, k):
 def test_recommendation_makes_no_pairs(spark, pairs):
     assert keyed_lexical.recommendation(spark, FOLDER).count() == 45
     assert all(n <= postings for n, postings in pairs)
+
+
+def test_compartment_ranking_makes_no_pairs_in_any_number_of_passes(spark, pairs, monkeypatch):
+    one = sorted(keyed_lexical.compartment_ranking(spark, FOLDER).collect())
+    assert one and all(n <= postings for n, postings in pairs)
+    monkeypatch.setattr(blocks, "PASS_SETS", 60)
+    monkeypatch.setattr(blocks, "SETS", 20)
+    assert sorted(keyed_lexical.compartment_ranking(spark, FOLDER).collect()) == one
